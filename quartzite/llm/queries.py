@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, sharding, warc
+from . import exact_dedup, line_dedup, mixing, ngram_join, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,22 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_
 """
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select doc_id, case when len(words) = 0 then []::varchar[] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as grams from w),
+g as (select doc_id, unnest(grams) as gram from s),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as n from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by all),
+l as (select x, y from c join s p on p.doc_id = x join s q on q.doc_id = y where 100 * n >= 80 * (len(p.grams) + len(q.grams) - n)),
+r(x, y) as (select doc_id, doc_id from s union select r.x, l.y from r join l on r.y = l.x)
+select doc_id, cast(len(grams) as bigint) as n_shingles, component_id from s join (select x, min(y) as component_id from r group by x) on x = doc_id
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).drop("starts")
 
@@ -97,5 +113,5 @@ o as (select d.*, source_size, target, take, coalesce(sum(size) over (partition
 select doc_id, size, source_size, target, cast(take // greatest(source_size, 1) * size + greatest(0, least(size, take % greatest(source_size, 1) - start)) as bigint) as taken from o
 """
 
-QUERIES = {"op1_warc": op1_warc, "op3_exact_dedup": op3_exact_dedup, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
-ORACLE = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_mixing": OP8_SQL, "op9_line_dedup": OP9_SQL}
+QUERIES = {"op1_warc": op1_warc, "op3_exact_dedup": op3_exact_dedup, "op4_ngram_join": op4_ngram_join, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
+ORACLE = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_ngram_join": OP4_SQL, "op8_mixing": OP8_SQL, "op9_line_dedup": OP9_SQL}
