@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, sharding, warc
+from . import embedding_join, exact_dedup, line_dedup, mixing, ngram_join, quality, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,32 @@ select doc_id, cast(len(grams) as bigint) as n_shingles, component_id from s joi
 """
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found_secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+r(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.y from r join l on r.y = l.x),
+c as (select x, min(y) as component_id from r group by x),
+n as (select x, count(*) as n_links from l group by x)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from embeddings left join n on n.x = vec_id join c on c.x = vec_id
+"""
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    done = quality.scored(docs, model)
+    return done.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).drop("starts")
 
@@ -113,5 +139,5 @@ o as (select d.*, source_size, target, take, coalesce(sum(size) over (partition
 select doc_id, size, source_size, target, cast(take // greatest(source_size, 1) * size + greatest(0, least(size, take % greatest(source_size, 1) - start)) as bigint) as taken from o
 """
 
-QUERIES = {"op1_warc": op1_warc, "op3_exact_dedup": op3_exact_dedup, "op4_ngram_join": op4_ngram_join, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
-ORACLE = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_ngram_join": OP4_SQL, "op8_mixing": OP8_SQL, "op9_line_dedup": OP9_SQL}
+QUERIES = {"op1_warc": op1_warc, "op3_exact_dedup": op3_exact_dedup, "op4_ngram_join": op4_ngram_join, "op5_secrets": op5_secrets, "op6_embedding_join": op6_embedding_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
+ORACLE = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_ngram_join": OP4_SQL, "op6_embedding_join": OP6_SQL, "op8_mixing": OP8_SQL, "op9_line_dedup": OP9_SQL}
