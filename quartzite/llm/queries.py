@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_join, exact_dedup, line_dedup, mixing, ngram_join, quality, secrets, sharding, warc
+from . import embedding_join, exact_dedup, line_dedup, mixing, ngram_join, quality, secrets, sentencepiece_sampling, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,16 @@ from w
 """
 
 
+def piece_model(spark: SparkSession, name: str = "piece_bpe_32k.model") -> str:
+    """Sends a model of the folder in spark.quartzite.tokenizers to all executors; the name by which they find it."""
+    spark.sparkContext.addFile(f"{spark.conf.get('spark.quartzite.tokenizers', '/opt/tokenizers')}/{name}")
+    return name
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.segmentations(table(spark, sf_dir, "documents"), piece_model(spark))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -139,5 +149,5 @@ o as (select d.*, source_size, target, take, coalesce(sum(size) over (partition
 select doc_id, size, source_size, target, cast(take // greatest(source_size, 1) * size + greatest(0, least(size, take % greatest(source_size, 1) - start)) as bigint) as taken from o
 """
 
-QUERIES = {"op1_warc": op1_warc, "op3_exact_dedup": op3_exact_dedup, "op4_ngram_join": op4_ngram_join, "op5_secrets": op5_secrets, "op6_embedding_join": op6_embedding_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_sentencepiece": op2_sentencepiece, "op3_exact_dedup": op3_exact_dedup, "op4_ngram_join": op4_ngram_join, "op5_secrets": op5_secrets, "op6_embedding_join": op6_embedding_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
 ORACLE = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_ngram_join": OP4_SQL, "op6_embedding_join": OP6_SQL, "op8_mixing": OP8_SQL, "op9_line_dedup": OP9_SQL}
