@@ -173,7 +173,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         names = blocks.select("block").withColumn("region", F.floor(F.col("block") / (1 << 32)).cast("int"))
         pairs = spark.createDataFrame(meet, "region int, region_2 int")
         pairs = names.join(F.broadcast(pairs), "region").join(names.select(F.col("block").alias("other"), F.col("region").alias("region_2")), "region_2")
-        tiles = written(pairs.select("block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "vector-tiles")
+        tiles = written(pairs.select("block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "vector-tiles", 16)
         found = blocks.join(tiles, "block").groupBy("low", "high").applyInArrow(_tile(least), "id long, links long, head long")
         found = written(found, "vector-links")
         links.append(found)
@@ -187,7 +187,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         total = total.groupBy("id").agg(F.sum("links").alias("links"))
         joined = distinct.join(total, "id", "left").join(components(edges), "id", "left")
         label = joined.select("v", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "id").alias("component"))
-    done = every.join(written(label, "vector-labels"), "v", "left")
+    done = every.join(written(label, "vector-labels", 16), "v", "left")
     component = F.coalesce("component", "id")
     return done.select(
         F.col("id").alias(id_col),

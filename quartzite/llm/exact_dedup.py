@@ -39,7 +39,7 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row per input row: the id, keep_id, group_size, kept, text_sha256."""
-    won = written(winners(docs, id_col, text_col, salts).drop("body"), "exact-winners")
+    won = written(winners(docs, id_col, text_col, salts).drop("body"), "exact-winners", 16)
     keys = ["digest", "check"]
     rows = _keyed(docs, id_col, text_col)
     if won.groupBy(*keys).count().where("count > 1").isEmpty():

@@ -110,10 +110,10 @@ def placed(sized: DataFrame, sources: DataFrame, bucket_docs: int = 4096) -> Dat
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 256) -> DataFrame:
     """One row per document: the id, size, source_size, target, taken, starts (rounds in which its first word is taken)."""
     sized = written(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    sources = written(targets(sized, weights, most), "mix-targets")
+    sources = written(targets(sized, weights, most), "mix-targets", 16)
     blocks = schedule(sources, block).groupBy("key", "unnamed").agg((F.max("rank") + 1).alias("blocks"))
     sources = sources.join(blocks, ["key", "unnamed"], "left").withColumn("take", F.least(F.coalesce("blocks", F.lit(0)) * block, F.col("source_size") * most)).drop("blocks")
-    sources = written(sources, "mix-take")
+    sources = written(sources, "mix-take", 16)
     d = placed(sized, sources)
     whole, rest = F.floor(F.col("take") / F.greatest("source_size", F.lit(1))), F.pmod("take", F.greatest("source_size", F.lit(1)))
     d = d.withColumn("taken", whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))))

@@ -23,15 +23,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def few(df: DataFrame, share: int = 16) -> DataFrame:
+    """df, whose rows are few for its many shuffle partitions, in a share of them: fewer and larger files.
+
+    The number still follows the session's shuffle partitions, and so the data.
+    """
+    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // share))
+
+
+def written(df: DataFrame, name: str, share: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, its lineage cut, safe against lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (few(df, share) if share else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """For the small tables of loops: Spark removes the files once nothing refers to them."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return few(df).checkpoint()

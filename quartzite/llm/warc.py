@@ -49,7 +49,7 @@ def roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_rev
     rows = rows.withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long"), "check": F.xxhash64("payload")})
     keys = ["digest", "bytes", "check"]
     groups = rows.where(F.col("bytes") >= min_revisit).groupBy(*keys).agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(written(groups, "warc-copies"), keys, "left").drop("check")
+    return rows.join(written(groups, "warc-copies", 16), keys, "left").drop("check")
 
 
 def _quoted(url: str) -> str:
