@@ -49,7 +49,7 @@ EOD: dict[str, str] = {
     **{f"high_low_{w}d": f"high_low_mean_{w}d" for w in (20, 60)},
     **{f"amount_to_volatility_{w}d": safe(f"amount_mean_{w}d", f"volatility_{w}d") for w in (20, 60)},
     "volume_surge_no_return_20d": f"-(volume_shock / (abs(ret_5d) + {EPS}))",
-    "moderate_volume_up_20d": f"ret_20d * exp(-abs({safe('volume_mean_5d', 'volume_mean_20d')} - 1.5))",
+    "moderate_volume_up_20d": f"ret_20d * exp(-abs({safe('volume_mean_5d', 'volume_mean_20d')} - 1.5e0))",
     "overheated_turnover_proxy_20d": f"-(ret_5d * {safe('amount_mean_5d', 'amount_mean_20d')})",
     "low_attention_reversal_20d": f"-ret_20d / ({safe('amount_mean_20d', 'amount_mean_60d')} + {EPS})",
     "volume_contraction_stability_20d": f"-ret_20d / (volatility_20d * {safe('volume_mean_5d', 'volume_mean_20d')} + {EPS})",
@@ -75,7 +75,7 @@ ENGINE_BASE: list[dict[str, str]] = [
         "efficiency": safe("abs(close - open)", "high - low"),
         "pressure": "sign(close - open) * volume",
         "inflow": f"((case when close > open then amount else 0 end) - (case when close < open then amount else 0 end)) / ((case when close > open then amount else 0 end) + (case when close < open then amount else 0 end) + {EPS})",
-        "midpoint_gap": safe("(high + low) / 2.0 - close", "close"),
+        "midpoint_gap": safe("(high + low) / 2.0e0 - close", "close"),
         "shadow": "upper_shadow + lower_shadow",
         "volume_z": cross_z("volume"),
         "rank_ret_5": cross_rank("ret_5d"),
@@ -101,7 +101,7 @@ ENGINE_BASE: list[dict[str, str]] = [
         "intraday_ret": safe("close - open", "open"),
         "surge": "greatest(volume_shock - 1, 0)",
         "herding": "(ret_1d - market_ret) * volume_shock",
-        "turn_p90": f"case when count(turnover) over {over(60)} >= 20 then percentile(turnover, 0.9) over {over(60)} end",
+        "turn_p90": f"case when count(turnover) over {over(60)} >= 20 then percentile(turnover, 0.9e0) over {over(60)} end",
         "skew20": skew("ret_1d", 20, 10),
         "skew60": skew("ret_1d", 60, 30),
         "skew60_s": skew("ret_1d", 60, 20),
@@ -159,17 +159,17 @@ ENGINE: dict[str, str] = {
     "amihud_shock_reversal_5d": f"-({safe('amihud', 'amihud_mean_20d')} * ret_5d)",
     "max_daily_return_20d": f"-({roll('max', 'ret_1d', 20, 10)})",
     "cn_trend_pv_20d": f"ret_20d * {safe('volume_mean_5d', 'volume_mean_60d')}",
-    "loser_liquidity_reversal_5d": "case when ret_5d < 0 then -(ret_5d * volume_shock) else 0.0 end",
-    "winner_sentiment_reversal_5d": "case when ret_5d > 0 then -(ret_5d * volume_shock) else 0.0 end",
+    "loser_liquidity_reversal_5d": "case when ret_5d < 0 then -(ret_5d * volume_shock) else 0.0e0 end",
+    "winner_sentiment_reversal_5d": "case when ret_5d > 0 then -(ret_5d * volume_shock) else 0.0e0 end",
     "amihud_amount_orth_20d": "amihud_orth",
-    "net_inflow_asymmetry_20d": f"case when td + 1 >= 10 then sum(inflow) over {over(20)} / least(20, td + 1) end",
+    "net_inflow_asymmetry_20d": f"case when td + 1 >= 10 then round(sum(inflow) over {over(20)} / least(20, td + 1), 6) end",
     "amount_acceleration_20d": f"{safe('amount_mean_5d', 'amount_mean_20d')} - {safe('amount_mean_20d', 'amount_mean_60d')}",
     "flow_persistence_decay_20d": f"amount_auto - {shift('amount_auto', 1)}",
     "intraday_reversal_intensity_20d": mean("midpoint_gap", 20),
     "range_entropy_20d": "-range_cv",
     "attention_shock_cs_5d": "-(volume_z * ret_5d)",
     "winner_crowding_exhaustion_20d": "-(ret_20d * volume_shock)",
-    "loser_panic_stabilization_20d": "greatest(-ret_20d, 0) * (1.0 - least(greatest(volume_shock, 0), 2) / 2.0)",
+    "loser_panic_stabilization_20d": "greatest(-ret_20d, 0) * (1.0e0 - least(greatest(volume_shock, 0), 2) / 2.0e0)",
     "relative_liquidity_strength_20d": safe("amount_mean_20d", cross("avg", "amount_mean_20d")),
     "momentum_rank_dispersion_20d": "rank_ret_20 - rank_ret_5",
     "low_vol_liquidity_quality_20d": "quality",
@@ -227,7 +227,7 @@ BROKER: dict[str, str] = {
     "cn_new_high_breakout_252d": f"{safe('close', roll('max', 'high', 252, 120))} - 1",
     "cn_rsi_momentum_gap_20d": "rank_rsi - rank_ret_20",
     "cn_shadow_combo_20d": mean("(lower_shadow - upper_shadow)", 20),
-    "cn_limit_up_strength_20d": share("ret_1d > 0.095", 20),
+    "cn_limit_up_strength_20d": share("ret_1d > 0.095e0", 20),
     "cn_turnover_concentration_20d": share("turnover >= turn_p90", 20),
     "d4_turnover_shock_reversal_5d": f"-(ret_5d * {safe('turnover', 'turnover_mean_20d')})",
     "d4_consecutive_gain_exhaustion_20d": f"-(ret_20d * {share('ret_1d > 0', 20)})",

@@ -38,11 +38,11 @@ def usual(w: int) -> int:
 
 def share(condition: str, w: int, least: int = 10) -> str:
     """Share of the dates of the window on which the condition holds; missing dates do not."""
-    return f"case when td + 1 >= {least} then sum(case when {condition} then 1.0 else 0.0 end) over {over(w)} / least({w}, td + 1) end"
+    return f"case when td + 1 >= {least} then sum(case when {condition} then 1.0e0 else 0.0e0 end) over {over(w)} / least({w}, td + 1) end"
 
 
 def hits(condition: str, w: int, least: int = 10) -> str:
-    return f"case when td + 1 >= {least} then sum(case when {condition} then 1.0 else 0.0 end) over {over(w)} end"
+    return f"case when td + 1 >= {least} then sum(case when {condition} then 1.0e0 else 0.0e0 end) over {over(w)} end"
 
 
 def shift(x: str, k: int = 1) -> str:
@@ -66,7 +66,7 @@ def skew(x: str, w: int, least: int) -> str:
     n, m1 = f"cast(count({x}) over {o} as double)", f"avg({x}) over {o}"
     m2 = f"(avg({x} * {x}) over {o} - power({m1}, 2))"
     m3 = f"(avg({x} * {x} * {x}) over {o} - 3 * ({m1}) * avg({x} * {x}) over {o} + 2 * power({m1}, 3))"
-    return f"case when count({x}) over {o} >= {max(least, 3)} and {m2} > 1e-14 then sqrt({n} * ({n} - 1)) / ({n} - 2) * {m3} / power({m2}, 1.5) end"
+    return f"case when count({x}) over {o} >= {max(least, 3)} and {m2} > 1e-14 then sqrt({n} * ({n} - 1)) / ({n} - 2) * {m3} / power({m2}, 1.5e0) end"
 
 
 def cv(x: str, w: int, least: int = 10) -> str:
@@ -80,7 +80,7 @@ def cross(fn: str, x: str, by: str = "td") -> str:
 
 def cross_rank(x: str, by: str = "td") -> str:
     """Average rank among the present values of a date, over their number."""
-    return f"case when {x} is not null then (rank() over (partition by {by} order by {x} nulls last) + (count({x}) over (partition by {by}, {x}) - 1) / 2.0) / count({x}) over (partition by {by}) end"
+    return f"case when {x} is not null then (rank() over (partition by {by} order by {x} nulls last) + (count({x}) over (partition by {by}, {x}) - 1) / 2.0e0) / count({x}) over (partition by {by}) end"
 
 
 def cross_z(x: str, by: str = "td", ddof: int = 1) -> str:

@@ -26,9 +26,9 @@ def staged_sql(source: str, stages: list[Stage]) -> str:
     return source
 
 
-def output(keys: list[str], values: list[str], digits: int = 6) -> list[str]:
-    """Keys as they are, values rounded; NaN becomes null."""
-    return keys + [f"round(case when not isnan(cast({v} as double)) then cast({v} as double) end, {digits}) as {v}" for v in values]
+def output(keys: list[str], values: list[str]) -> list[str]:
+    """Keys as they are, values to single precision (as doubles), which drops what the order of sums adds; NaN becomes null."""
+    return keys + [f"cast(cast(case when not isnan(cast({v} as double)) then cast({v} as double) end as float) as double) as {v}" for v in values]
 
 
 def duck(text: str) -> str:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions import daily_factors as daily
+from .functions import intraday
+from .functions import order_book as book
+from .functions import order_flow as flow
 from .plans.staged import Stage, duck, output, staged, staged_sql
 from .sources import panels
 
@@ -15,15 +19,15 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def add_staged(name: str, source: Callable[[str], str], tables: list[str], stages: list[Stage], keys: list[str], values: list[str], where: str = "true", digits: int = 6) -> None:
+def add_staged(name: str, source: Callable[[str], str], tables: list[str], stages: list[Stage], keys: list[str], values: list[str], where: str = "true") -> None:
     """Registers a query made of stages over a source given as SQL text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         start = panels.query(spark, sf_dir, f"select * from {source('spark')}", tables)
-        return staged(start, stages).where(where).selectExpr(*output(keys, values, digits))
+        return staged(start, stages).where(where).selectExpr(*output(keys, values))
 
     QUERIES[name] = run
-    ORACLE[name] = f"select {', '.join(output(keys, values, digits))} from {duck(staged_sql(source('check'), stages))} where {where}"
+    ORACLE[name] = f"select {', '.join(output(keys, values))} from {duck(staged_sql(source('check'), stages))} where {where}"
 
 
 def add_sql(name: str, tables: list[str], text: str, check: str | None = None) -> None:
@@ -40,3 +44,106 @@ def _family(name: str, base: list[Stage], factors: dict[str, str], only: set[str
 _family("factors_eod", daily.BASE, daily.EOD)
 _family("factors_engine", daily.BASE + daily.ENGINE_BASE, daily.ENGINE)
 _family("factors_broker", daily.BASE + daily.ENGINE_BASE[:1] + daily.BROKER_BASE, daily.BROKER)
+
+
+# Order flow and order size -----------------------------------------------------------------
+
+_family("factors_trade_flow", flow.TRADE_FLOW_BASE, flow.TRADE_FLOW)
+_family("factors_order_size", flow.ORDER_SIZE_BASE, flow.ORDER_SIZE)
+_family("factors_flow_states", flow.STATE_BASE, flow.STATES)
+_family("factors_flow_response", flow.RESPONSE_BASE, flow.RESPONSE)
+_family("factors_size_normalised", flow.NORMALISED_BASE, flow.NORMALISED)
+
+
+# Order book arrays --------------------------------------------------------------------------
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as snapshots: levels 1-10 bid volumes, 11-20 ask volumes, 21-30 and 31-40 steps of the prices."""
+    e = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    steps = lambda a, sign: F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.lit(100.0) + sign * F.aggregate(F.slice(a, F.lit(1), i), F.lit(0.0), lambda s, x: s + x))
+    d = panels.table(spark, sf_dir, "embeddings").select("vec_id", "label", e.alias("e"))
+    return d.select("vec_id", "label", F.slice("e", 1, 10).alias("bid"), F.slice("e", 11, 10).alias("ask"), steps(F.slice("e", 21, 10), -1.0).alias("bid_price"), steps(F.slice("e", 31, 10), 1.0).alias("ask_price"))
+
+
+def order_book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = book.snapshot_metrics(F.col("bid"), F.col("ask"), F.col("bid_price"), F.col("ask_price"))
+    d = _books(spark, sf_dir).select("vec_id", "label", *[c.alias(n) for n, c in made.items()])
+    return d.selectExpr(*output(["vec_id", "label"], list(made)))
+
+
+_BOOK_SQL = """
+(with e as (select vec_id, label, list_transform(embedding, lambda x: abs(cast(x as double))) as e from embeddings),
+p as (select vec_id, label, e[1:10] as bid, e[11:20] as ask, list_transform(range(1, 11), lambda i: 100.0 - list_sum(e[21:20 + i])) as bp, list_transform(range(1, 11), lambda i: 100.0 + list_sum(e[31:30 + i])) as ap from e)
+select vec_id, label,
+  (list_sum(bid[1:1]) - list_sum(ask[1:1])) / nullif(list_sum(bid[1:1]) + list_sum(ask[1:1]), 0) as obi_1,
+  (list_sum(bid[1:5]) - list_sum(ask[1:5])) / nullif(list_sum(bid[1:5]) + list_sum(ask[1:5]), 0) as obi_5,
+  (list_sum(bid) - list_sum(ask)) / nullif(list_sum(bid) + list_sum(ask), 0) as obi_10,
+  (list_sum(list_transform(range(1, 11), lambda i: bid[i] / i)) - list_sum(list_transform(range(1, 11), lambda i: ask[i] / i))) / nullif(list_sum(list_transform(range(1, 11), lambda i: bid[i] / i)) + list_sum(list_transform(range(1, 11), lambda i: ask[i] / i)), 0) as weighted_obi,
+  (ap[1] - bp[1]) / nullif((ap[1] + bp[1]) / 2, 0) as relative_spread,
+  ((bp[1] * ask[1] + ap[1] * bid[1]) / nullif(ask[1] + bid[1], 0) - (bp[1] + ap[1]) / 2) / nullif((bp[1] + ap[1]) / 2, 0) as microprice_deviation,
+  (list_sum(bid[1:3]) - list_sum(ask[1:3])) / nullif(list_sum(bid[1:3]) + list_sum(ask[1:3]), 0) - (list_sum(bid) - list_sum(ask)) / nullif(list_sum(bid) + list_sum(ask), 0) as near_far_imbalance,
+  list_sum(list_transform(bid, lambda x: x * x)) / nullif(list_sum(bid) * list_sum(bid), 0) as bid_hhi,
+  list_sum(list_transform(ask, lambda x: x * x)) / nullif(list_sum(ask) * list_sum(ask), 0) as ask_hhi,
+  list_sum(list_transform(range(1, 11), lambda i: bid[i] * (i - 5.5))) / 82.5 as bid_slope,
+  list_sum(list_transform(range(1, 11), lambda i: ask[i] * (i - 5.5))) / 82.5 as ask_slope,
+  (list_sum(list_transform(range(1, 11), lambda i: ask[i] * ap[i])) / nullif(list_sum(ask), 0) - list_sum(list_transform(range(1, 11), lambda i: bid[i] * bp[i])) / nullif(list_sum(bid), 0)) / nullif((bp[1] + ap[1]) / 2, 0) as book_vwap_gap,
+  ln(1 + list_sum(bid) + list_sum(ask)) as log_depth,
+  -list_sum(list_transform(bid, lambda x: case when x > 0 then x / list_sum(bid) * ln(x / list_sum(bid)) else 0 end)) / ln(10.0) as bid_entropy,
+  list_max(bid) / nullif(list_sum(bid), 0) as bid_wall, list_max(ask) / nullif(list_sum(ask), 0) as ask_wall
+from p)
+"""
+_BOOK = ["obi_1", "obi_5", "obi_10", "weighted_obi", "relative_spread", "microprice_deviation", "near_far_imbalance", "bid_hhi", "ask_hhi", "bid_slope", "ask_slope", "book_vwap_gap", "log_depth", "bid_entropy", "bid_wall", "ask_wall"]
+QUERIES["order_book_snapshots"] = order_book_snapshots
+ORACLE["order_book_snapshots"] = f"select {', '.join(output(['vec_id', 'label'], _BOOK))} from {_BOOK_SQL}"
+
+
+def order_book_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots in order of id, 25 a day by symbol (label): means, deviations, open, close, slope, sign persistence, shocks."""
+    made = book.snapshot_metrics(F.col("bid"), F.col("ask"), F.col("bid_price"), F.col("ask_price"))
+    d = _books(spark, sf_dir).select(F.col("label").alias("symbol"), (F.col("vec_id") / 100).cast("int").alias("td"), (F.col("vec_id") % 100).cast("int").alias("slot"), *[c.alias(n) for n, c in made.items()])
+    d.createOrReplaceTempView("book_snapshots")
+    return staged(spark.sql(f"select * from {_book_daily_sql('book_snapshots')}"), _BOOK_SHOCKS).selectExpr(*output(["symbol", "td"], _BOOK_DAILY))
+
+
+def _book_daily_sql(source: str) -> str:
+    means = ", ".join(f"avg({m}) as {m}_mean, stddev_samp({m}) as {m}_std" for m in _BOOK)
+    return f"""(select symbol, td, {means},
+      avg(case when slot < 25 then obi_5 end) as opening_obi_l5, avg(case when slot >= 75 then obi_5 end) as closing_obi_l5,
+      avg(case when slot < 25 then relative_spread end) as opening_spread, avg(case when slot >= 75 then relative_spread end) as closing_spread,
+      avg(case when slot < 25 then log_depth end) as opening_depth, avg(case when slot >= 75 then log_depth end) as closing_depth,
+      (avg(slot * obi_5) - avg(slot) * avg(obi_5)) / nullif(var_pop(slot), 0) as obi_intraday_slope,
+      avg(case when before is not null then case when sign(obi_5) = sign(before) then 1e0 else 0e0 end end) as obi_sign_persistence
+      from (select *, lag(obi_5) over (partition by symbol, td order by slot) as before from {source}) s group by symbol, td)"""
+
+
+_BOOK_SHOCKS: list[Stage] = [
+    {
+        "opening_closing_obi_change": "closing_obi_l5 - opening_obi_l5",
+        "opening_closing_spread_change": "closing_spread - opening_spread",
+        "opening_closing_depth_change": "closing_depth - opening_depth",
+        "depth_concentration_asymmetry": "bid_hhi_mean - ask_hhi_mean",
+        "depth_slope_asymmetry": "bid_slope_mean - ask_slope_mean",
+        **{f"{n}_shock": flow.own_z(m, 20, 3, "rows") for n, m in (("obi", "obi_5_mean"), ("spread", "relative_spread_mean"), ("depth", "log_depth_mean"), ("microprice", "microprice_deviation_mean"))},
+    }
+]
+_BOOK_DAILY = [f"{m}_{s}" for m in _BOOK for s in ("mean", "std")] + ["opening_obi_l5", "closing_obi_l5", "obi_intraday_slope", "obi_sign_persistence", *_BOOK_SHOCKS[0]]
+QUERIES["order_book_daily"] = order_book_daily
+ORACLE["order_book_daily"] = f"select {', '.join(output(['symbol', 'td'], _BOOK_DAILY))} from {staged_sql(_book_daily_sql(f'(select *, label as symbol, cast(floor(vec_id / 100) as int) as td, cast(vec_id % 100 as int) as slot from {_BOOK_SQL})'), _BOOK_SHOCKS)}"
+
+
+# Intraday bars ------------------------------------------------------------------------------
+
+_bar = {f"f_{k}": v for k, v in intraday.BAR_FACTORS.items()}
+add_staged("intraday_factors", panels.bars_sql, ["events"], [*intraday.BAR_BASE, _bar], ["symbol", "day", "slot"], list(_bar))
+#: Signals at five slots only; the filter stands above the windows.
+add_staged("intraday_signal_slots", panels.bars_sql, ["events"], [*intraday.BAR_BASE, _bar], ["symbol", "day", "slot"], list(_bar), where="slot in (19, 20, 22, 26, 28)")
+
+
+def _grouped(stages: list[Stage], grouped: Callable[[str], str]) -> Callable[[str], str]:
+    return lambda dialect: grouped(staged_sql(panels.bars_sql(dialect), stages))
+
+
+add_staged("price_formation", _grouped(intraday.PATH_BASE, intraday.path_sql), ["events"], intraday.PATH_LAST, ["symbol", "day"], intraday.PATH_VALUES)
+add_staged("liquidity_impact", _grouped(intraday.FORWARD, intraday.impact_sql), ["events"], intraday.IMPACT_LAST, ["symbol", "day"], intraday.IMPACT_VALUES)
+add_staged("resilience", _grouped(intraday.RESILIENCE, intraday.resilience_sql), ["events"], [], ["symbol", "day"], intraday.RESILIENCE_VALUES)

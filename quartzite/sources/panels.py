@@ -45,7 +45,7 @@ WEEKLY = """
   round(sum(case when l_extendedprice > 60000 and l_returnflag = 'R' then l_extendedprice else 0 end), 2) as super_sell,
   round(sum(case when l_discount >= 0.05 then l_quantity else 0 end), 2) as bid_cancel, round(sum(case when l_tax >= 0.04 then l_quantity else 0 end), 2) as ask_cancel,
   round(sum(l_quantity) / 1000, 6) as turnover
- from (select *, round(l_extendedprice / nullif(l_quantity, 0), 4) as px from lineitem where l_shipdate >= timestamp '1995-01-01 00:00:00') l
+ from (select *, l_extendedprice / nullif(l_quantity, 0) as px from lineitem where l_shipdate >= timestamp '1995-01-01 00:00:00') l
  group by 1, 2) b)
 """
 
@@ -59,3 +59,18 @@ def weekly_sql(dialect: str) -> str:
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _viewed(spark, sf_dir, f"select * from {WEEKLY}", ["lineitem"])
+
+#: Half-hour bars of event types.
+BARS = """
+(select symbol, day, slot, min_by(price, struct(ts, event_id)) as open, max(price) as high, min(price) as low, max_by(price, struct(ts, event_id)) as close,
+  cast(sum(size) as double) as volume, round(sum(price * size), 2) as amount,
+  round(sum(case when buy then price * size else 0 end), 2) as buy_amount, round(sum(case when buy then 0 else price * size end), 2) as sell_amount,
+  sum(case when buy then 1e0 else 0e0 end) as buy_count, sum(case when buy then 0e0 else 1e0 end) as sell_count,
+  round(sum(case when buy and size >= 7 then price * size else 0 end), 2) as large_buy, round(sum(case when not buy and size >= 7 then price * size else 0 end), 2) as large_sell
+ from (select event_type as symbol, cast(cast(ts as date) as string) as day, cast(hour(ts) * 2 + floor(minute(ts) / 30) as int) as slot, ts, event_id, 100 + value as price, 1 + user_id % 10 as size, user_id % 2 = 0 as buy from events) e
+ group by symbol, day, slot)
+"""
+
+
+def bars_sql(dialect: str) -> str:
+    return BARS if dialect == "spark" else BARS.replace("struct(", "row(")
