@@ -11,6 +11,8 @@ from .functions import daily_factors as daily
 from .functions import intraday
 from .functions import order_book as book
 from .functions import order_flow as flow
+from .operators import evaluation as ev
+from .operators import joins
 from .plans.staged import Stage, duck, output, staged, staged_sql
 from .sources import panels
 
@@ -147,3 +149,107 @@ def _grouped(stages: list[Stage], grouped: Callable[[str], str]) -> Callable[[st
 add_staged("price_formation", _grouped(intraday.PATH_BASE, intraday.path_sql), ["events"], intraday.PATH_LAST, ["symbol", "day"], intraday.PATH_VALUES)
 add_staged("liquidity_impact", _grouped(intraday.FORWARD, intraday.impact_sql), ["events"], intraday.IMPACT_LAST, ["symbol", "day"], intraday.IMPACT_VALUES)
 add_staged("resilience", _grouped(intraday.RESILIENCE, intraday.resilience_sql), ["events"], [], ["symbol", "day"], intraday.RESILIENCE_VALUES)
+
+
+# Evaluation of a reversal signal on the weekly panel ---------------------------------------------
+
+_SIGNAL: list[Stage] = [
+    {"close_4": daily.shift("close", 4), "close_next": daily.shift("close", -1)},
+    {"ret_4": "close / nullif(close_4, 0) - 1", "fwd": "close_next / nullif(close, 0) - 1"},
+    {"signal": "-ret_4"},
+]
+_PANEL_SQL = duck(staged_sql(panels.weekly_sql("check"), _SIGNAL))
+_RANKED = f"""(select *, row_number() over (partition by td order by signal, symbol) as r, count(*) over (partition by td) as m from {_PANEL_SQL} where signal is not null)"""
+_GROUPED = f"(select symbol, td, signal, fwd, cast(case when m = 1 then 1 else greatest(1, floor(((r - 1) * 5 + m - 2) / (m - 1))) end as int) as grp from {_RANKED})"
+_WEIGHTED = f"(select *, 1e0 / count(*) over (partition by td, grp) as weight from {_GROUPED})"
+_TEST = f"""(with w as {_WEIGHTED}, d as (select distinct td from {_PANEL_SQL}),
+pnl as (select td, grp, count(*) as names, sum(weight * coalesce(fwd, 0)) as gross from w group by td, grp),
+mv as (select coalesce(a.td, b.td + 1) as td, coalesce(a.grp, b.grp) as grp, abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) as x from w a full join w b on a.symbol = b.symbol and a.grp = b.grp and a.td = b.td + 1),
+t as (select td, grp, sum(x) as turnover from mv where td in (select td from d) group by td, grp),
+one as (select td, grp, names, gross, turnover from pnl join t using (td, grp)),
+sp as (select td, 0 as grp, sum(names) as names, sum(case when grp = 5 then gross else -gross end) as gross, sum(turnover) as turnover from one where grp in (1, 5) group by td having count(*) = 2)
+select *, gross - 0.00075 * turnover as net from (select * from one union all select * from sp))"""
+
+
+def signal_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(panels.weekly(spark, sf_dir), _SIGNAL).select("symbol", "td", "close", "volume", "amount", "signal", "fwd")
+
+
+def _add(name: str, run: Query, check: str | None, keys: list[str], values: list[str]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir).selectExpr(*output(keys, values))
+    if check:
+        ORACLE[name] = f"select {', '.join(output(keys, values))} from {check}"
+
+
+_add("decile_groups", lambda s, d: ev.group_weights(signal_panel(s, d), 5), _WEIGHTED, ["symbol", "td", "grp"], ["signal", "weight"])
+_add("group_test", lambda s, d: ev.group_test(signal_panel(s, d), 5, 0.00075), _TEST, ["td", "grp"], ["names", "gross", "turnover", "net"])
+_IC = f"""(select td, corr(rs, rf) as ic, count(*) as names from (select td, rank() over (partition by td order by signal) + (count(*) over (partition by td, signal) - 1) / 2.0 as rs,
+  rank() over (partition by td order by fwd) + (count(*) over (partition by td, fwd) - 1) / 2.0 as rf from {_PANEL_SQL} where signal is not null and fwd is not null) group by td)"""
+_add("rank_ic", lambda s, d: ev.rank_ic(signal_panel(s, d)), _IC, ["td"], ["ic", "names"])
+_PERF = f"""(select grp, count(net) as days, avg(net) * 250 as annual_return, avg(net) / nullif(stddev_samp(net), 0) * sqrt(250) as sharpe, max(1 - wealth / peak) as max_drawdown, avg(case when net > 0 then 1.0 else 0.0 end) as hit_rate
+ from (select *, greatest(1, max(wealth) over (partition by grp order by td)) as peak from (select *, exp(sum(ln(1 + net)) over (partition by grp order by td)) as wealth from (select grp, td, net from {_TEST} where grp > 0 and net > -1))) group by grp)"""
+_add("performance", lambda s, d: ev.performance(ev.group_test(signal_panel(s, d), 5, 0.00075).where("grp > 0 and net > -1"), "grp", "net"), _PERF, ["grp"], ["days", "annual_return", "sharpe", "max_drawdown", "hit_rate"])
+_REB = f"(select a.symbol, a.td, a.fwd, b.signal from {_PANEL_SQL} a left join {_PANEL_SQL} b on a.symbol = b.symbol and b.td = a.td - a.td % 4)"
+_add("rebalanced", lambda s, d: ev.rebalanced(signal_panel(s, d), 4), _REB, ["symbol", "td"], ["signal", "fwd"])
+_HYS = f"""(select symbol, td, pct, coalesce(last_value(case when pct >= 0.9e0 then 1 when pct < 0.8e0 then 0 end ignore nulls) over (partition by symbol order by td rows between unbounded preceding and current row), 0) as member
+ from (select symbol, td, (rank() over (partition by td order by signal) + (count(*) over (partition by td, signal) - 1) / 2e0) / count(*) over (partition by td) as pct from {_PANEL_SQL} where signal is not null))"""
+_add("hysteresis", lambda s, d: ev.hysteresis(signal_panel(s, d), 0.9, 0.8), _HYS, ["symbol", "td", "member"], ["pct"])
+_add("minimum_holding", lambda s, d: ev.minimum_holding(ev.hysteresis(signal_panel(s, d), 0.9, 0.8), 5), None, ["symbol", "td", "member", "held"], [])
+_OVER = f"(with w as {_WEIGHTED} select symbol, td + k as td, sum(weight) / 4 as weight from w, range(4) r(k) where grp = 5 group by symbol, td + k)"
+_add("overlapped", lambda s, d: ev.overlapped(ev.group_weights(signal_panel(s, d), 5).where("grp = 5"), 4), _OVER, ["symbol", "td"], ["weight"])
+_NW = f"""(select 0 as grp, count(*) as days, avg(ic) as mean, avg(ic) / nullif(sqrt(greatest(sum(dev * dev) + 2 * (0.75 * coalesce(sum(dev * l1), 0) + 0.5 * coalesce(sum(dev * l2), 0) + 0.25 * coalesce(sum(dev * l3), 0)), 0)) / count(*), 0) as t_value
+ from (select *, lag(dev, 1) over (order by td) as l1, lag(dev, 2) over (order by td) as l2, lag(dev, 3) over (order by td) as l3 from (select td, ic, ic - avg(ic) over () as dev from {_IC} where ic is not null and not isnan(ic) and names >= 10)))"""
+_add("newey_west", lambda s, d: ev.newey_west(ev.rank_ic(signal_panel(s, d)).where("ic is not null and not isnan(ic) and names >= 10").withColumn("grp", F.lit(0)), "grp", "ic", 3), _NW, ["grp"], ["days", "mean", "t_value"])
+_DRIFT = f"""(with w as (select *, cast(floor(td / 4) as int) as block, 1e0 as w0 from {_PANEL_SQL}), v as (select *, w0 * exp(coalesce(sum(ln(1 + coalesce(fwd, 0))) over (partition by symbol, block order by td rows between unbounded preceding and 1 preceding), 0)) as value from w)
+ select symbol, td, value / sum(value) over (partition by td) as weight from v)"""
+_add("drifted_weights", lambda s, d: ev.drifted(signal_panel(s, d).select("symbol", "td", F.floor(F.col("td") / 4).cast("int").alias("block"), F.lit(1.0).alias("w0"), F.col("fwd").alias("ret"))), _DRIFT, ["symbol", "td"], ["weight"])
+_add("pca_scores", lambda s, d: ev.pca_scores(signal_panel(s, d).withColumn("log_amount", F.log("amount")).where("td % 8 = 0"), ["signal", "log_amount", "volume"], 2), None, ["symbol", "td"], ["pc1", "pc2"])
+
+
+# Joins ----------------------------------------------------------------------------------------
+
+
+def asof_join(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+    """Orders with the last earlier event of the same customer hash: value and time."""
+    o = panels.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("who"), F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(o_orderkey % 30, o_orderkey % 24, o_orderkey % 60)").alias("at"))
+    e = panels.table(spark, sf_dir, "events").select((F.col("user_id") % 150).alias("who"), F.date_trunc("minute", "ts").alias("ts"), "event_id", "value")
+    return joins.asof(o, e, "who", "at", "ts", ["event_id", "value"], strict=strict, most=F.expr("interval 2 days"), tie=["event_id"])
+
+
+def _asof_sql(op: str) -> str:
+    return f"""(with o as (select o_orderkey, o_custkey % 150 as who, timestamp '2024-01-01 00:00:00' + to_days(cast(o_orderkey % 30 as int)) + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60) as at from orders),
+    e as (select user_id % 150 as who, date_trunc('minute', ts) as ts, event_id, value from events),
+    h as (select o_orderkey, e.event_id, e.value, e.ts, o.at, row_number() over (partition by o_orderkey order by e.ts desc, e.event_id desc) as n from o join e on o.who = e.who and e.ts {op} o.at)
+    select o.o_orderkey, o.who, case when h.ts >= o.at - interval 2 day then h.event_id end as event_id, case when h.ts >= o.at - interval 2 day then h.value end as value from o left join h on o.o_orderkey = h.o_orderkey and n = 1)"""
+
+
+_add("asof_join", asof_join, _asof_sql("<="), ["o_orderkey", "who", "event_id"], ["value"])
+_add("asof_join_strict", lambda s, d: asof_join(s, d, True), _asof_sql("<"), ["o_orderkey", "who", "event_id"], ["value"])
+
+
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks of supplier bars in which each of the supplier's membership intervals holds (from its parts)."""
+    bars = panels.weekly(spark, sf_dir).select("symbol", "td", "amount")
+    li = panels.table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp '1995-01-01 00:00:00'")
+    iv = li.groupBy(F.col("l_suppkey").cast("int").alias("symbol"), (F.col("l_partkey") % 10).alias("pool")).agg(F.expr("cast(min(floor(datediff(l_shipdate, timestamp '1995-01-01 00:00:00') / 7)) as int)").alias("entered"), F.expr("cast(max(floor(datediff(l_shipdate, timestamp '1995-01-01 00:00:00') / 7)) as int)").alias("left_"))
+    return joins.within(bars, iv.withColumn("left_", F.when(F.col("pool") != 3, F.col("left_"))), "symbol", "td", "entered", "left_", 26).select("symbol", "td", "pool", "amount")
+
+
+_add("interval_join", interval_join, f"""(with iv as (select cast(l_suppkey as int) as symbol, l_partkey % 10 as pool, min(cast(floor(datediff('day', timestamp '1995-01-01 00:00:00', l_shipdate) / 7) as int)) as f, max(cast(floor(datediff('day', timestamp '1995-01-01 00:00:00', l_shipdate) / 7) as int)) as t from lineitem where l_shipdate >= timestamp '1995-01-01 00:00:00' group by 1, 2)
+ select b.symbol, b.td, pool, amount from {panels.weekly_sql('check')} b join iv on b.symbol = iv.symbol and b.td >= f and (pool = 3 or b.td <= t))""", ["symbol", "td", "pool"], ["amount"])
+
+
+def first_trading_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders mapped to the first day at or after theirs that has a shipment of a part divisible by 50."""
+    days = panels.table(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0").select(F.to_date("l_shipdate").alias("d"))
+    o = panels.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return joins.first_on_or_after(o, days, "o_orderdate", "d").select("o_orderkey", F.col("_day").cast("string").alias("day"))
+
+
+_add("first_trading_day", first_trading_day, "(with d as (select distinct cast(l_shipdate as date) as d from lineitem where l_partkey % 50 = 0) select o_orderkey, cast((select min(d) from d where d.d >= cast(o_orderdate as date) and year(d.d) = year(o_orderdate)) as varchar) as day from orders)", ["o_orderkey", "day"], [])
+_add("keep_latest", lambda s, d: joins.keep(panels.table(s, d, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("o_custkey", "o_orderkey", "o_totalprice"), "(select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders) where n = 1)", ["o_custkey", "o_orderkey"], ["o_totalprice"])
+_add("keep_earliest", lambda s, d: joins.keep(panels.table(s, d, "orders"), ["o_custkey"], [F.col("o_orderdate").asc(), F.col("o_orderkey").asc()]).select("o_custkey", "o_orderkey", "o_totalprice"), "(select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n from orders) where n = 1)", ["o_custkey", "o_orderkey"], ["o_totalprice"])
+_add("checked_join", lambda s, d: joins.checked_many_to_one(panels.table(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), panels.table(s, d, "nation"), ["n_nationkey"]).select("c_custkey", "n_name", "c_acctbal"), "(select c_custkey, n_name, c_acctbal from customer left join nation on c_nationkey = n_nationkey)", ["c_custkey", "n_name"], ["c_acctbal"])
+_add("renamed_codes", lambda s, d: joins.renamed(panels.table(s, d, "customer").select("c_custkey", "c_mktsegment"), panels.table(s, d, "region").selectExpr("case r_regionkey when 0 then 'BUILDING' when 1 then 'MACHINERY' else r_name end as old", "concat('R', r_regionkey) as new"), "c_mktsegment", "old", "new"), "(select c_custkey, coalesce(new, c_mktsegment) as c_mktsegment from customer left join (select case r_regionkey when 0 then 'BUILDING' when 1 then 'MACHINERY' else r_name end as old, 'R' || r_regionkey as new from region) on c_mktsegment = old)", ["c_custkey", "c_mktsegment"], [])
+add_sql("semi_join", ["customer", "orders"], "select c_custkey, c_name from customer left semi join orders on c_custkey = o_custkey and o_totalprice > 100000", "select c_custkey, c_name from customer where exists (select 1 from orders where c_custkey = o_custkey and o_totalprice > 100000)")
+add_sql("anti_join", ["customer", "orders"], "select c_custkey, c_name from customer left anti join orders on c_custkey = o_custkey", "select c_custkey, c_name from customer where not exists (select 1 from orders where c_custkey = o_custkey)")
