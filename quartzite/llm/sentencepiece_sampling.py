@@ -54,15 +54,44 @@ def uniform(keys: np.ndarray) -> np.ndarray:
     return ((mix(keys) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+NOTHING, PREFIX = -2, -1
+
+
+class Table:
+    """Hashes of pieces and of their beginnings, with open addressing: a piece's id, PREFIX, or NOTHING."""
+
+    def __init__(self, found: dict[int, int], bits: int = 19) -> None:
+        self.mask = (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.full(1 << bits, NOTHING, np.int64)
+        if 2 * len(found) > self.mask:
+            raise ValueError("the vocabulary is too large for the table")
+        for h, value in found.items():
+            at = h & self.mask
+            while self.values[at] != NOTHING:
+                at = (at + 1) & self.mask
+            self.keys[at], self.values[at] = h, value
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        at = (h & np.uint64(self.mask)).astype(np.int64)
+        out = self.values[at]
+        open_ = np.flatnonzero((self.keys[at] != h) & (out != NOTHING))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            out[open_] = self.values[at[open_]]
+            open_ = open_[(self.keys[at[open_]] != h[open_]) & (out[open_] != NOTHING)]
+        return out
+
+
 @dataclass
 class Vocabulary:
-    """Pieces by hash of their code points, and which hashes begin a piece."""
+    """Pieces by hash of their code points."""
 
     texts: list[bytes]
     log_p: np.ndarray
-    hashes: np.ndarray
-    ids: np.ndarray
-    prefixes: np.ndarray
+    table: Table
+    spelling: np.ndarray  # the bytes of all pieces
+    spelled: np.ndarray  # where each piece begins in them, one more at the end
     byte_ids: np.ndarray
     longest: int
     byte_log_p: float
@@ -102,17 +131,17 @@ def load(model_file: str) -> Vocabulary:
     texts = [b""] * n
     for b, i in enumerate(byte_ids.tolist()):
         texts[i] = bytes([b])
-    found, prefixes = {}, set()
+    found: dict[int, int] = {}
     for i in usable.tolist():
         texts[i] = text[i].encode()
         h = np.uint64(0)
         with np.errstate(over="ignore"):
             for c in _spread(_codes(text[i])):
                 h = h * _PIECE_BASE + c
-                prefixes.add(int(h))
+                found.setdefault(int(h), PREFIX)
         found[int(h)] = i
-    keys = np.array(sorted(found), np.uint64)
-    return Vocabulary(texts, log_p, keys, np.array([found[int(k)] for k in keys]), np.array(sorted(prefixes), np.uint64), byte_ids, max(len(text[i]) for i in usable.tolist()), lowest - 1.0)
+    spelling, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    return Vocabulary(texts, log_p, Table(found), spelling, ends, byte_ids, max(len(text[i]) for i in usable.tolist()), lowest - 1.0)
 
 
 @dataclass
@@ -124,16 +153,11 @@ class Lattice:
     target: np.ndarray
     piece: np.ndarray  # of an edge; below 0: -1 - code point that falls back to bytes
     share: np.ndarray  # conditional probability of an edge at its node
+    log_share: np.ndarray
     below: np.ndarray  # sum of the shares of the node's edges up to and with this one
     starts: np.ndarray  # first node of each word
 
 
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
 def build(words: list[str], v: Vocabulary, alpha: float = 1.0) -> Lattice:
     codes = _codes("".join(words))
     lengths = np.array([len(w) for w in words], np.int64)
@@ -148,27 +172,34 @@ def build(words: list[str], v: Vocabulary, alpha: float = 1.0) -> Lattice:
         if not len(at):
             break
         h = h * _PIECE_BASE + spread[at + size - 1]
-        k = _find(v.prefixes, h) >= 0
-        at, h = at[k], h[k]
-        k = _find(v.hashes, h)
-        got = k >= 0
+        k = v.table.get(h)
+        got = np.flatnonzero(k >= 0)
         nodes.append(at[got])
-        sizes.append(np.full(int(got.sum()), size))
-        pieces.append(v.ids[k[got]])
+        sizes.append(np.full(len(got), size))
+        pieces.append(k[got])
         if size == 1:
             single[at[got]] = True
-        more = left[at] > size
+        more = np.flatnonzero((k != NOTHING) & (left[at] > size))
         at, h = at[more], h[more]
     rest = np.flatnonzero(~single)
     node = np.concatenate([*nodes, rest])
     size = np.concatenate([*sizes, np.ones(len(rest), np.int64)])
     piece = np.concatenate([*pieces, -1 - codes[rest].astype(np.int64)])
-    order = np.argsort(node, kind="stable")
-    node, size, piece = node[order], size[order], piece[order]
+    counts = np.bincount(node, minlength=n)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    rank = np.empty(len(node), np.int64)  # shorter pieces first
+    taken, at = np.zeros(n, np.int64), 0
+    for group in [*nodes, rest]:
+        rank[at : at + len(group)] = taken[group]
+        taken[group] += 1
+        at += len(group)
+    place = first[node] + rank
+    ordered = np.empty((3, len(node)), np.int64)
+    ordered[:, place] = node, size, piece
+    node, size, piece = ordered
     width = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
     log_p = alpha * np.where(piece >= 0, v.log_p[np.maximum(piece, 0)], v.byte_log_p * width[node])
     target = node + size
-    first = np.searchsorted(node, np.arange(n + 1))
     beta = np.zeros(n + 1)  # of the node before which it stands; the end of a word counts 0
     ends = left[node] == size
     weight = np.empty(len(node))
@@ -184,12 +215,13 @@ def build(words: list[str], v: Vocabulary, alpha: float = 1.0) -> Lattice:
         total = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, counts)), cut))
         beta[mine] = total
         weight[e] = w
-    share = np.exp(weight - beta[node])
+    log_share = weight - beta[node]
+    share = np.exp(log_share)
     run = np.cumsum(share)
     before = np.concatenate([[0.0], run])[first[:-1]] if n else np.zeros(0)
     below = run - before[node]
     below[first[1:] - 1] = np.inf
-    return Lattice(first, np.arange(n) - np.repeat(starts, lengths), np.where(ends, END, target), piece, share, below, starts)
+    return Lattice(first, np.arange(n) - np.repeat(starts, lengths), np.where(ends, END, target), piece, share, log_share, below, starts)
 
 
 def choose(lat: Lattice, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -266,8 +298,7 @@ class Sampler:
         doc = self.doc[occ]
         begin = np.searchsorted(doc, np.arange(n + 1))
         share = self.lat.share[edge]
-        logs = np.log(share)
-        run = np.cumsum(logs)
+        run = np.cumsum(self.lat.log_share[edge])
         start = np.concatenate([[0.0], run])
         base = start[begin[:-1]]
         before = start[:-1] - base[doc]
@@ -338,25 +369,17 @@ class Sampler:
         start_node = np.concatenate([lat.target[turn[inside]], lat.starts[self.word[later]]])
         occ, level, edge = _walk(lat, start_occ, start_node, self.at[start_occ], self._key(number, 1)[self.doc[start_occ]])
         per = np.bincount(occ, minlength=len(self.word))
-        kept_occ, kept_edge = [], []
-        for k, s in enumerate(self.samples):
-            mine = np.zeros(n, bool)
-            mine[go] = which[go] == k
-            take = mine[s.doc] & (np.arange(len(s.edge)) - s.begin[s.doc] < keep[s.doc])
-            kept_occ.append(self.occ[k][take])
-            kept_edge.append(s.edge[take])
-        kept_occ_all, kept_edge_all = np.concatenate(kept_occ), np.concatenate(kept_edge)
-        by = np.argsort(self.doc[kept_occ_all], kind="stable")
-        kept_occ_all, kept_edge_all = kept_occ_all[by], kept_edge_all[by]
         length = np.zeros(n, np.int64)
         length[go] = keep[go] + 1
         fresh_per_doc = np.bincount(self.doc[occ], minlength=n)
         begin = np.concatenate([[0], np.cumsum(length + fresh_per_doc)])
         steps, occs = np.empty(int(begin[-1]), np.int64), np.empty(int(begin[-1]), np.int64)
         fresh = np.zeros(int(begin[-1]), bool)
-        doc_kept = self.doc[kept_occ_all]
-        place = begin[doc_kept] + (np.arange(len(doc_kept)) - (np.cumsum(keep) - keep)[doc_kept])
-        steps[place], occs[place] = kept_edge_all, kept_occ_all
+        for k, s in enumerate(self.samples):  # what each parent's path has before the branch
+            mine = go[which[go] == k]
+            ramp = np.arange(int(keep[mine].sum())) - np.repeat(np.cumsum(keep[mine]) - keep[mine], keep[mine])
+            source, place = np.repeat(s.begin[mine], keep[mine]) + ramp, np.repeat(begin[mine], keep[mine]) + ramp
+            steps[place], occs[place] = s.edge[source], self.occ[k][source]
         at_branch = begin[go] + keep[go]
         steps[at_branch], occs[at_branch] = turn[go], branch_occ[go]
         run = np.cumsum(per) - per
@@ -388,28 +411,33 @@ class Sampler:
         back = np.flatnonzero(piece < 0)
         if not len(back):
             return piece, s.begin
-        spelled = [self.v.byte_ids[list(chr(-1 - c).encode("utf-8", "surrogatepass"))] for c in piece[back].tolist()]
-        width = np.ones(len(piece), np.int64)
-        width[back] = [len(x) for x in spelled]
-        out = np.repeat(piece, width)
-        out[np.repeat(piece < 0, width)] = np.concatenate(spelled)
-        return out, np.concatenate([[0], np.cumsum(width)])[s.begin]
+        parts, at = [], 0
+        extra = np.zeros(len(back) + 1, np.int64)
+        for n, (k, c) in enumerate(zip(back.tolist(), piece[back].tolist(), strict=True)):
+            spelled = self.v.byte_ids[list(chr(-1 - c).encode("utf-8", "surrogatepass"))]
+            parts += [piece[at:k], spelled]
+            at, extra[n + 1] = k + 1, extra[n] + len(spelled) - 1
+        return np.concatenate([*parts, piece[at:]]), s.begin + extra[np.searchsorted(back, s.begin)]
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> bytes:
     """The text of piece ids with its dummy space."""
-    return b"".join([v.texts[i] for i in ids.tolist()])
+    first = v.spelled[ids]
+    size = v.spelled[ids + 1] - first
+    end = np.cumsum(size)
+    return v.spelling[np.repeat(first - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)].tobytes()
 
 
 def row_keys(values: list, seed: int) -> np.ndarray:
     return np.array([zlib.crc32(b"%d:%s" % (seed, b"" if x is None else str(x).encode())) | zlib.crc32(b"%s/%d" % (b"" if x is None else str(x).encode(), seed)) << 32 for x in values], np.uint64)
 
 
-def sampled_batch(ids: list, texts: list[str], v: Vocabulary, k: int, alpha: float, seed: int, part: int = 1 << 19) -> Iterator[tuple[Sampler, np.ndarray, int]]:
+def sampled_batch(ids: list, texts: list[str], v: Vocabulary, k: int, alpha: float, seed: int, part: int = 1 << 18) -> Iterator[tuple[Sampler, np.ndarray, int]]:
     """Samplers over runs of texts of about `part` characters that share one lattice, with their thresholds and first text."""
-    number: dict[str, int] = {}
-    words = [np.array([number.setdefault(w, len(number)) for w in WORDS.findall(" " + t)] if t else [], np.int64) for t in texts]
-    lattice = build(list(number), v, alpha)
+    split = [WORDS.findall(" " + t) if t else [] for t in texts]
+    coded = pa.array([w for ws in split for w in ws], pa.large_string()).dictionary_encode()
+    words = np.split(coded.indices.to_numpy().astype(np.int64), np.cumsum([len(ws) for ws in split])[:-1])
+    lattice = build(coded.dictionary.to_pylist(), v, alpha)
     keys = row_keys(ids, seed)
     i = 0
     while i < len(texts):
