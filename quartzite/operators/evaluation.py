@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-DAY = W.Window.partitionBy("td")
+def day() -> W.WindowSpec:
+    return W.Window.partitionBy("td")
 
 
 def groups(signal: Column, n: int) -> Column:
     """Group 1 (lowest) to n by rank among the present values of a date; ties by symbol."""
-    rank = F.row_number().over(DAY.orderBy(signal.asc_nulls_last(), "symbol"))
-    m = F.count(signal).over(DAY)
+    rank = F.row_number().over(day().orderBy(signal.asc_nulls_last(), "symbol"))
+    m = F.count(signal).over(day())
     return F.when(signal.isNotNull(), F.when(m == 1, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(((rank - 1) * n + m - 2) / (m - 1)))).cast("int"))
 
 
@@ -73,7 +74,7 @@ def rebalanced(panel: DataFrame, every: int) -> DataFrame:
 
 def hysteresis(panel: DataFrame, enter: float, leave: float) -> DataFrame:
     """Membership that begins at a rank of at least `enter` and lasts while the rank is at least `leave`."""
-    pct = average_rank(F.col("signal")) / F.count("signal").over(DAY)
+    pct = average_rank(F.col("signal")) / F.count("signal").over(day())
     d = panel.where("signal is not null").withColumn("pct", pct)
     state = F.when(F.col("pct") >= enter, 1).when(F.col("pct") < leave, 0)
     order = W.Window.partitionBy("symbol").orderBy("td").rowsBetween(W.Window.unboundedPreceding, 0)
@@ -104,7 +105,7 @@ def drifted(weights: DataFrame) -> DataFrame:
     """Weights (symbol, td, block, w0, ret) drifting with returns within a block between rebalances: w0 * growth / their sum."""
     order = W.Window.partitionBy("symbol", "block").orderBy("td").rowsBetween(W.Window.unboundedPreceding, -1)
     grown = weights.withColumn("value", F.col("w0") * F.exp(F.coalesce(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(order), F.lit(0.0))))
-    return grown.withColumn("weight", F.col("value") / F.sum("value").over(DAY))
+    return grown.withColumn("weight", F.col("value") / F.sum("value").over(day()))
 
 
 def overlapped(weights: DataFrame, hold: int) -> DataFrame:
