@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import checkpointed
+from .scratch import written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,16 +13,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round lowers every label to the least among the neighbours, then follows labels to
     their own label, so that chains shorten by halves. All tables stay distributed; the driver
-    sees one number a round. Null ends and loops are no links; repeated rows do no harm.
+    sees one number a round. Each round is a table in the shared folder: a checkpoint would keep the
+    size estimate of its plan, which joins square from round to round. Null ends and loops are no
+    links; repeated rows do no harm.
     """
     links = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = checkpointed(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component")))
+    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "component-links", 16)
+    label = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component")), "component-labels", 16)
     for _ in range(most_rounds):
         near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("component").alias("near"))
-        lowered = checkpointed(label.join(near, label.id == near.a).select("id", F.least("component", "near").alias("component"), F.col("component").alias("old")))
+        lowered = written(label.join(near, label.id == near.a).select("id", F.least("component", "near").alias("component"), F.col("component").alias("old")), "component-lowered", 16)
         up = lowered.select(F.col("id").alias("up"), F.col("component").alias("upper"))
-        jumped = checkpointed(lowered.join(up, lowered.component == up.up, "left").select("id", F.least("component", F.coalesce("upper", "component")).alias("component"), "old"))
+        jumped = written(lowered.join(up, lowered.component == up.up, "left").select("id", F.least("component", F.coalesce("upper", "component")).alias("component"), "old"), "component-jumped", 16)
         label = jumped.select("id", "component")
         if jumped.where("component <> old").isEmpty():
             return label

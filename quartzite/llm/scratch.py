@@ -37,9 +37,3 @@ def written(df: DataFrame, name: str, share: int | None = None) -> DataFrame:
     path = new_path(spark, name)
     (few(df, share) if share else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """For the small tables of loops: Spark removes the files once nothing refers to them."""
-    shared_dir(df.sparkSession)
-    return few(df).checkpoint()
