@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _priority(x: str, turn: int) -> Column:
+    return F.struct(F.xxhash64(x, F.lit(turn)).alias("h"), F.col(x).alias("x"))
+
+
+def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(a, b) rows to (id, component), the smallest id reachable, for every id in a link.
 
-    Each round lowers every label to the least among the neighbours, then follows labels to
-    their own label, so that chains shorten by halves. All tables stay distributed; the driver
-    sees one number a round. Each round is a table in the shared folder: a checkpoint would keep the
-    size estimate of its plan, which joins square from round to round. Null ends and loops are no
-    links; repeated rows do no harm.
+    Contraction: each round, every node hooks to its neighbour of least hash, if that is less than
+    its own, and follows three hooks; the links between what remains go to the next round. Hashes
+    differ from round to round, so hooks make short chains whatever the order of the ids, and the
+    nodes with links fall by a constant factor. All tables stay distributed, as tables in the shared
+    folder; the driver sees one flag a round. Null ends and loops are no links; repeated rows do no
+    harm.
     """
-    links = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "component-links", 16)
-    label = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component")), "component-labels", 16)
-    for _ in range(most_rounds):
-        near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("component").alias("near"))
-        lowered = written(label.join(near, label.id == near.a).select("id", F.least("component", "near").alias("component"), F.col("component").alias("old")), "component-lowered", 16)
-        up = lowered.select(F.col("id").alias("up"), F.col("component").alias("upper"))
-        jumped = written(lowered.join(up, lowered.component == up.up, "left").select("id", F.least("component", F.coalesce("upper", "component")).alias("component"), "old"), "component-jumped", 16)
-        label = jumped.select("id", "component")
-        if jumped.where("component <> old").isEmpty():
-            return label
+    edges = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = written(edges, "component-links", 16)
+    label = None
+    for turn in range(most_rounds):
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy("a").agg(F.min(_priority("b", turn)).alias("least"))
+        hook = hook.select("a", F.when(F.col("least") < _priority("a", turn), F.col("least.x")).otherwise(F.col("a")).alias("up"))
+        up = hook
+        for _ in range(2):
+            further = hook.select(F.col("a").alias("at"), F.col("up").alias("next"))
+            up = up.join(further, F.col("up") == F.col("at")).select("a", F.col("next").alias("up"))
+        up = written(up, "component-hooks", 16)
+        if label is None:
+            label = up.select(F.col("a").alias("id"), F.col("up").alias("root"))
+        else:
+            label = label.join(up, F.col("root") == F.col("a"), "left").select("id", F.coalesce("up", "root").alias("root"))
+        ends = edges.join(up.select("a", F.col("up").alias("x")), "a").join(up.select(F.col("a").alias("b"), F.col("up").alias("y")), "b").where("x <> y")
+        edges = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "component-links", 16)
+        if edges.isEmpty():
+            label = written(label, "component-roots", 16)
+            return label.join(label.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
