@@ -252,4 +252,4 @@ _add("keep_earliest", lambda s, d: joins.keep(panels.table(s, d, "orders"), ["o_
 _add("checked_join", lambda s, d: joins.checked_many_to_one(panels.table(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), panels.table(s, d, "nation"), ["n_nationkey"]).select("c_custkey", "n_name", "c_acctbal"), "(select c_custkey, n_name, c_acctbal from customer left join nation on c_nationkey = n_nationkey)", ["c_custkey", "n_name"], ["c_acctbal"])
 _add("renamed_codes", lambda s, d: joins.renamed(panels.table(s, d, "customer").select("c_custkey", "c_mktsegment"), panels.table(s, d, "region").selectExpr("case r_regionkey when 0 then 'BUILDING' when 1 then 'MACHINERY' else r_name end as old", "concat('R', r_regionkey) as new"), "c_mktsegment", "old", "new"), "(select c_custkey, coalesce(new, c_mktsegment) as c_mktsegment from customer left join (select case r_regionkey when 0 then 'BUILDING' when 1 then 'MACHINERY' else r_name end as old, 'R' || r_regionkey as new from region) on c_mktsegment = old)", ["c_custkey", "c_mktsegment"], [])
 add_sql("semi_join", ["customer", "orders"], "select c_custkey, c_name from customer left semi join orders on c_custkey = o_custkey and o_totalprice > 100000", "select c_custkey, c_name from customer where exists (select 1 from orders where c_custkey = o_custkey and o_totalprice > 100000)")
-add_sql("anti_join", ["customer", "orders"], "select c_custkey, c_name from customer left anti join orders on c_custkey = o_custkey", "select c_custkey, c_name from customer where not exists (select 1 from orders where c_custkey = o_custkey)")
+add_sql("anti_join", ["customer", "orders"], "select c_custkey, c_name from customer left anti join orders on c_custkey = o_custkey and o_totalprice > 400000", "select c_custkey, c_name from customer where not exists (select 1 from orders where c_custkey = o_custkey and o_totalprice > 400000)")
