@@ -15,7 +15,7 @@ All draws are hashes of (seed, row key, sample, position), so a row's samples do
 neighbours, its task or the number of tasks.
 
 Pieces never reach over a space after other characters or over a line end, so the lattice is built
-once for each distinct word of a few MB of text, and texts share it. Scores: a unigram model's
+once for each distinct word of half a MB of text, and texts share it. Scores: a unigram model's
 scores are log-probabilities; a BPE model's are ranks, which are taken as log-probabilities by
 Zipf's law, -log(rank + 3) less the log of their sum. `alpha` sharpens or flattens both.
 Characters without a piece fall back to byte pieces. A text begins with the dummy space.
@@ -432,7 +432,7 @@ def row_keys(values: list, seed: int) -> np.ndarray:
     return np.array([zlib.crc32(b"%d:%s" % (seed, b"" if x is None else str(x).encode())) | zlib.crc32(b"%s/%d" % (b"" if x is None else str(x).encode(), seed)) << 32 for x in values], np.uint64)
 
 
-def sampled_batch(ids: list, texts: list[str], v: Vocabulary, k: int, alpha: float, seed: int, part: int = 1 << 18) -> Iterator[tuple[Sampler, np.ndarray, int]]:
+def sampled_batch(ids: list, texts: list[str], v: Vocabulary, k: int, alpha: float, seed: int, part: int = 1 << 17) -> Iterator[tuple[Sampler, np.ndarray, int]]:
     """Samplers over runs of texts of about `part` characters that share one lattice, with their thresholds and first text."""
     split = [WORDS.findall(" " + t) if t else [] for t in texts]
     coded = pa.array([w for ws in split for w in ws], pa.large_string()).dictionary_encode()
@@ -453,7 +453,7 @@ def sampled_batch(ids: list, texts: list[str], v: Vocabulary, k: int, alpha: flo
 RESULT = "id long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean"
 
 
-def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 4, alpha: float = 0.5, seed: int = 11, with_ids: bool = False, lattice_chars: int = 3 << 20) -> DataFrame:
+def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 4, alpha: float = 0.5, seed: int = 11, with_ids: bool = False, lattice_chars: int = 1 << 19) -> DataFrame:
     """Up to k rows a document: the id, sample (0: the largest perturbed value), n_pieces, log_prob, perturbed,
     log_inclusion, ids_crc32 (of the ids as 32-bit little-endian numbers), round_trip, and ids if asked for.
 
