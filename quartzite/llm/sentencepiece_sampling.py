@@ -30,6 +30,7 @@ table; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -45,6 +46,8 @@ from .textblocks import mix
 
 WORDS = re.compile(r"\n| *[^ \n]+| +")
 END = -1
+#: Marks of the first byte of UTF-8 forms by their length (fixed values).
+LEAD = np.array([0, 0, 0xC0, 0xE0, 0xF0])
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _PIECE_BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -411,13 +414,18 @@ class Sampler:
         back = np.flatnonzero(piece < 0)
         if not len(back):
             return piece, s.begin
-        parts, at = [], 0
-        extra = np.zeros(len(back) + 1, np.int64)
-        for n, (k, c) in enumerate(zip(back.tolist(), piece[back].tolist(), strict=True)):
-            spelled = self.v.byte_ids[list(chr(-1 - c).encode("utf-8", "surrogatepass"))]
-            parts += [piece[at:k], spelled]
-            at, extra[n + 1] = k + 1, extra[n] + len(spelled) - 1
-        return np.concatenate([*parts, piece[at:]]), s.begin + extra[np.searchsorted(back, s.begin)]
+        codes = -1 - piece[back]
+        width = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
+        sizes = np.ones(len(piece), np.int64)
+        sizes[back] = width
+        ends = np.cumsum(sizes)
+        out = np.repeat(piece, sizes)
+        at = ends[back] - width
+        for j in range(4):  # byte j of the characters' UTF-8 forms
+            k = np.flatnonzero(width > j)
+            high = codes[k] >> 6 * (width[k] - 1 - j)
+            out[at[k] + j] = self.v.byte_ids[LEAD[width[k]] | high if j == 0 else 0x80 | high & 0x3F]
+        return out, np.concatenate([[0], ends])[s.begin]
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> bytes:
@@ -435,9 +443,10 @@ def row_keys(values: list, seed: int) -> np.ndarray:
 def sampled_batch(ids: list, texts: list[str], v: Vocabulary, k: int, alpha: float, seed: int, part: int = 1 << 17) -> Iterator[tuple[Sampler, np.ndarray, int]]:
     """Samplers over runs of texts of about `part` characters that share one lattice, with their thresholds and first text."""
     split = [WORDS.findall(" " + t) if t else [] for t in texts]
-    coded = pa.array([w for ws in split for w in ws], pa.large_string()).dictionary_encode()
-    words = np.split(coded.indices.to_numpy().astype(np.int64), np.cumsum([len(ws) for ws in split])[:-1])
-    lattice = build(coded.dictionary.to_pylist(), v, alpha)
+    number = {w: k for k, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(split)))}
+    coded = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64)
+    words = np.split(coded, np.cumsum([len(ws) for ws in split])[:-1])
+    lattice = build(list(number), v, alpha)
     keys = row_keys(ids, seed)
     i = 0
     while i < len(texts):
