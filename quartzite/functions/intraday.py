@@ -64,6 +64,12 @@ PATH_BASE = [
 ]
 
 
+def guarded_corr(x: str, y: str) -> str:
+    """Correlation of the rows that have both; null, not an error, where either is constant."""
+    spread = f"(stddev_pop(case when {y} is not null then {x} end) * stddev_pop(case when {x} is not null then {y} end))"
+    return f"covar_pop({x}, {y}) / nullif({spread}, 0e0)"
+
+
 def path_sql(source: str, open_slots: int = 6, half: int = 24, close_slot: int = 42, slots: int = 48) -> str:
     """One row per (symbol, day): returns of parts of the day, realised moments, timing of amount, impact."""
     return f"""(select symbol, day,
@@ -76,7 +82,7 @@ def path_sql(source: str, open_slots: int = 6, half: int = 24, close_slot: int =
       ln(min_by(case when slot >= {half} then open end, case when slot >= {half} then slot end) / max_by(case when slot < {half} then close end, case when slot < {half} then slot end)) as lunch_gap_return,
       abs(max_by(close, slot) - min_by(open, slot)) / nullif(sum(step), 0) as path_efficiency,
       avg(case when r_prev is not null then case when sign(r) = sign(r_prev) then 1e0 else 0e0 end end) as sign_persistence,
-      corr(r, r_prev) as autocorr1,
+      {guarded_corr('r', 'r_prev')} as autocorr1,
       avg(case when n5 = 5 then r5 * r5 end) / nullif(5 * avg(r * r), 0) as variance_ratio_5,
       sqrt(sum(r * r)) as realized_volatility,
       sum(case when r < 0 then r * r else 0 end) / nullif(sum(r * r), 0) as downside_semivariance_share,
@@ -91,7 +97,7 @@ def path_sql(source: str, open_slots: int = 6, half: int = 24, close_slot: int =
       sum(case when slot < {half} then amount else -amount end) / nullif(sum(amount), 0) as half_day_imbalance,
       sum(power(amount / nullif(day_amount, 0), 2)) as volume_hhi,
       sum(slot * amount) / nullif({slots - 1} * sum(amount), 0) as amount_time_center,
-      corr(volume, r) as volume_return_corr, corr(volume, abs(r)) as volume_abs_return_corr,
+      {guarded_corr('volume', 'r')} as volume_return_corr, {guarded_corr('volume', 'abs(r)')} as volume_abs_return_corr,
       avg(case when amount > 0 then abs(r) / amount end) * 1e6 as intraday_amihud,
       sum(slot * greatest(r, 0)) / nullif(sum(greatest(r, 0)), 0) as up_center, sum(slot * abs(least(r, 0))) / nullif(sum(abs(least(r, 0))), 0) as down_center,
       sum(r * (buy_amount - sell_amount)) / nullif(sum(abs(buy_amount - sell_amount)), 0) as signed_amount_impact,
