@@ -203,7 +203,7 @@ _add("newey_west", lambda s, d: ev.newey_west(ev.rank_ic(signal_panel(s, d)).whe
 _DRIFT = f"""(with w as (select *, cast(floor(td / 4) as int) as block, 1e0 as w0 from {_PANEL_SQL}), v as (select *, w0 * exp(coalesce(sum(ln(1 + coalesce(fwd, 0))) over (partition by symbol, block order by td rows between unbounded preceding and 1 preceding), 0)) as value from w)
  select symbol, td, value / sum(value) over (partition by td) as weight from v)"""
 _add("drifted_weights", lambda s, d: ev.drifted(signal_panel(s, d).select("symbol", "td", F.floor(F.col("td") / 4).cast("int").alias("block"), F.lit(1.0).alias("w0"), F.col("fwd").alias("ret"))), _DRIFT, ["symbol", "td"], ["weight"])
-_add("pca_scores", lambda s, d: ev.pca_scores(signal_panel(s, d).withColumn("log_amount", F.log("amount")).where("td % 8 = 0"), ["signal", "log_amount", "volume"], 2), None, ["symbol", "td"], ["pc1", "pc2"])
+_add("pca_scores", lambda s, d: ev.pca_scores(signal_panel(s, d).withColumn("log_amount", F.log("amount")), ["signal", "log_amount", "volume"], 2), None, ["symbol", "td"], ["pc1", "pc2"])
 
 
 # Joins ----------------------------------------------------------------------------------------
