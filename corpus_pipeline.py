@@ -37,10 +37,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives each document as often as the mix begins it: not at all, once, or in several rounds."""
-    taken = mixing.mixed(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("starts").alias("starts")).where("starts > 0")
-    rows = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return rows.withColumn("round", F.explode(F.sequence(F.lit(1).cast("long"), F.col("starts")))).select(*COLUMNS)
+    """Gives a row for each document and round with the words that the mix takes: the whole text, or its beginning where the mix ends."""
+    mix = mixing.mix(docs).groupBy(F.col("doc_id").alias("mixed_id"), "round").agg(F.max("to").alias("to"), F.max("size").alias("size"))
+    mix = written(mix, "mix-rounds", 16)
+    join = F.col("doc_id").eqNullSafe(F.col("mixed_id"))
+    whole = docs.select(*COLUMNS).join(mix.where("to >= size"), join).select(*COLUMNS)
+    part = docs.select(*COLUMNS).join(F.broadcast(mix.where("to < size")), join).select(*COLUMNS, "to")  # one a source at most
+    part = mixing.first_words(part, "text", "to").withColumn("n_chars", F.length("text").cast("long"))
+    return whole.unionByName(part.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ on the table of sources with two running sums). Schedule: slot t of the mix is t
 frac((t + 1) * golden ratio), looked up in the cumulative targets, which names its source; the
 slots of a source are ranked. Stream: the documents of a source in a seeded random order, round
 after round, are cut into blocks of `block` words; block r belongs to the source's slot of rank r.
-The mix takes blocks for all slots, so each source gives within a few blocks of its target.
+mix() joins each slot to the word ranges of documents that its block is made of, so each source
+gives within a few blocks of its target; mixed() sums the mix by document.
 
 Running sums over a source run in buckets of its order: sums of the buckets are added up first,
 then the rows of each bucket, so that a hot source is many windows, not one.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .scratch import written
-from .textblocks import count_words
+from .textblocks import count_words, text_bytes, word_bounds
 
 GOLDEN = (math.sqrt(5.0) - 1.0) / 2.0
 WEIGHTS = (5, 2, 1)
@@ -107,15 +108,64 @@ def placed(sized: DataFrame, sources: DataFrame, bucket_docs: int = 4096) -> Dat
     return d.join(sums, ["key", "unnamed", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 256) -> DataFrame:
-    """One row per document: the id, size, source_size, target, taken, starts (rounds in which its first word is taken)."""
+def cuts(d: DataFrame, block: int) -> DataFrame:
+    """The parts of the documents of placed() that the mix takes: key, unnamed, start, id, size, rank, round, from, to.
+
+    Words from..to - 1 of the document, in that round of its source, are in the source's block `rank`.
+    """
+    d = d.where("size > 0 and take > start")
+    d = d.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("take") - 1 - F.col("start")) / F.col("source_size")))))
+    d = d.withColumn("begin", F.col("round") * F.col("source_size") + F.col("start")).withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("take")))
+    d = d.withColumn("rank", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))))
+    low, high = F.greatest("begin", F.col("rank") * block), F.least("end", (F.col("rank") + 1) * block)
+    return d.select("key", "unnamed", "start", "id", "size", "rank", "round", (low - F.col("begin")).alias("from"), (high - F.col("begin")).alias("to"))
+
+
+def _scheduled(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The placed documents, and their cuts with the slots of the mix."""
     sized = written(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     sources = written(targets(sized, weights, most), "mix-targets", 16)
-    blocks = schedule(sources, block).groupBy("key", "unnamed").agg((F.max("rank") + 1).alias("blocks"))
+    slots = written(schedule(sources, block), "mix-slots", 16)
+    blocks = slots.groupBy("key", "unnamed").agg((F.max("rank") + 1).alias("blocks"))
     sources = sources.join(blocks, ["key", "unnamed"], "left").withColumn("take", F.least(F.coalesce("blocks", F.lit(0)) * block, F.col("source_size") * most)).drop("blocks")
     sources = written(sources, "mix-take", 16)
-    d = placed(sized, sources)
-    whole, rest = F.floor(F.col("take") / F.greatest("source_size", F.lit(1))), F.pmod("take", F.greatest("source_size", F.lit(1)))
-    d = d.withColumn("taken", whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))))
-    d = d.withColumn("starts", F.when(F.col("size") > 0, whole + F.when(F.col("start") < rest, 1).otherwise(0)).otherwise(0))
-    return d.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.col("starts").cast("long").alias("starts"))
+    d = written(placed(sized, sources), "mix-placed", 16)
+    return d, cuts(d, block).join(slots, ["key", "unnamed", "rank"])
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 256) -> DataFrame:
+    """The mix, one row per slot and document in it: slot, source, rank, start, round, the id, from, to.
+
+    In order of slot, round and start the rows are the mix; each gives the words from..to - 1 of its document.
+    """
+    _, parts = _scheduled(docs, id_col, text_col, source_col, weights, most, block)
+    source = F.when(~F.col("unnamed"), F.col("key")).alias("source")
+    return parts.select("slot", source, "rank", "round", "start", F.col("id").alias(id_col), "size", "from", "to")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 256) -> DataFrame:
+    """One row per document: the id, size, source_size, target, taken, starts (rounds in which its first word is taken).
+
+    taken and starts are sums over the rows of the mix.
+    """
+    d, parts = _scheduled(docs, id_col, text_col, source_col, weights, most, block)
+    # with words, the place in the source is a row's own, whatever ids repeat
+    sums = parts.groupBy("key", "unnamed", "start").agg(F.sum(F.col("to") - F.col("from")).alias("taken"), F.sum((F.col("from") == 0).cast("long")).alias("starts"))
+    counts = d.where("size > 0").join(sums, ["key", "unnamed", "start"], "left").unionByName(d.where("size = 0"), allowMissingColumns=True)
+    return counts.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("starts", F.lit(0)).alias("starts"))
+
+
+def first_words(rows: DataFrame, text_col: str, count_col: str) -> DataFrame:
+    """rows with the text cut after so many words; what stands between them stays as it is."""
+
+    def cut(text: str | None, n: int) -> str:
+        _, ends, _ = word_bounds(*text_bytes(pa.array([text], pa.string())))
+        return (text or "").encode()[: int(ends[n - 1]) if 0 < n <= len(ends) else 0 if n <= 0 else None].decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.schema.get_field_index(text_col)
+            texts = [cut(t.as_py(), n.as_py()) for t, n in zip(b.column(k), b.column(count_col), strict=True)]
+            yield b.set_column(k, text_col, pa.array(texts, pa.string()))
+
+    return rows.mapInArrow(run, rows.schema)
