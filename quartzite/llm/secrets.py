@@ -21,6 +21,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,16 +63,17 @@ def _mixed(token: str) -> bool:
 
 
 class _Near:
-    """Disjoint intervals by start, asked for one that comes within reach in a scope."""
+    """Intervals by start, asked for one that comes within reach."""
 
     def __init__(self, spans: list[Span]) -> None:
-        self.starts = sorted(s[0] for s in spans)
-        self.ends = sorted(s[1] for s in spans)
+        found = sorted((s[0], s[1]) for s in spans)
+        self.starts = [s for s, _ in found]
+        self.ends = list(accumulate((e for _, e in found), max))
 
     def has(self, low: int, high: int) -> bool:
-        """Whether an interval lies within low..high."""
-        i = bisect_left(self.starts, low)
-        return i < bisect_right(self.ends, high) and self.starts[i] < high
+        """Whether an interval begins at high at most and ends at low at least."""
+        k = bisect_right(self.starts, high)
+        return k > 0 and self.ends[k - 1] >= low
 
 
 def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
@@ -93,7 +95,8 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
 
     def window(s: Span) -> tuple[int, int]:
         k = bisect_right(cuts, s[0])
-        low, high = (cuts[k - 1] if k else 0), (cuts[k] if k < len(cuts) else len(text))
+        # parts of the scope before end at its cut at most, those of the next begin after it
+        low, high = (cuts[k - 1] + 1 if k else 0), (cuts[k] if k < len(cuts) else len(text))
         return max(low, s[0] - reach), min(high, s[1] + reach)
 
     out = [s for s in weak_ids if near_secret.has(*window(s))]
