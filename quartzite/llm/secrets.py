@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-WEAK_ID = re.compile(r"""(?<![A-Za-z0-9])(?:(?:ASIA|AIDA|AROA)[A-Z0-9]{8,}|(?:client|account|user|tenant|access_?key|key)_?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.-]{4,})""", re.ASCII)
+WEAK_ID = re.compile(r"""(?<![A-Za-z0-9])(?:(?:ASIA|AIDA|AROA)[A-Z0-9]{8,}|(?i:(?:client|account|user|tenant|access_?key|key)_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.-]{4,})""", re.ASCII)
 BARE_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])")
 ENDPOINT = re.compile(r"""https?://[^\s"'<>]+""")
 BLANK = re.compile(r"\n[ \t\r]*\n")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-ID_MARKS = ("AKIA", "ASIA", "AIDA", "AROA", "id")
+ID_MARKS = ("akia", "asia", "aida", "aroa", "id")
 KINDS = ("assign", "access", "hex", "weak_id", "bare_key", "endpoint")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
@@ -78,7 +78,8 @@ class _Near:
 
 def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
     """The weak parts that complementary parts in the same scope bear out."""
-    if not any(m in text for m in ID_MARKS):
+    low = text.lower()
+    if not any(m in low for m in ID_MARKS):
         return []
     taken = _Overlaps(base)
     weak_ids = [(m.start(), m.end(), "weak_id") for m in WEAK_ID.finditer(text) if not taken.any(m.start(), m.end())]

@@ -29,3 +29,11 @@ def test_links_are_the_pairs_with_a_small_gap():
         if not base:
             want = [(*a, "weak_id") for a in ids if any(near(a, b) for b in keys)] + [(*b, "bare_key") for b in keys if any(near(a, b) for a in ids)]
             assert every == secrets.in_order(want)
+
+
+def test_identifiers_in_any_case_are_linked():
+    key = "aB3" * 10
+    for name in ("client_id = ", "CLIENT_ID=", "clientId: ", "AccessKeyID=", "AWS_ACCESS_KEY_ID=", "USER_ID="):
+        assert kinds(f"{name}abcd1234\n{key} https://x.org/a") == ["weak_id", "bare_key", "endpoint"]
+    assert kinds(f"ASIA1234ABCD5678\n{key}") == ["weak_id", "bare_key"]
+    assert kinds(f"asia1234ABCD5678\n{key}") == kinds(f"CLIENT=abcd1234\n{key}") == []
