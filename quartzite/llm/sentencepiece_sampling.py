@@ -496,7 +496,7 @@ def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                     pa.array(same[have]),
                 ]
                 if with_ids:
-                    columns.append(pa.array([narrow[begin[d] : begin[d + 1]] for d in have.tolist()], pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(narrow, pa.int32())).take(pa.array(have)))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
