@@ -47,16 +47,22 @@ def within(points: DataFrame, intervals: DataFrame, key: str, at: str, start: st
 
 
 def first_on_or_after(events: DataFrame, calendar: DataFrame, at: str, day: str, strict: bool = False) -> DataFrame:
-    """Events with `_day`, the first day of the calendar at or (strict) after them.
+    """Events with `_day`, the first day of the calendar at or (strict) after them; null after its last day.
 
-    The calendar, one row a trading day, is bounded; its gaps are filled once and joined by date.
+    The calendar, one row a trading day, is bounded; its gaps are filled once and joined by date. A
+    year's first day takes up from the last day of the years before; events before all days get the first.
     """
-    days = calendar.select(F.col(day).alias("_d")).distinct()
-    before = F.lag("_d").over(W.Window.partitionBy(F.year("_d")).orderBy("_d"))
-    spans = days.withColumn("_prev", F.coalesce(before, F.trunc("_d", "year") - F.expr("interval 1 day"))).withColumn("_prev", F.to_date("_prev"))
+    days = calendar.select(F.to_date(day).alias("_d")).where("_d is not null").distinct()
+    years = days.groupBy(F.year("_d").alias("_year")).agg(F.min("_d").alias("_opens"), F.max("_d").alias("_closes"))
+    years = years.withColumn("_prev_year", F.lag("_closes").over(W.Window.partitionBy(F.lit(0)).orderBy("_year"))).drop("_closes")
+    before = F.lag("_d").over(W.Window.partitionBy("_year").orderBy("_d"))
+    spans = days.withColumn("_year", F.year("_d")).join(F.broadcast(years), "_year")
+    spans = spans.withColumn("_prev", F.coalesce(before, "_prev_year", F.date_sub("_d", 1)))
     filled = spans.withColumn("_date", F.explode(F.sequence(F.date_add("_prev", 1), F.col("_d")))).select("_date", F.col("_d").alias("_day"))
     wanted = F.date_add(F.to_date(at), 1) if strict else F.to_date(at)
-    return events.withColumn("_date", wanted).join(filled, "_date", "left").drop("_date")
+    first = years.agg(F.min("_opens").alias("_first"))
+    dated = events.withColumn("_date", wanted).crossJoin(F.broadcast(first)).withColumn("_date", F.when(F.col("_date") < F.col("_first"), F.col("_first")).otherwise(F.col("_date")))
+    return dated.join(filled, "_date", "left").drop("_date", "_first")
 
 
 def keep(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
