@@ -11,13 +11,16 @@ negative the step goes against it. The class prior is the share of positives amo
 training rows; where only positives are labelled it is estimated from the scores of a first fit
 (mean score of unlabelled over mean score of positives).
 
-The fit takes bounded samples, `positives` and `unlabelled` rows with the smallest hash of the id,
-whose feature rows (about 5 kB each) go to the driver; every row is scored where it is read.
+The fit takes bounded samples, `positives` and `unlabelled` ids with the smallest hash, one text of
+each. Their features go to the driver as 16-bit numbers (2.6 kB a row), which fills one array with them
+and works in place; every row is scored where it is read.
 
 Defined results: a null or empty text has all features zero and gets a score like any other; null
 labels are no labels; a document with contradicting labels counts as positive if any label is;
+an id that repeats is one training row, of the text whose features come last as bytes;
 without any positive every score is 0.5; repeated rows get a row each; an empty table gives
-an empty table; other columns are ignored and never features.
+an empty table; other columns are ignored and never features, but one that has the name of the
+score gives way to it.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textblocks as tb
 
@@ -108,11 +112,30 @@ class Model:
         return _sigmoid(((x - self.mean) / self.scale) @ self.weights + self.bias).astype(np.float64)
 
 
+def moments(x: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each column, a block of rows at a time."""
+    parts = range(0, len(x), rows)
+    mean = sum(x[i : i + rows].sum(axis=0, dtype=np.float64) for i in parts) / len(x)
+    var = sum(((x[i : i + rows] - mean) ** 2).sum(axis=0) for i in parts) / len(x)
+    return mean, np.sqrt(var)
+
+
+def standardise(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> None:
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
+    np.clip(x, -8, 8, out=x)
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 300, rate: float = 0.03, decay: float = 2e-3) -> Model:
-    """Minimises the non-negative risk with Adam; prior None: estimated from a first fit that takes unlabelled for negative."""
-    mean, scale = unlabelled.mean(axis=0), np.maximum(unlabelled.std(axis=0), 1e-3)
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    p, u = np.clip(p, -8, 8).astype(np.float32), np.clip(u, -8, 8).astype(np.float32)
+    """Minimises the non-negative risk with Adam; prior None: estimated from a first fit that takes unlabelled for negative.
+
+    The arrays, of float32, are standardised in place.
+    """
+    mean, scale = moments(unlabelled)
+    scale = np.maximum(scale, 1e-3)
+    p, u = positive, unlabelled
+    standardise(p, mean, scale)
+    standardise(u, mean, scale)
 
     def descend(pi: float, corrected: bool) -> tuple[np.ndarray, float]:
         w, m, v = (np.zeros(p.shape[1] + 1) for _ in range(3))
@@ -163,24 +186,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                x = all_features(part.column(1)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"])
+                x = all_features(part.column(2)).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "positive", "x"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-    got = rows.select("positive", "text").mapInArrow(run, "positive int, x binary").toArrow()
-    flag = got["positive"].to_numpy()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
-    order = np.lexsort((x[:, 0], x[:, PAIRS], x.sum(axis=1), flag))  # the same sums whatever the order of arrival
-    x, flag = x[order], flag[order]
-    if not (flag == 1).any() or not (flag == 0).any():
+    found = rows.select("id", "positive", "text").mapInArrow(run, T.StructType([*rows.select("id", "positive").schema.fields, T.StructField("x", T.BinaryType())]))
+    x, flag = _ordered(found.groupBy("id", "positive").agg(F.max("x").alias("x")).select("positive", "x").toArrow())
+    n = int((flag == 0).sum())  # the unlabelled come first
+    if n in (0, len(flag)):
         return None
-    return fit(x[flag == 1], x[flag == 0], prior)
+    return fit(x[n:], x[:n], prior)
+
+
+def _ordered(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The training rows in one array, in an order that does not depend on that of their arrival."""
+    flag, column = got["positive"].to_numpy(), got["x"].combine_chunks()
+    packed, _ = tb.text_bytes(column)
+    packed = packed.view(np.float16).reshape(-1, WIDTH)
+    order = np.lexsort((packed[:, 0], packed[:, PAIRS], packed.sum(axis=1, dtype=np.float64), flag))
+    x = np.empty(packed.shape, np.float32)
+    for i in range(0, len(x), 1024):
+        x[i : i + 1024] = packed[order[i : i + 1024]]
+    return x, flag[order]
 
 
-def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with _score, which is between 0 and 1."""
+def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """docs with the score, which is between 0 and 1."""
+    docs = docs.drop(score_col)
     at = docs.columns.index(text_col)
-    schema = docs.withColumn("_score", F.lit(0.5)).schema
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,6 +223,6 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> Data
                 data, offsets = tb.text_bytes(b.column(at))
                 for i, j in tb.chunks(offsets):
                     score[i:j] = model.scores(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, score_col])
 
     return docs.mapInArrow(run, schema)
