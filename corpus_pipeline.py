@@ -32,14 +32,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near copies."""
     found = ngram_join.near_duplicates(docs)
-    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies", 16)
+    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies", small=True)
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives a row for each document and round with the words that the mix takes: the whole text, or its beginning where the mix ends."""
     mix = mixing.mix(docs).groupBy(F.col("doc_id").alias("mixed_id"), "round").agg(F.max("to").alias("to"), F.max("size").alias("size"))
-    mix = written(mix, "mix-rounds", 16)
+    mix = written(mix, "mix-rounds", small=True)
     join = F.col("doc_id").eqNullSafe(F.col("mixed_id"))
     whole = docs.select(*COLUMNS).join(mix.where("to >= size"), join).select(*COLUMNS)
     part = docs.select(*COLUMNS).join(F.broadcast(mix.where("to < size")), join).select(*COLUMNS, "to")  # one a source at most

@@ -14,8 +14,8 @@ angles, is within the threshold's angle. On vectors without regions, such as ran
 prunes nothing, and the work grows with the square of the number of distinct vectors.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
-nothing; vectors of different lengths link with nothing of another length; a null
-id takes part but its row has a null component unless linked; repeated ids give a row each; an empty
+nothing; vectors of different lengths link with nothing of another length; a row with a null
+id links with nothing and has a null component; repeated ids give a row each; an empty
 table gives an empty table; other columns are ignored.
 """
 
@@ -152,11 +152,11 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """One row per row: the id, n_links, component_id, kept."""
     spark = rows.sparkSession
     v = F.transform(F.col(vector_col), lambda x: x + F.lit(0).cast("tinyint"))  # -0.0 is 0.0
-    every = rows.select(F.col(id_col).cast("long").alias("id"), F.when(usable(F.col(vector_col)), v).alias("v"))
+    every = rows.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(id_col).isNotNull() & usable(F.col(vector_col)), v).alias("v"))
     distinct = written(every.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")), "vectors")
     links, heads = [], []
     for dim, n in sorted((r["dim"], r["count"]) for r in distinct.groupBy("dim").count().collect()):
-        one = distinct.where(F.col("dim") == dim).where("id is not null").select("id", "copies", "v")
+        one = distinct.where(F.col("dim") == dim).select("id", "copies", "v")
         pivots = min(most_pivots, max(1, -(-n // vectors_per_pivot)))
         chosen = one.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow()
         if not chosen.num_rows:
@@ -173,7 +173,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         names = blocks.select("block").withColumn("region", F.floor(F.col("block") / (1 << 32)).cast("int"))
         pairs = spark.createDataFrame(meet, "region int, region_2 int")
         pairs = names.join(F.broadcast(pairs), "region").join(names.select(F.col("block").alias("other"), F.col("region").alias("region_2")), "region_2")
-        tiles = written(pairs.select("block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "vector-tiles", 16)
+        tiles = written(pairs.select("block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "vector-tiles", small=True)
         found = blocks.join(tiles, "block").groupBy("low", "high").applyInArrow(_tile(least), "id long, links long, head long")
         found = written(found, "vector-links")
         links.append(found)
@@ -187,7 +187,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         total = total.groupBy("id").agg(F.sum("links").alias("links"))
         joined = distinct.join(total, "id", "left").join(components(edges), "id", "left")
         label = joined.select("v", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "id").alias("component"))
-    done = every.join(written(label, "vector-labels", 16), "v", "left")
+    done = every.join(written(label, "vector-labels", small=True), "v", "left")
     component = F.coalesce("component", "id")
     return done.select(
         F.col("id").alias(id_col),

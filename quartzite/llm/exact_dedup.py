@@ -7,7 +7,7 @@ Every group is an aggregate of two numbers, so a hot group costs no task more th
 
 Defined results: a null text counts as the empty text. Only A-Z are lower-cased. Repeated rows
 with one id each give a row. A null id never wins against another; a group of null ids alone
-has a null keep_id and keeps no row. Other columns of the input are ignored, whatever their
+has a null keep_id and keeps no row in exact_groups (deduplicated keeps one). Other columns of the input are ignored, whatever their
 names. An empty table gives an empty table.
 """
 
@@ -17,6 +17,8 @@ import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 from .scratch import written
 
@@ -56,10 +58,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of docs that stay, with all their columns: those whose id is the largest of their group.
+    """docs without exact copies, with all their columns: of each group one row, of its largest id.
 
-    The ids that stay are joined to the rows; rows with a null id have no winner and stay only as
-    part of a group in which no id is set (then none stays).
+    Of several rows of a group that share that id, the first by the other columns that have an order
+    stays; a group in which every id is null keeps one row in the same way.
     """
-    keep = winners(docs, id_col, text_col, salts).select(F.col("keep_id").alias(id_col)).where(F.col(id_col).isNotNull())
-    return docs.join(keep, id_col, "left_semi").select(*docs.columns)
+    key = F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull()
+    won = winners(docs, id_col, text_col, salts).select("digest", "check", F.col("keep_id").alias("id"))
+    won = written(won.select(F.col("digest").alias("d"), F.col("check").alias("c"), key[0].alias("k"), key[1].alias("u")), "exact-winners")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), normalised(text_col).alias("body"))
+    rows = rows.select("row", F.sha2("body", 256).alias("d"), F.xxhash64("body").alias("c"), key[0].alias("k"), key[1].alias("u"))
+    ordered = [F.col("row")[f.name] for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    first = F.row_number().over(W.Window.partitionBy("d", "c", "k", "u").orderBy(*ordered))
+    return rows.join(won, ["d", "c", "k", "u"], "left_semi").withColumn("place", first).where("place = 1").select("row.*")

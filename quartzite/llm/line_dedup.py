@@ -50,7 +50,7 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
 def without_boilerplate(pages: DataFrame, lines: Column, host: Column, ratio: float = 0.5, min_pages: int = 3) -> DataFrame:
     """pages with _host, host_pages, n_lines, n_dropped, clean (what stays, a line each)."""
     made = pages.select(F.struct("*").alias("row"), host.alias("host"), lines.alias("lines"))
-    drops = written(boilerplate(made.select("host", "lines"), ratio, min_pages), "site-boilerplate", 16)
+    drops = written(boilerplate(made.select("host", "lines"), ratio, min_pages), "site-boilerplate", small=True)
     drop = F.coalesce("drop", F.array().cast("array<binary>"))
     kept = F.when(F.size(drop) == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: (x == "") | ~F.array_contains(drop, _key(x))))
     joined = made.join(drops, "host").withColumn("kept", kept)

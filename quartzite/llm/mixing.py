@@ -124,12 +124,12 @@ def cuts(d: DataFrame, block: int) -> DataFrame:
 def _scheduled(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, block: int) -> tuple[DataFrame, DataFrame]:
     """The placed documents, and their cuts with the slots of the mix."""
     sized = written(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    sources = written(targets(sized, weights, most), "mix-targets", 16)
-    slots = written(schedule(sources, block), "mix-slots", 16)
+    sources = written(targets(sized, weights, most), "mix-targets", small=True)
+    slots = written(schedule(sources, block), "mix-slots", small=True)
     blocks = slots.groupBy("key", "unnamed").agg((F.max("rank") + 1).alias("blocks"))
     sources = sources.join(blocks, ["key", "unnamed"], "left").withColumn("take", F.least(F.coalesce("blocks", F.lit(0)) * block, F.col("source_size") * most)).drop("blocks")
-    sources = written(sources, "mix-take", 16)
-    d = written(placed(sized, sources), "mix-placed", 16)
+    sources = written(sources, "mix-take", small=True)
+    d = written(placed(sized, sources), "mix-placed", small=True)
     return d, cuts(d, block).join(slots, ["key", "unnamed", "rank"])
 
 

@@ -385,9 +385,9 @@ def _blocks(percent: int, width: int):
 
 def links(sets: DataFrame, clusters: DataFrame, percent: int, block_docs: int, bundles: int, width: int) -> DataFrame:
     """Rows (a, b) that connect what links connect. sets: id, n, shared; clusters: id, component of the candidates."""
-    sized = written(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "ngram-cluster-sizes", 16)
+    sized = written(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "ngram-cluster-sizes", small=True)
     parts = clusters.join(sized, "component").select("id", F.col("component").alias("cluster"), F.ceil(F.col("members") / block_docs).alias("blocks"))
-    parts = written(parts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "ngram-blocks", 16)
+    parts = written(parts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "ngram-blocks", small=True)
 
     def in_blocks(rows: DataFrame) -> DataFrame:
         """rows (id, cluster, block, query) meet their sets and are joined block by block."""
@@ -400,17 +400,17 @@ def links(sets: DataFrame, clusters: DataFrame, percent: int, block_docs: int, b
 
     plain = parts.select("id", "cluster", "block", F.lit(False).alias("query"))
     large = parts.where("blocks > 1")
-    found = written(in_blocks(plain.union(in_others(large.where("id = cluster"), False))), "ngram-links", 4)
+    found = written(in_blocks(plain.union(in_others(large.where("id = cluster"), False))), "ngram-links", small=True)
     if large.isEmpty():
         return found
     label = large.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    label = written(label, "ngram-labels", 16)
-    heads = written(label.where("id = cluster").select("cluster", F.col("component").alias("head")), "ngram-heads", 16)
-    apart = written(label.join(heads, "cluster").where("component <> head").select("id", "cluster", "block", "blocks"), "ngram-apart", 16)
+    label = written(label, "ngram-labels", small=True)
+    heads = written(label.where("id = cluster").select("cluster", F.col("component").alias("head")), "ngram-heads", small=True)
+    apart = written(label.join(heads, "cluster").where("component <> head").select("id", "cluster", "block", "blocks"), "ngram-apart", small=True)
     if apart.isEmpty():
         return found
     queries = in_others(apart, True)
-    touched = written(queries.select("cluster", "block").distinct(), "ngram-touched", 16)
+    touched = written(queries.select("cluster", "block").distinct(), "ngram-touched", small=True)
     across = in_blocks(plain.join(touched, ["cluster", "block"]).select("id", "cluster", "block", "query").union(queries))
     return found.union(across)
 
@@ -420,17 +420,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * buckets_per_partition
     sets = written(shingled(docs, id_col, text_col, n, percent, buckets), "ngram-sets")
     own = sets.where("n > 0 and id is not null")
-    least = written(own.groupBy("digest").agg(F.min("id").alias("set")), "ngram-set-ids", 16)
+    least = written(own.groupBy("digest").agg(F.min("id").alias("set")), "ngram-set-ids", small=True)
 
     # Equal sets have one carrier of keys from here on, the least id.
     carried = own.where("shared is not null")
     keyed = carried.select("id", "digest", "keys").join(least, "digest").where("id = set").select("id", F.explode("keys").alias("key"))
-    hubs = written(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets"), "ngram-hubs", 16)
+    hubs = written(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets"), "ngram-hubs", small=True)
     star = keyed.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     found = links(carried.select("id", "n", "shared"), components(star), percent, block_docs, buckets, width_for(buckets))
     joined = components(found)
 
-    named = written(least.join(joined, least.set == joined.id, "left").select("digest", F.coalesce("component", "set").alias("component")), "ngram-components", 16)
+    named = written(least.join(joined, least.set == joined.id, "left").select("digest", F.coalesce("component", "set").alias("component")), "ngram-components", small=True)
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     rows = sets.select("id", "n", "digest").join(named, "digest", "left")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

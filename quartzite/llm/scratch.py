@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (local runs, tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset and driver and executors are one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quartzite-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -23,17 +25,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def few(df: DataFrame, share: int = 16) -> DataFrame:
-    """df, whose rows are few for its many shuffle partitions, in a share of them: fewer and larger files.
+def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, its lineage cut, safe against lost executors.
 
-    The number still follows the session's shuffle partitions, and so the data.
+    small: the rows are few for the partitions that make them; Spark gathers them by size after the work is done.
     """
-    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // share))
-
-
-def written(df: DataFrame, name: str, share: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, its lineage cut, safe against lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    (few(df, share) if share else df).write.parquet(path)
+    (df.hint("rebalance") if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

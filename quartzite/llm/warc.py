@@ -9,15 +9,19 @@ holds a few MB of members and Spark's text sink puts the rows into files: gzip m
 16 MB end in a zero byte, which is left to the sink as its line end, so the files are valid and
 go to any store that Spark can write.
 
-Reading. Files are parsed one member at a time. Whole records are decoded where they are read;
-segments meet by origin identifier, are ordered by number, checked against the total length and
-joined. Then the transfer framing is undone.
+Reading. Every member begins with the same ten bytes (member_start), which serve as the line separator of
+Spark's text source: files of any size are split, and a task holds one member at a time. Archives of
+other writers, whose members begin otherwise, are read file by file. Records are parsed once, into
+a table. Whole records are decoded where they are read; segments meet by origin identifier, are
+ordered by number, checked against the total length and joined. Then the transfer framing is undone.
 
 Defined results: a null payload is empty; a null URL gives no target; control characters and
-spaces in URLs are percent-encoded; rows that repeat an id and payload are all responses; a group
-of segments with gaps, repeats of a number or a wrong total length gives a row with a null payload
-and `complete` false; chunked framing that is broken gives a null payload. Other columns are
-ignored. An empty table writes no record and reads as an empty table.
+spaces in URLs are percent-encoded; rows that repeat an id and payload are all responses, and
+revisits refer to the record of the first of them; a group of segments with gaps, without its first
+one, with repeats of a number or a wrong total length gives one row with a null payload and
+`complete` false (its record is the origin named by its segments); chunked framing that is broken
+gives a null payload. Other columns are ignored. An empty table writes no record and reads as an
+empty table.
 """
 
 from __future__ import annotations
@@ -43,13 +47,15 @@ SCHEMA = "record_id string, record_type string, page_id long, url string, refers
 
 
 def roles(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int) -> DataFrame:
-    """page_id, url, payload, digest, bytes, winner (the page whose response stands for it, or null)."""
+    """page_id, url, payload, digest, ordinal, winner (the page whose response stands for it, or null), winner_ordinal (of its first row)."""
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
+    rows = rows.withColumn("ordinal", F.monotonically_increasing_id())  # the same in each reading of a table's files
     rows = rows.withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long"), "check": F.xxhash64("payload")})
     keys = ["digest", "bytes", "check"]
-    groups = rows.where(F.col("bytes") >= min_revisit).groupBy(*keys).agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(written(groups, "warc-copies", 16), keys, "left").drop("check")
+    groups = rows.where(F.col("bytes") >= min_revisit).groupBy(*keys).agg(F.max(F.struct("page_id", -F.col("ordinal"))).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = groups.select(*keys, F.col("top.page_id").alias("winner"), (-F.col("top.col2")).alias("winner_ordinal"))
+    return rows.join(written(groups, "warc-copies", small=True), keys, "left").drop("check")
 
 
 def _quoted(url: str) -> str:
@@ -83,7 +89,7 @@ def unchunked(body: bytes) -> bytes | None:
     return None
 
 
-def page_records(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, winner: int | None, segment_bytes: int, chunk: int) -> list[bytes]:
+def page_records(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, winner: int | None, winner_row: int | None, segment_bytes: int, chunk: int) -> list[bytes]:
     """The records of one page, uncompressed."""
     name = "null" if page_id is None else str(page_id)
     urn = f"<urn:page:{name}:{row}>"
@@ -92,7 +98,7 @@ def page_records(page_id: int | None, row: int, url: str | None, payload: bytes,
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if winner is not None and winner != page_id:
         block = http + b"Content-Length: %d\r\n\r\n" % len(payload)
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", urn), *common, *mark, ("WARC-Profile", IDENTICAL), ("WARC-Refers-To", f"<urn:page:{winner}>"), ("Content-Type", "application/http; msgtype=response")]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", urn), *common, *mark, ("WARC-Profile", IDENTICAL), ("WARC-Refers-To", f"<urn:page:{winner}:{winner_row}>"), ("Content-Type", "application/http; msgtype=response")]
         return [_head(fields, block) + block + END]
     if len(payload) > chunk:
         block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk)
@@ -114,13 +120,18 @@ def page_records(page_id: int | None, row: int, url: str | None, payload: bytes,
     return out
 
 
+def member_start(level: int = 2) -> bytes:
+    """The ten bytes with which every member begins that is written at that level."""
+    return _member(b"", level)[:10]
+
+
 def _member(record: bytes, level: int) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(record) + z.flush()
 
 
 def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 1000, segment_bytes: int = 32 << 10, chunk: int = 8 << 10, level: int = 2, row_bytes: int = 4 << 20) -> str:
-    """Writes .warc.gz members under path (by default in the shared folder); returns the path."""
+    """Writes files of gzip members under path (by default in the shared folder), named as Spark's text sink names them; returns the path."""
     if not 256 <= segment_bytes < 15 << 20:
         raise ValueError("segment_bytes must lie between 256 bytes and 15 MB")
 
@@ -129,8 +140,8 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
         held = 0
         for b in batches:
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                page_id, url, payload, digest, winner, ordinal = row
-                for r in page_records(page_id, ordinal, url, payload, digest, winner, segment_bytes, chunk):
+                page_id, url, payload, digest, winner, winner_row, ordinal = row
+                for r in page_records(page_id, ordinal, url, payload, digest, winner, winner_row, segment_bytes, chunk):
                     members.append(_member(r, level))
                     held += len(members[-1])
                 if held >= row_bytes:
@@ -140,7 +151,7 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]])], ["value"])
 
     path = path or new_path(pages.sparkSession, "warc")
-    rows = roles(pages, id_col, url_col, payload_col, min_revisit).select("page_id", "url", "payload", "digest", "winner", F.monotonically_increasing_id().alias("ordinal"))
+    rows = roles(pages, id_col, url_col, payload_col, min_revisit).select("page_id", "url", "payload", "digest", "winner", "winner_ordinal", "ordinal")
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 4).text(path)
     return path
 
@@ -178,28 +189,62 @@ def _page(urn: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all files under path, as they stand (SCHEMA)."""
+_KINDS = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("declared_digest", pa.string()), ("declared_bytes", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total_bytes", pa.int64()), ("block", pa.binary())])
+
+
+def _row(record: bytes) -> tuple:
+    f, block = parsed(record)
+    digest = f.get("warc-payload-digest", "")
+    length = re.search(rb"\r\ncontent-length: *(\d+)", block[:4096].lower()) if f["warc-type"] == "revisit" else None
+    number = lambda name: int(f[name]) if name in f else None
+    return (
+        f["warc-record-id"],
+        f["warc-type"],
+        _page(f["warc-record-id"]),
+        f.get("warc-target-uri"),
+        _page(f.get("warc-refers-to")),
+        base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None,
+        int(length[1]) if length else None,
+        f.get("warc-segment-origin-id"),
+        number("warc-segment-number"),
+        number("warc-segment-total-length"),
+        block,
+    )
+
+
+def _held(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS.types, strict=True)], schema=_KINDS)
+
+
+def read_archives(spark: SparkSession, path: str, level: int | None = 2) -> DataFrame:
+    """The records of all files under path, as they stand (SCHEMA).
+
+    level: at which the members were written, or None for archives whose members begin in several
+    ways; those are read a file at a time.
+    """
+    member = None if level is None else member_start(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("declared_digest", pa.string()), ("declared_bytes", pa.int64()), ("origin", pa.string()), ("segment", pa.int32()), ("total_bytes", pa.int64()), ("block", pa.binary())])
+        rows: list[tuple] = []
+        held = 0
         for b in batches:
             for content in b.column(0):
-                rows: list[tuple] = []
-                held = 0
-                for record in members(content.as_py()):
-                    f, block = parsed(record)
-                    digest = f.get("warc-payload-digest", "")
-                    length = re.search(rb"\r\ncontent-length: *(\d+)", block[:4096].lower()) if f["warc-type"] == "revisit" else None
-                    rows.append((f["warc-record-id"], f["warc-type"], _page(f["warc-record-id"]), f.get("warc-target-uri"), _page(f.get("warc-refers-to")), base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None, int(length[1]) if length else None, f.get("warc-segment-origin-id"), int(f["warc-segment-number"]) if "warc-segment-number" in f else None, int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, block))
-                    held += len(block)
+                data = content.as_py()
+                if not data:  # before the first separator of a file
+                    continue
+                for record in members(data if member is None else member + data):
+                    rows.append(_row(record))
+                    held += len(rows[-1][-1])
                     if held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+                        yield _held(rows)
                         rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+        if rows:
+            yield _held(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+    if member is None:
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+    pieces = spark.read.option("lineSep", member.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    return pieces.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, SCHEMA)
 
 
 def http_payload(block: bytes | None) -> bytes | None:
@@ -210,21 +255,32 @@ def http_payload(block: bytes | None) -> bytes | None:
     return unchunked(body) if re.search(rb"\r\ntransfer-encoding: *chunked", head) else body
 
 
+_FIELDS = ["record_id", "page_id", "url", "record_type", "refers_to", "declared_digest", "declared_bytes"]
+
+
 def reassembled(records: DataFrame) -> DataFrame:
-    """One row per origin of segments: record_id, block (null if not complete)."""
+    """One row per origin of segments: the fields of its first segment and block (null if not complete)."""
+    have = [f for f in _FIELDS if f in records.columns]
 
     def run(group: pa.Table) -> pa.Table:
         g = group.sort_by("segment")
         numbers, total = g["segment"].to_pylist(), [t for t in g["total_bytes"].to_pylist() if t is not None]
         block = b"".join(g["block"].to_pylist())
         good = numbers == list(range(1, len(numbers) + 1)) and total[-1:] == [len(block)] and len(total) == 1
-        return pa.table({"record_id": [g["origin"][0].as_py()], "block": pa.array([block if good else None], pa.binary())})
+        first = g.slice(0, 1).select(have)
+        if numbers[0] != 1:  # what the lost first segment said is not known
+            origin = g["origin"][0].as_py()
+            known = {"record_id": origin, "page_id": _page(origin), "record_type": "response"}
+            known |= {c: g[c][0].as_py() for c in have if c == "url"}
+            first = pa.table([pa.array([known.get(c)], first.schema.field(c).type) for c in have], schema=first.schema)
+        return first.append_column(pa.field("block", pa.binary()), pa.array([block if good else None], pa.binary()))
 
-    parts = records.where(F.col("segment").isNotNull()).select(F.coalesce("origin", "record_id").alias("origin"), "segment", "total_bytes", "block")
-    return parts.groupBy("origin").applyInArrow(run, "record_id string, block binary")
+    parts = records.where("segment is not null").select(F.coalesce("origin", "record_id").alias("origin"), "segment", "total_bytes", *have, "block")
+    schema = T.StructType([records.schema[f] for f in [*have, "block"]])
+    return parts.groupBy("origin").applyInArrow(run, schema)
 
 
-def responses(spark: SparkSession, path: str) -> DataFrame:
+def responses(spark: SparkSession, path: str, level: int | None = 2) -> DataFrame:
     """One row per page of the archives: record_id, page_id, url, record_type, refers_to, declared_digest, declared_bytes, complete, payload (null for revisits)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,11 +288,7 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
             out = [None if kind == "revisit" else http_payload(block) for kind, block in zip(b.column("record_type").to_pylist(), b.column("block").to_pylist(), strict=True)]
             yield b.set_column(b.schema.get_field_index("block"), "block", pa.array(out, pa.binary()))
 
-    fields = ["record_id", "page_id", "url", "record_type", "refers_to", "declared_digest", "declared_bytes"]
-    records = read_archives(spark, path)
-    heads = records.where("segment = 1").select(*fields)
-    joined = heads.join(reassembled(records), "record_id").select(*fields, "block")
-    whole = records.where("segment is null").select(*fields, "block")
-    schema = T.StructType([*whole.schema.fields])
-    done = whole.unionByName(joined).mapInArrow(decode, schema)
+    records = written(read_archives(spark, path, level), "warc-records")
+    whole = records.where("segment is null").select(*_FIELDS, "block")
+    done = whole.unionByName(reassembled(records)).mapInArrow(decode, whole.schema)
     return done.withColumnRenamed("block", "payload").withColumn("complete", (F.col("record_type") == "revisit") | F.col("payload").isNotNull())

@@ -133,3 +133,39 @@ def test_line_dedup_by_brute_force(spark):
         assert got[i].n_lines == len(lines) and got[i].n_dropped == len(lines) - len(keep)
         assert (got[i].clean or "") == "\n".join(keep)
     assert line_dedup.without_boilerplate(d.limit(0), line_dedup.text_lines(F.col("html")), line_dedup.host_of(F.col("url"))).count() == 0
+
+
+def test_deduplicated_with_repeated_and_null_ids(spark):
+    rows = [(8, "same", 1), (8, "SAME", 2), (8, "x", 3), (9, "x", 4), (None, "lone", 5), (None, "Lone", 6), (None, "x", 7), (8, "same", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, d int")
+    got = sorted((r.doc_id or 0, lower(r.text)) for r in exact_dedup.deduplicated(d).collect())
+    assert got == [(0, "lone"), (8, "same"), (9, "x")]
+    assert exact_dedup.deduplicated(d).columns == d.columns
+    assert exact_dedup.deduplicated(d.limit(0)).count() == 0
+
+
+def test_shards_with_clashing_names_and_a_hot_id(spark):
+    rows = [(5, f"text {i}", i, "s") for i in range(400)] + [(i, "t" * (i % 9), i, None) for i in range(400)] + [(7, "w " * 50000, 1, "long")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _size int, _SLOT string")
+    got = sharding.slots(sharding.write_shards(d, bucket_bytes=512)).collect()
+    assert len(got) == len(rows) and {"_size_", "_SLOT_"} <= set(got[0].asDict())
+    assert sorted((r.doc_id, r.text, r._size_) for r in got) == sorted((r[0], r[1], r[2]) for r in rows)
+    assert all(r._size == len(r.text) + 1 for r in got)
+    hot = [r for r in got if r.doc_id == 5 and r.text.startswith("text")]
+    assert len({r._shard for r in hot}) == 1 and len({r._bucket for r in hot}) > 5
+    by = defaultdict(list)
+    for r in got:
+        by[r._shard].append(r._slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_sharding_is_a_rendezvous_and_a_shuffle(spark):
+    d = spark.createDataFrame([(i, "t") for i in range(2000)], "doc_id long, text string")
+    weights = [[F.xxhash64("doc_id", F.lit(j), F.lit(7)).alias(f"w{j}") for j in range(17)]]
+    want = {r.doc_id: [r[f"w{j}"] for j in range(17)] for r in d.select("doc_id", *weights[0]).collect()}
+    got = sharding.slots(sharding.write_shards(d)).collect()
+    for r in got:
+        w = want[r.doc_id]
+        assert r._shard == max(range(16), key=lambda j: w[j]) and r._grown == max(range(17), key=lambda j: w[j])
+    ahead = [sum(a < b for a, b in zip(ids, ids[1:], strict=False)) / len(ids) for ids in ([r.doc_id for r in sorted(got, key=lambda r: r._slot) if r._shard == s] for s in range(16))]
+    assert all(0.3 < x < 0.7 for x in ahead)  # neither in order nor reversed

@@ -134,3 +134,31 @@ def test_pipeline_stages_one_by_one(spark):
     encoded = stages[4](spark, mixed, comparing.DATA).collect()
     assert {r.doc_id for r in encoded} == set(times)
     assert all(r.round_trip and len(r.ids) == r.n_pieces and r["sample"] in (0, 1) for r in encoded)
+
+
+def test_warc_lost_first_segment_and_references(spark, tmp_path):
+    big = "".join(f"line {i}\n" for i in range(2000))
+    pages = spark.createDataFrame([(1, "u1", big), (2, "u2", big), (3, "u3", big[:-1]), (4, None, "z" * 1200), (4, None, "z" * 1200), (5, None, "z" * 1200)], "page_id long, url string, html string")
+    path = warc.write_archives(pages, f"file://{tmp_path}/w", segment_bytes=1000, chunk=700)
+    records = warc.read_archives(spark, path).collect()
+    names = [r.record_id for r in records]
+    assert len(names) == len(set(names))
+    as_files = warc.read_archives(spark, path, None).collect()
+    assert sorted(names) == sorted(r.record_id for r in as_files)
+    lost = spark.createDataFrame([r for r in records if not (r.page_id == 3 and r.segment == 1)], warc.SCHEMA)
+    got = {r.page_id: r for r in warc.reassembled(lost).collect()}
+    assert {2, 3} <= set(got)
+    assert got[3].block is None and got[3].record_type == "response" and got[3].url == "u3"
+    assert got[2].block is not None
+
+
+def test_warc_revisits_name_records(spark, tmp_path):
+    import gzip
+    from pathlib import Path
+
+    pages = spark.createDataFrame([(1, "u", "z" * 1200), (4, "u", "z" * 1200), (4, "v", "z" * 1200), (2, "u", "y" * 1200), (7, "u", "y" * 1200)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/w")
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path, "w").glob("part-*")).decode()
+    names = set(re.findall(r"WARC-Record-ID: (\S+)", text))
+    refers = re.findall(r"WARC-Refers-To: (\S+)", text)
+    assert len(names) == 5 and len(refers) == 2 and set(refers) <= names
