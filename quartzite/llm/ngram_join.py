@@ -10,16 +10,19 @@
 3. Candidates. With the n-grams in one global order, rarest first, two linked sets share one of
    the first |x| - ceil(0.8 |x|) + 1 of each (prefix filter). Sets with a common prefix n-gram
    are joined to a hub, and the hubs' components are clusters that no link leaves.
-4. Signature trees. Clusters are cut into blocks. Each block gives its shared n-grams bits of
-   their own and builds a tree whose nodes hold the OR of their members' bitmaps and the range of
-   their sizes. Two nodes are traversed together and pruned if the sizes can't match or the common
-   bits, the largest possible overlap, are too few. At the leaves the common bits are the exact
-   overlap. A copy of the cluster's first member goes into every block.
-5. Links between blocks. Sets that step 4 linked to the cluster's first member, directly or
-   through others, are one component already. The others, few in a group of copies, go to all
-   blocks of their cluster as queries, again by dual traversal.
-
-Nothing is capped or sampled. N-grams count as equal if 40 bits of their hash and the bucket are.
+4. Signature trees. Clusters are cut into blocks of sets of one size class (linked sets are of the
+   same class or of the next). Each block gives its shared n-grams bits of their own and builds a
+   tree whose nodes hold the OR of their members' bitmaps and the range of their sizes. Two nodes
+   are traversed together and pruned if the sizes can't match or the common bits, the largest
+   possible overlap, are too few. At the leaves the common bits are the exact overlap. The first
+   members of a cluster's classes are copied into all blocks of their own and the next classes.
+5. Links between blocks. Step 4 leaves one large component in a cluster of copies. The sets outside
+   of their cluster's largest component go as queries to those blocks, of their size class and the
+   next ones, in which a set has one of their prefix n-grams; dual traversal again, in pieces of
+   bounded size.
+
+Nothing is capped or sampled. N-grams are equal if 64 bits of their hash are, so a pair of sets of
+300 n-grams has one false match in 2 * 10**14 pairs.
 
 Defined results: a null or empty text, or one of white space, has an empty set and links with
 nothing; fewer than n words are one n-gram; a null id is left out of links and has a null
@@ -36,14 +39,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .components import components
 from .scratch import written
 
-LOW = np.uint64((1 << 40) - 1)
 _RNG = np.random.default_rng(0x51E7)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 HOT_IN_BATCH = 32
@@ -99,9 +101,13 @@ def unpack_places(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, np.uint8 if len(blob) == n else np.uint16), dtype=np.int64)
 
 
-def width_for(buckets: int) -> int:
-    """Bytes that hold 40 bits and a bucket's number."""
-    return 5 + -(-max(1, (buckets - 1).bit_length()) // 8)
+def bucket_bits(partitions: int) -> int:
+    """So many leading bits of a hash name its bucket that 7 bytes hold the others."""
+    return max(8, (4 * partitions - 1).bit_length())
+
+
+def unpack_in(bucket: int, bits: int, blob: bytes) -> np.ndarray:
+    return unpack(blob, 7) | np.uint64(bucket << (64 - bits))
 
 
 # 1 and 2: sets, frequencies -----------------------------------------------------------------
@@ -114,8 +120,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROUTED.types, strict=True)], schema=_ROUTED)
 
 
-def _scatter(n: int, buckets: int):
-    """Texts to packed n-grams by bucket, and a directory of the batch."""
+def _scatter(n: int, bits: int):
+    """Texts to packed n-grams by bucket, and a directory of the batch. A batch has at most a row for each n-gram."""
+    buckets, shift = 1 << bits, np.uint64(64 - bits)
 
     def one(ids: list, column: pa.Array, batch: int) -> Iterator[pa.RecordBatch]:
         data, offsets = tb.text_bytes(column)
@@ -127,28 +134,26 @@ def _scatter(n: int, buckets: int):
         sizes = np.array([len(s) for s in own], np.int64)
         grams = np.concatenate(own) if own else np.zeros(0, np.uint64)
         place = np.repeat(np.arange(len(own), dtype=np.int64), sizes)
-        bucket = ((grams >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        full = (bucket.astype(np.uint64) << np.uint64(40)) | (grams & LOW)
-        order = np.argsort(full)
-        full, place, bucket = full[order], place[order].astype(np.uint16), bucket[order]
-        low = full & LOW
-        new = np.ones(len(low), bool)
+        order = np.argsort(grams)
+        full, place = grams[order], place[order].astype(np.uint16)
+        bucket = (full >> shift).astype(np.int64)
+        new = np.ones(len(full), bool)
         new[1:] = full[1:] != full[:-1]
-        runs = np.diff(np.append(np.flatnonzero(new), len(low)))
+        runs = np.diff(np.append(np.flatnonzero(new), len(full)))
         hot = np.repeat(runs >= HOT_IN_BATCH, runs)
         yield _batch([(batch % buckets, batch, None, None, None, None, pickle.dumps((ids, local, digests, sizes, place[hot], full[hot])))])
         flagged = new & hot
         rows = []
-        cold_low, cold_place, cold_bucket = low[~hot], place[~hot], bucket[~hot]
+        cold, cold_place, cold_bucket = full[~hot], place[~hot], bucket[~hot]
         at = np.searchsorted(cold_bucket, np.arange(buckets + 1))
-        flag_low, flag_bucket = low[flagged], bucket[flagged]
+        flag, flag_bucket = full[flagged], bucket[flagged]
         flag_at = np.searchsorted(flag_bucket, np.arange(buckets + 1))
         for k in range(buckets):
             a, b, c, d = at[k], at[k + 1], flag_at[k], flag_at[k + 1]
             if a == b and c == d:
                 continue
             by_place = np.argsort(cold_place[a:b], kind="stable")
-            rows.append((k, batch, pack_places(cold_place[a:b][by_place].astype(np.int64)), pack(cold_low[a:b][by_place], 5), None, pack(flag_low[c:d], 5), None))
+            rows.append((k, batch, pack_places(cold_place[a:b][by_place].astype(np.int64)), pack(cold[a:b][by_place], 7), None, pack(flag[c:d], 7), None))
             if len(rows) >= 64:
                 yield _batch(rows)
                 rows = []
@@ -173,8 +178,8 @@ def frequency_class(count: np.ndarray) -> np.ndarray:
 
 def _frequencies(group: pa.Table) -> pa.Table:
     """Of one bucket: each batch gets back its n-grams that several sets have, with their frequency."""
-    grams = [unpack(x, 5) if x else np.zeros(0, np.uint64) for x in group["grams"].to_pylist()]
-    flags = [unpack(x, 5) for x in group["flags"].to_pylist() if x]
+    grams = [unpack(x, 7) if x else np.zeros(0, np.uint64) for x in group["grams"].to_pylist()]
+    flags = [unpack(x, 7) for x in group["flags"].to_pylist() if x]
     lengths = [len(g) for g in grams]
     everything = np.concatenate([*grams, *flags]) if grams or flags else np.zeros(0, np.uint64)
     _, where, counts = np.unique(everything, return_inverse=True, return_counts=True)
@@ -191,7 +196,7 @@ def _frequencies(group: pa.Table) -> pa.Table:
         shared = counts[mine] > 1
         if shared.any():
             place = unpack_places(places, len(gram))[shared]
-            out.append((bucket, batch, pack_places(place), pack(gram[shared], 5), df[mine][shared].tobytes(), None, None))
+            out.append((bucket, batch, pack_places(place), pack(gram[shared], 7), df[mine][shared].tobytes(), None, None))
     return pa.Table.from_batches([_batch(out)] if out else [], _ROUTED)
 
 
@@ -199,7 +204,7 @@ SETS = "id long, n long, digest binary, shared binary, keys array<long>"
 _SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("shared", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
-def _prefixes(percent: int, width: int):
+def _prefixes(percent: int, bits: int):
     """Of one batch: every document's size and digest; of each set that may have a partner its shared n-grams and prefix."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -209,7 +214,7 @@ def _prefixes(percent: int, width: int):
         for bucket, p, g, d in zip(group["bucket"].to_pylist(), group["places"].to_pylist(), group["grams"].to_pylist(), group["df"].to_pylist(), strict=True):
             if p is not None:
                 places.append(unpack_places(p, len(d)))
-                grams.append(unpack(g, 5) | (np.uint64(bucket) << np.uint64(40)))
+                grams.append(unpack_in(bucket, bits, g))
                 df.append(np.frombuffer(d, np.uint8))
         place, gram, rank = np.concatenate(places).astype(np.int64), np.concatenate(grams), np.concatenate(df)
         use = (np.bincount(place, minlength=len(sizes)) * 100 >= percent * sizes)[place]
@@ -224,8 +229,8 @@ def _prefixes(percent: int, width: int):
             if n and have * 100 >= percent * n:
                 mine = gram[bounds[k] : bounds[k + 1]]
                 prefix = n - -(-percent * n // 100) + 1 - (n - have)
-                keys[k] = mine[:prefix].astype(np.int64)
-                shared[k] = pack(np.sort(mine), width)
+                keys[k] = mine[:prefix].view(np.int64)
+                shared[k] = np.sort(mine).tobytes()
         least: dict[int, int] = {}  # of each set the row that carries it: that of the least id
         for row, k in enumerate(local.tolist()):
             if ids[row] is not None and (k not in least or ids[row] < ids[least[k]]):
@@ -239,11 +244,12 @@ def _prefixes(percent: int, width: int):
     return run
 
 
-def shingled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, buckets: int) -> DataFrame:
+def shingled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    bits = bucket_bits(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    routed = picked.mapInArrow(_scatter(n, buckets), ROUTED)
+    routed = picked.mapInArrow(_scatter(n, bits), ROUTED)
     counted = routed.groupBy("bucket").applyInArrow(_frequencies, ROUTED)
-    return counted.groupBy("batch").applyInArrow(_prefixes(percent, width_for(buckets)), SETS)
+    return counted.groupBy("batch").applyInArrow(_prefixes(percent, bits), SETS)
 
 
 # 4 and 5: signature trees -------------------------------------------------------------------
@@ -358,23 +364,22 @@ def forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(percent: int, width: int):
-    """Links within each block of the clusters of one bundle."""
+def _blocks(percent: int):
+    """Links within each block, or piece of one, of one bundle."""
+    by = ["cluster", "block", "piece"]
 
     def run(group: pa.Table) -> pa.Table:
-        g = group.sort_by([("cluster", "ascending"), ("block", "ascending"), ("id", "ascending")])
-        cluster, block = g["cluster"].to_numpy(), g["block"].to_numpy()
+        g = group.sort_by([(c, "ascending") for c in [*by, "id"]])
         ids, sizes = g["id"].to_numpy(), g["n"].to_numpy()
-        query, shared = g["query"].to_numpy(zero_copy_only=False), g["shared"].to_pylist()
-        edge = np.flatnonzero(np.append(True, (cluster[1:] != cluster[:-1]) | (block[1:] != block[:-1])))
+        query, shared = g["query"].to_numpy(zero_copy_only=False), g["shared"].combine_chunks()
+        changes = np.any([np.diff(g[c].to_numpy()) != 0 for c in by], axis=0)
+        edge = np.flatnonzero(np.append(True, changes))
         out_a, out_b = [], []
         for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True):
-            if e - s < 2:
-                continue
             mask = query[s:e]
-            if mask.any() and mask.all():
+            if e - s < 2 or mask.all():
                 continue
-            sets = [unpack(x, width) for x in shared[s:e]]
+            sets = [np.frombuffer(x, "<u8") for x in shared.slice(s, e - s).to_pylist()]
             for a, b in forest(linked(sets, sizes[s:e], mask if mask.any() else None, percent), e - s):
                 out_a.append(ids[s + a])
                 out_b.append(ids[s + b])
@@ -383,52 +388,85 @@ def _blocks(percent: int, width: int):
     return run
 
 
-def links(sets: DataFrame, clusters: DataFrame, percent: int, block_docs: int, bundles: int, width: int) -> DataFrame:
-    """Rows (a, b) that connect what links connect. sets: id, n, shared; clusters: id, component of the candidates."""
-    sized = written(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "ngram-cluster-sizes", small=True)
-    parts = clusters.join(sized, "component").select("id", F.col("component").alias("cluster"), F.ceil(F.col("members") / block_docs).alias("blocks"))
-    parts = written(parts.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "ngram-blocks", small=True)
+def size_class(n: str, percent: int) -> Column:
+    """Sets that link have sizes of one class or of two that follow each other."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+
+
+def _sub_block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(blocks))
+
+
+def _block(size: str, sub: Column) -> Column:
+    return (F.col(size) * F.lit(1 << 40) + sub).alias("block")
+
+
+def links(sets: DataFrame, keyed: DataFrame, clusters: DataFrame, percent: int, block_docs: int, bundle_sets: int = 4096) -> DataFrame:
+    """Rows (a, b) that connect what links connect. sets: id, n, shared; keyed: id, key; clusters: id, component of the candidates.
+
+    An id that repeats may have several sets, of one size class or of more.
+    """
+    spark = sets.sparkSession
+    sets = sets.withColumn("size", size_class("n", percent))
+    members = clusters.join(sets.select("id", "size").distinct(), "id").select("id", F.col("component").alias("cluster"), "size")
+    classes = members.groupBy("cluster", "size").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("blocks"), F.min("id").alias("head"))
+    classes = written(classes, "ngram-classes", small=True)
+    parts = members.join(classes.drop("head"), ["cluster", "size"]).select("id", "cluster", "size", _block("size", _sub_block("blocks")))
+    parts = written(parts, "ngram-blocks", small=True)
+    several = written(classes.groupBy("cluster").agg(F.sum("blocks").alias("blocks")).where("blocks > 1").select("cluster"), "ngram-large", small=True)
 
     def in_blocks(rows: DataFrame) -> DataFrame:
-        """rows (id, cluster, block, query) meet their sets and are joined block by block."""
-        full = rows.join(sets, "id").withColumn("bundle", F.pmod(F.xxhash64("cluster", "block"), F.lit(bundles)))
-        return full.groupBy("bundle").applyInArrow(_blocks(percent, width), "a long, b long")
-
-    def in_others(rows: DataFrame, query: bool) -> DataFrame:
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        return rows.withColumn("other", other).where("other <> block").select("id", "cluster", F.col("other").alias("block"), F.lit(query).alias("query"))
-
-    plain = parts.select("id", "cluster", "block", F.lit(False).alias("query"))
-    large = parts.where("blocks > 1")
-    found = written(in_blocks(plain.union(in_others(large.where("id = cluster"), False))), "ngram-links", small=True)
-    if large.isEmpty():
+        """rows (id, size, cluster, block, piece, query) meet their sets and are joined piece by piece."""
+        bundles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // bundle_sets))
+        full = rows.join(sets, ["id", "size"]).withColumn("bundle", F.pmod(F.xxhash64("cluster", "block", "piece"), F.lit(bundles)))
+        return full.groupBy("bundle").applyInArrow(_blocks(percent), "a long, b long")
+
+    def rows_of(df: DataFrame, query: bool) -> DataFrame:
+        return df.select("id", "size", "cluster", "block", F.lit(0).cast("long").alias("piece"), F.lit(query).alias("query"))
+
+    # The heads of three classes go to each block but their own.
+    large = classes.join(several, "cluster", "left_semi")
+    near = F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])).alias("near")
+    heads = large.withColumn("id", F.col("head")).select("cluster", "id", "size", _block("size", _sub_block("blocks")).alias("own"), near)
+    targets = large.select("cluster", F.col("size").alias("near"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("sub")).select("cluster", "near", _block("near", F.col("sub")))
+    copies = heads.join(targets, ["cluster", "near"]).where("block <> own")
+    first = written(rows_of(parts, False).union(rows_of(copies, False)), "ngram-rows", small=True)
+    found = written(in_blocks(first), "ngram-links", small=True)
+    if several.isEmpty():
         return found
-    label = large.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    label = parts.join(several, "cluster", "left_semi").join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
     label = written(label, "ngram-labels", small=True)
-    heads = written(label.where("id = cluster").select("cluster", F.col("component").alias("head")), "ngram-heads", small=True)
-    apart = written(label.join(heads, "cluster").where("component <> head").select("id", "cluster", "block", "blocks"), "ngram-apart", small=True)
+    sizes = label.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("sets"))
+    most = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("sets", "component")).alias("most"))
+    apart = written(label.join(most, "cluster").where("component <> most").select("id", "cluster", "size", "block"), "ngram-apart", small=True)
     if apart.isEmpty():
         return found
-    queries = in_others(apart, True)
-    touched = written(queries.select("cluster", "block").distinct(), "ngram-touched", small=True)
-    across = in_blocks(plain.join(touched, ["cluster", "block"]).select("id", "cluster", "block", "query").union(queries))
-    return found.union(across)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_docs: int = 128, buckets_per_partition: int = 4) -> DataFrame:
+    wanted = apart.select("id", "size", F.col("block").alias("own"), near).join(keyed, "id")
+    holders = parts.join(apart.select("cluster").distinct(), "cluster", "left_semi").join(keyed, "id").select("cluster", F.col("size").alias("near"), "block", "key").distinct()
+    queries = wanted.join(holders, ["key", "near"]).where("block <> own").select("id", "size", "cluster", "block").distinct()
+    queries = written(queries, "ngram-queries", small=True)
+    pieces = queries.groupBy("cluster", "block").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("pieces"))
+    pieces = written(pieces, "ngram-pieces", small=True)
+    dealt = queries.join(pieces, ["cluster", "block"]).select("id", "size", "cluster", "block", F.pmod(F.xxhash64("id"), F.col("pieces")).alias("piece"), F.lit(True).alias("query"))
+    held = parts.join(pieces, ["cluster", "block"]).select("id", "size", "cluster", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(False).alias("query"))
+    across = written(held.union(dealt), "ngram-across", small=True)
+    return found.union(in_blocks(across))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_docs: int = 128) -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id (smallest id reachable by links, itself included)."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * buckets_per_partition
-    sets = written(shingled(docs, id_col, text_col, n, percent, buckets), "ngram-sets")
+    sets = written(shingled(docs, id_col, text_col, n, percent), "ngram-sets")
     own = sets.where("n > 0 and id is not null")
     least = written(own.groupBy("digest").agg(F.min("id").alias("set")), "ngram-set-ids", small=True)
 
     # Equal sets have one carrier of keys from here on, the least id.
     carried = own.where("shared is not null")
     keyed = carried.select("id", "digest", "keys").join(least, "digest").where("id = set").select("id", F.explode("keys").alias("key"))
+    keyed = written(keyed, "ngram-keys")
     hubs = written(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets"), "ngram-hubs", small=True)
     star = keyed.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    found = links(carried.select("id", "n", "shared"), components(star), percent, block_docs, buckets, width_for(buckets))
-    joined = components(found)
+    joined = components(links(carried.select("id", "n", "shared"), keyed, components(star), percent, block_docs))
 
     named = written(least.join(joined, least.set == joined.id, "left").select("digest", F.coalesce("component", "set").alias("component")), "ngram-components", small=True)
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
