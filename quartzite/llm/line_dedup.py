@@ -1,7 +1,7 @@
 """Line deduplication relative to the site, by DataFrame operations alone.
 
 For each host, the share of its pages that contain a line decides: lines on more than `ratio` of
-the host's pages, and on `min_pages` of them at least, are boilerplate and are dropped from every
+the host's pages, and on `min_pages` of them at least (2: a line of one page repeats nowhere), are boilerplate and are dropped from every
 page of that host. The boilerplate of one host is a short list: lines above the ratio number at
 most (mean lines of a page) / ratio. So pages meet a list per host, and no page is taken apart and
 put together again. Lines are counted by partial aggregation before they are shuffled.
@@ -47,7 +47,7 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     return totals.join(dropped, "host", "left")
 
 
-def without_boilerplate(pages: DataFrame, lines: Column, host: Column, ratio: float = 0.5, min_pages: int = 3) -> DataFrame:
+def without_boilerplate(pages: DataFrame, lines: Column, host: Column, ratio: float = 0.5, min_pages: int = 2) -> DataFrame:
     """pages with _host, host_pages, n_lines, n_dropped, clean (what stays, a line each)."""
     made = pages.select(F.struct("*").alias("row"), host.alias("host"), lines.alias("lines"))
     drops = written(boilerplate(made.select("host", "lines"), ratio, min_pages), "site-boilerplate", small=True)

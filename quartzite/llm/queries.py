@@ -115,7 +115,7 @@ with p as (select page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-
   from pages),
 h as (select host, count(*) as host_pages from p group by host),
 l as (select host, line, count(*) as n from (select host, unnest(list_distinct(lines)) as line from p) group by host, line),
-b as (select host, list(line) as dropped from l join h using (host) where n >= 3 and n > host_pages * cast(0.5 as double) group by host),
+b as (select host, list(line) as dropped from l join h using (host) where n >= 2 and n > host_pages * cast(0.5 as double) group by host),
 k as (select page_id, host, host_pages, lines, case when dropped is null then lines else list_filter(lines, lambda x: not list_contains(dropped, x)) end as kept
   from p join h using (host) left join b using (host))
 select page_id, host, host_pages, cast(len(lines) as int) as n_lines, cast(len(lines) - len(kept) as int) as n_dropped, coalesce(array_to_string(kept, chr(10)), '') as clean from k

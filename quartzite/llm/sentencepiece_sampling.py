@@ -15,7 +15,7 @@ All draws are hashes of (seed, row key, sample, position), so a row's samples do
 neighbours, its task or the number of tasks.
 
 Pieces never reach over a space after other characters or over a line end, so the lattice is built
-once for each distinct word of half a MB of text, and texts share it. Scores: a unigram model's
+once for each distinct word of a MB of text, and texts share it. Scores: a unigram model's
 scores are log-probabilities; a BPE model's are ranks, which are taken as log-probabilities by
 Zipf's law, -log(rank + 3) less the log of their sum. `alpha` sharpens or flattens both.
 Characters without a piece fall back to byte pieces. A text begins with the dummy space.
@@ -190,7 +190,7 @@ def build(words: list[str], v: Vocabulary, alpha: float = 1.0) -> Lattice:
     piece = np.concatenate([*pieces, -1 - codes[rest].astype(np.int64)])
     counts = np.bincount(node, minlength=n)
     first = np.concatenate([[0], np.cumsum(counts)])
-    rank = np.empty(len(node), np.int64)  # shorter pieces first
+    rank = np.empty(len(node), np.int64)  # shorter pieces first: more segmentations follow them
     taken, at = np.zeros(n, np.int64), 0
     for group in [*nodes, rest]:
         rank[at : at + len(group)] = taken[group]
@@ -354,17 +354,34 @@ class Sampler:
         keep = np.zeros(n, np.int64)  # steps kept from the parent
         without: list[tuple[int, ...]] = [()] * n
         rest = np.zeros(n)  # share that stays untaken at the branch
-        for d in go.tolist():
-            s, t = self.samples[which[d]], int(step[d])
+        out = np.zeros(n, np.int64)  # the edge that the parent took there
+        again = np.zeros(n, bool)  # the parent branched there too, so more than one edge is gone
+        for k, s in enumerate(self.samples):
+            mine = go[which[go] == k]
+            t = step[mine]
             s.agenda[t] = -np.inf
-            gone = (int(s.edge[t]), *(s.without[d] if s.branch[d] == t else ()))
-            node_first = int(np.searchsorted(lat.first, gone[0], "right")) - 1
-            edges = [e for e in range(int(lat.first[node_first]), int(lat.first[node_first + 1])) if e not in gone]
+            out[mine], again[mine] = s.edge[t], s.branch[mine] == t
+            keep[mine], branch_occ[mine] = t - s.begin[mine], self.occ[k][t]
+        once = go[~again[go]]
+        node = np.searchsorted(lat.first, out[once], "right") - 1
+        share, first, last = lat.share[out[once]], lat.first[node], lat.first[node + 1] - 1
+        point = u[once] * (1 - share)
+        below = np.where(out[once] > first, lat.below[np.maximum(out[once] - 1, 0)], 0.0)  # the share before the edge that is gone
+        point = np.where(point >= below, point + share, point)
+        edge = choose(lat, node, point)
+        missed = edge == out[once]  # by rounding, next to the edge that is gone
+        edge = np.where(missed, np.where(edge < last, edge + 1, edge - 1), edge)
+        turn[once], rest[once] = edge, np.where(last - first > 1, np.maximum(1 - share - lat.share[edge], 0.0), 0.0)
+        for d, e in zip(once.tolist(), out[once].tolist(), strict=True):
+            without[d] = (e,)
+        for d in go[again[go]].tolist():
+            gone = (int(out[d]), *self.samples[which[d]].without[d])
+            at = int(np.searchsorted(lat.first, gone[0], "right")) - 1
+            edges = [e for e in range(int(lat.first[at]), int(lat.first[at + 1])) if e not in gone]
             shares = lat.share[edges]
             cum = np.cumsum(shares)
             pick = min(int(np.searchsorted(cum, u[d] * cum[-1], "right")), len(edges) - 1)
             turn[d], without[d], rest[d] = edges[pick], gone, float(cum[-1] - shares[pick]) if len(edges) > 1 else 0.0
-            keep[d], branch_occ[d] = t - s.begin[d], self.occ[which[d]][t]
         # Fresh walks: the rest of the branch's word, and all later words.
         later = np.flatnonzero((top > -np.inf)[self.doc] & (np.arange(len(self.word)) > branch_occ[self.doc]))
         inside = go[lat.target[turn[go]] != END]
@@ -462,7 +479,7 @@ def sampled_batch(ids: list, texts: list[str], v: Vocabulary, k: int, alpha: flo
 RESULT = "id long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean"
 
 
-def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 4, alpha: float = 0.5, seed: int = 11, with_ids: bool = False, lattice_chars: int = 1 << 19) -> DataFrame:
+def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 4, alpha: float = 0.5, seed: int = 11, with_ids: bool = False, lattice_chars: int = 1 << 20) -> DataFrame:
     """Up to k rows a document: the id, sample (0: the largest perturbed value), n_pieces, log_prob, perturbed,
     log_inclusion, ids_crc32 (of the ids as 32-bit little-endian numbers), round_trip, and ids if asked for.
 

@@ -129,7 +129,7 @@ def test_line_dedup_by_brute_force(spark):
             count[host(u), line] += 1
     for i, u, t in pages:
         lines = t.split("\n") if t is not None else []
-        keep = [x for x in lines if x == "" or not (count[host(u), x] >= 3 and count[host(u), x] > 0.5 * total[host(u)])]
+        keep = [x for x in lines if x == "" or not (count[host(u), x] >= 2 and count[host(u), x] > 0.5 * total[host(u)])]
         assert got[i].n_lines == len(lines) and got[i].n_dropped == len(lines) - len(keep)
         assert (got[i].clean or "") == "\n".join(keep)
     assert line_dedup.without_boilerplate(d.limit(0), line_dedup.text_lines(F.col("html")), line_dedup.host_of(F.col("url"))).count() == 0
