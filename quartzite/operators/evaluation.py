@@ -25,23 +25,43 @@ def group_weights(panel: DataFrame, n: int) -> DataFrame:
     return g.withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(W.Window.partitionBy("td", "grp")))
 
 
-def group_test(panel: DataFrame, n: int, fee: float) -> DataFrame:
-    """Return, L1 turnover and net return of each group and date, and of the spread (group 0): top less bottom."""
-    w = group_weights(panel, n)
-    pnl = w.groupBy("td", "grp").agg(F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("gross"), F.count(F.lit(1)).alias("names"))
-    before = w.select("symbol", (F.col("td") + 1).alias("td"), "grp", F.col("weight").alias("old"))
-    days = panel.select("td").distinct()
-    moves = w.select("symbol", "td", "grp", "weight").join(before, ["symbol", "td", "grp"], "full").join(days, "td", "left_semi")
-    turnover = moves.groupBy("td", "grp").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("turnover"))
-    one = pnl.join(turnover, ["td", "grp"]).select("td", "grp", "names", "gross", "turnover")
-    ends = one.where(F.col("grp").isin(1, n)).groupBy("td").agg(F.sum("names").alias("names"), F.sum(F.when(F.col("grp") == n, F.col("gross")).otherwise(-F.col("gross"))).alias("gross"), F.sum("turnover").alias("turnover"), F.count(F.lit(1)).alias("k"))
-    spread = ends.where("k = 2").select("td", F.lit(0).alias("grp"), "names", "gross", "turnover")
-    return one.unionByName(spread).withColumn("net", F.col("gross") - F.lit(fee) * F.col("turnover"))
+def group_test(panel: DataFrame, n: int, fee: float, turning_fee: bool = True) -> DataFrame:
+    """Return, L1 turnover and net return of each group and date, and of the spread (group 0): top less bottom.
+
+    A missing return counts 0. Turnover is the sum of absolute changes of weights from the date
+    before; names that leave count on the date after their last. With turning_fee, the fee is added
+    instead of taken off in a group whose returns sum to 0 or less, so that a group to be sold short
+    is charged too. A group has a row on the dates of the panel on which it has names or names
+    leave it. The spread is that of the net returns, its turnover the sum of both.
+    """
+    own = W.Window.partitionBy("symbol").orderBy("td")
+    w = group_weights(panel, n).select("symbol", "td", "grp", "weight", "fwd")
+    w = w.select("*", *[f("td").over(own).alias(f"{k}_td") for k, f in (("last", F.lag), ("next", F.lead))], *[f("grp").over(own).alias(f"{k}_grp") for k, f in (("last", F.lag), ("next", F.lead))], F.lag("weight").over(own).alias("old"))
+    stays = F.coalesce((F.col("last_td") == F.col("td") - 1) & (F.col("last_grp") == F.col("grp")), F.lit(False))
+    leaves = ~F.coalesce((F.col("next_td") == F.col("td") + 1) & (F.col("next_grp") == F.col("grp")), F.lit(False))
+    here = F.struct(F.col("td"), F.lit(1).alias("names"), (F.col("weight") * F.coalesce("fwd", F.lit(0.0))).alias("gross"), F.when(stays, F.abs(F.col("weight") - F.col("old"))).otherwise(F.col("weight")).alias("turnover"))
+    after = F.struct((F.col("td") + 1).alias("td"), F.lit(0).alias("names"), F.lit(0.0).alias("gross"), F.col("weight").alias("turnover"))
+    moves = w.select("grp", F.explode(F.when(leaves, F.array(here, after)).otherwise(F.array(here))).alias("m")).select("grp", "m.*")
+    one = moves.groupBy("td", "grp").agg(*[F.sum(c).alias(c) for c in ("names", "gross", "turnover")])
+    one = one.join(panel.select("td").distinct(), "td", "left_semi")
+    sign = F.when(F.sum("gross").over(W.Window.partitionBy("grp")) > 0, 1.0).otherwise(-1.0 if turning_fee else 1.0)
+    one = one.withColumn("net", F.col("gross") - F.lit(fee) * F.col("turnover") * sign)
+    side = lambda c: F.sum(F.when(F.col("grp") == n, F.col(c)).otherwise(-F.col(c)))
+    # Each row is its group's, and those of the two ends count in the spread too.
+    both = one.withColumn("to", F.explode(F.when(F.col("grp").isin(1, n), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    made = both.groupBy("td", F.when(F.col("to"), 0).otherwise(F.col("grp")).alias("grp_")).agg(
+        F.sum("names").alias("names"),
+        F.when(F.col("grp_") == 0, side("gross")).otherwise(F.sum("gross")).alias("gross"),
+        F.sum("turnover").alias("turnover"),
+        F.when(F.col("grp_") == 0, side("net")).otherwise(F.sum("net")).alias("net"),
+        F.count(F.lit(1)).alias("k"),
+    )
+    return made.where("grp_ > 0 or k = 2").select("td", F.col("grp_").alias("grp"), "names", "gross", "turnover", "net")
 
 
 def average_rank(x: Column, by: str = "td") -> Column:
-    """Ranks with ties averaged, among the rows of `by`."""
-    return F.rank().over(W.Window.partitionBy(by).orderBy(x)) + (F.count(x).over(W.Window.partitionBy(by, x)) - 1) / F.lit(2.0)
+    """Ranks with ties averaged, among the rows of `by`; nulls come last."""
+    return F.rank().over(W.Window.partitionBy(by).orderBy(x.asc_nulls_last())) + (F.count(x).over(W.Window.partitionBy(by, x)) - 1) / F.lit(2.0)
 
 
 def rank_ic(panel: DataFrame) -> DataFrame:
@@ -52,15 +72,24 @@ def rank_ic(panel: DataFrame) -> DataFrame:
 
 
 def performance(returns: DataFrame, by: str, value: str, year: int = 250) -> DataFrame:
-    """Mean, deviation, Sharpe ratio, largest drawdown (from 1) and hit rate of series of returns."""
+    """Mean, Sharpe ratio, largest drawdown with its dates, and hit rate of series of returns.
+
+    Wealth begins at 1, which is the first peak; peak_td is null where that is the peak. A return of
+    -1 or less is a total loss: wealth is 0 from that date on and the drawdown 1.
+    """
     order = W.Window.partitionBy(by).orderBy("td").rowsBetween(W.Window.unboundedPreceding, 0)
-    curve = returns.withColumn("wealth", F.exp(F.sum(F.log1p(F.col(value))).over(order)))
+    lost = F.max((F.col(value) <= -1).cast("int")).over(order) == 1
+    curve = returns.where(F.col(value).isNotNull()).withColumn("wealth", F.when(lost, 0.0).otherwise(F.exp(F.sum(F.when(F.col(value) > -1, F.log1p(F.col(value)))).over(order))))
     curve = curve.withColumn("peak", F.greatest(F.lit(1.0), F.max("wealth").over(order)))
+    curve = curve.withColumn("_top", F.last(F.when(F.col("wealth") == F.col("peak"), F.col("td")), ignorenulls=True).over(order))
+    curve = curve.withColumn("_fall", 1 - F.col("wealth") / F.col("peak"))
     return curve.groupBy(by).agg(
+        F.max_by("_top", F.struct("_fall", -F.col("td"))).alias("peak_td"),
+        F.max_by("td", F.struct("_fall", -F.col("td"))).alias("trough_td"),
         F.count(value).alias("days"),
         (F.avg(value) * year).alias("annual_return"),
         (F.avg(value) / F.nullif(F.stddev_samp(value), F.lit(0.0)) * F.sqrt(F.lit(float(year)))).alias("sharpe"),
-        F.max(1 - F.col("wealth") / F.col("peak")).alias("max_drawdown"),
+        F.max("_fall").alias("max_drawdown"),
         F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("hit_rate"),
     )
 
@@ -72,33 +101,67 @@ def rebalanced(panel: DataFrame, every: int) -> DataFrame:
     return d.join(held, ["symbol", "_formed"], "left").withColumn("signal", F.col("_held")).drop("_held", "_formed")
 
 
-def hysteresis(panel: DataFrame, enter: float, leave: float) -> DataFrame:
-    """Membership that begins at a rank of at least `enter` and lasts while the rank is at least `leave`."""
-    pct = average_rank(F.col("signal")) / F.count("signal").over(day())
-    d = panel.where("signal is not null").withColumn("pct", pct)
-    state = F.when(F.col("pct") >= enter, 1).when(F.col("pct") < leave, 0)
-    order = W.Window.partitionBy("symbol").orderBy("td").rowsBetween(W.Window.unboundedPreceding, 0)
-    return d.withColumn("member", F.coalesce(F.last(state, ignorenulls=True).over(order), F.lit(0)))
+def fridays(panel: DataFrame, date: str) -> DataFrame:
+    """The signal of the last Friday, or before the first of them that of the first date, carried to the dates after it.
+
+    A symbol without a row on the date of formation has a null signal.
+    """
+    days = panel.select("td", F.col(date).alias("_date")).distinct()
+    order = W.Window.partitionBy(F.lit(0)).orderBy("td").rowsBetween(W.Window.unboundedPreceding, 0)  # the calendar: a row a date
+    formed = F.last(F.when((F.weekday("_date") == 4) | (F.row_number().over(order.rowsBetween(W.Window.unboundedPreceding, 0)) == 1), F.col("td")), ignorenulls=True).over(order)
+    held = panel.select("symbol", F.col("td").alias("_formed"), F.col("signal").alias("_held"))
+    d = panel.join(days.select("td", formed.alias("_formed")), "td")
+    return d.join(held, ["symbol", "_formed"], "left").withColumn("signal", F.col("_held")).drop("_held", "_formed")
+
+
+def hysteresis(panel: DataFrame, enter: float = 0.1, leave: float = 0.2) -> DataFrame:
+    """symbol, td, pct, long, short: membership that begins in the outer share `enter` of the ranks and lasts within `leave`.
+
+    A date without a rank, or without a row, ends it.
+    """
+    if not 0 < enter < leave <= 0.5:
+        raise ValueError("0 < enter < leave <= 0.5 is needed")
+    pct = F.when(F.col("signal").isNotNull(), average_rank(F.col("signal")) / F.count("signal").over(day()))
+    d = panel.select("symbol", "td", "signal").withColumn("pct", pct)
+    rows = W.Window.partitionBy("symbol").orderBy("td")
+    d = d.withColumn("_new", F.when(F.lag("td").over(rows) == F.col("td") - 1, 0).otherwise(1))
+    d = d.withColumn("_run", F.sum("_new").over(rows.rowsBetween(W.Window.unboundedPreceding, 0)))
+    run = W.Window.partitionBy("symbol", "_run").orderBy("td").rowsBetween(W.Window.unboundedPreceding, 0)
+
+    def member(begins: Column, ends: Column) -> Column:
+        state = F.when(begins, 1).when(F.col("pct").isNull() | ends, 0)
+        return F.coalesce(F.last(state, ignorenulls=True).over(run), F.lit(0))
+
+    p = F.col("pct")
+    d = d.withColumns({"long": member(p >= 1 - enter, p < 1 - leave), "short": member(p <= enter, p > leave)})
+    return d.select("symbol", "td", "pct", "long", "short")
 
 
 def minimum_holding(membership: DataFrame, days: int) -> DataFrame:
-    """Membership held for `days` rows at least once begun: a counter by symbol, so a small state machine."""
+    """long and short membership kept for `days` rows of the symbol at least once begun, long before short: a counter a symbol."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("td")
-        held, state, out = 0, 0, []
-        for want in pdf["member"].to_numpy():
-            if state and held < days:
-                held += 1
-            elif want:
-                held = held + 1 if state else 1
-                state = 1
-            else:
-                state, held = 0, 0
-            out.append(state)
-        return pdf.assign(held=np.array(out, np.int64))[["symbol", "td", "member", "held"]]
-
-    return membership.select("symbol", "td", F.col("member").cast("long").alias("member")).groupBy("symbol").applyInPandas(run, "symbol int, td int, member long, held long")
+        held, out = [0, 0], []
+        for wants in zip(pdf["long"].to_numpy() > 0, pdf["short"].to_numpy() > 0, strict=True):
+            is_long = wants[0] or 0 < held[0] < days
+            is_short = (wants[1] or 0 < held[1] < days) and not is_long
+            held = [held[0] + 1 if is_long else 0, held[1] + 1 if is_short else 0]
+            out.append(held)
+        made = np.array(out, np.int64).reshape(-1, 2)
+        return pdf[["symbol", "td"]].assign(held_long=made[:, 0], held_short=made[:, 1])
+
+    return membership.select("symbol", "td", "long", "short").groupBy("symbol").applyInPandas(run, "symbol int, td int, held_long long, held_short long")
+
+
+def book_weights(panel: DataFrame, method: str) -> DataFrame:
+    """symbol, td, w_long, w_short from rows (symbol, td, signal, long, short): equal ("ew"), by rank ("rank") or by z-score ("zscore"), of sum 1 a book."""
+    pct = average_rank(F.col("signal")) / F.count("signal").over(day())
+    z = (F.col("signal") - F.avg("signal").over(day())) / F.nullif(F.stddev_samp("signal").over(day()), F.lit(0.0))
+    high, low = {"ew": (F.lit(1.0), F.lit(1.0)), "rank": (pct, 1 - pct), "zscore": (F.greatest(z, F.lit(0.0)), F.greatest(-z, F.lit(0.0)))}[method]
+    d = panel.where("signal is not null").select("symbol", "td", F.when(F.col("long") == 1, high).alias("l"), F.when(F.col("short") == 1, low).alias("s"))
+    share = lambda c: F.coalesce(F.col(c) / F.nullif(F.sum(c).over(day()), F.lit(0.0)), F.lit(0.0))
+    return d.select("symbol", "td", share("l").alias("w_long"), share("s").alias("w_short"))
 
 
 def drifted(weights: DataFrame) -> DataFrame:

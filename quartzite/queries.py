@@ -13,12 +13,14 @@ from .functions import order_book as book
 from .functions import order_flow as flow
 from .operators import evaluation as ev
 from .operators import joins
-from .plans.staged import Stage, duck, output, staged, staged_sql
+from .plans.staged import Stage, duck, full_output, output, staged, staged_sql
 from .sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+#: The same queries and SQL with values in full precision, for tests with a tolerance.
+FULL: dict[str, tuple[Query, str]] = {}
 
 
 def add_staged(name: str, source: Callable[[str], str], tables: list[str], stages: list[Stage], keys: list[str], values: list[str], where: str = "true") -> None:
@@ -26,10 +28,16 @@ def add_staged(name: str, source: Callable[[str], str], tables: list[str], stage
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         start = panels.query(spark, sf_dir, f"select * from {source('spark')}", tables)
-        return staged(start, stages).where(where).selectExpr(*output(keys, values))
+        return staged(start, stages).where(where)
 
-    QUERIES[name] = run
-    ORACLE[name] = f"select {', '.join(output(keys, values))} from {duck(staged_sql(source('check'), stages))} where {where}"
+    _add(name, run, f"{duck(staged_sql(source('check'), stages))} where {where}", keys, values)
+
+
+def _add(name: str, run: Query, check: str | None, keys: list[str], values: list[str]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir).selectExpr(*output(keys, values))
+    if check:
+        ORACLE[name] = f"select {', '.join(output(keys, values))} from {check}"
+        FULL[name] = (lambda spark, sf_dir: run(spark, sf_dir).selectExpr(*full_output(keys, values)), f"select {', '.join(full_output(keys, values))} from {check}")
 
 
 def add_sql(name: str, tables: list[str], text: str, check: str | None = None) -> None:
@@ -166,39 +174,58 @@ _TEST = f"""(with w as {_WEIGHTED}, d as (select distinct td from {_PANEL_SQL}),
 pnl as (select td, grp, count(*) as names, sum(weight * coalesce(fwd, 0)) as gross from w group by td, grp),
 mv as (select coalesce(a.td, b.td + 1) as td, coalesce(a.grp, b.grp) as grp, abs(coalesce(a.weight, 0) - coalesce(b.weight, 0)) as x from w a full join w b on a.symbol = b.symbol and a.grp = b.grp and a.td = b.td + 1),
 t as (select td, grp, sum(x) as turnover from mv where td in (select td from d) group by td, grp),
-one as (select td, grp, names, gross, turnover from pnl join t using (td, grp)),
-sp as (select td, 0 as grp, sum(names) as names, sum(case when grp = 5 then gross else -gross end) as gross, sum(turnover) as turnover from one where grp in (1, 5) group by td having count(*) = 2)
-select *, gross - 0.00075 * turnover as net from (select * from one union all select * from sp))"""
+one as (select td, grp, coalesce(names, 0) as names, coalesce(gross, 0) as gross, turnover from t left join pnl using (td, grp)),
+net as (select *, gross - 0.00075 * turnover * case when (select sum(gross) from one o where o.grp = one.grp) > 0 then 1 else -1 end as net from one),
+sp as (select h.td, 0 as grp, h.names + l.names as names, h.gross - l.gross as gross, h.turnover + l.turnover as turnover, h.net - l.net as net from net h join net l on h.td = l.td and h.grp = 5 and l.grp = 1)
+select * from net union all select * from sp)"""
 
 
 def signal_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(panels.weekly(spark, sf_dir), _SIGNAL).select("symbol", "td", "close", "volume", "amount", "signal", "fwd")
 
 
-def _add(name: str, run: Query, check: str | None, keys: list[str], values: list[str]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir).selectExpr(*output(keys, values))
-    if check:
-        ORACLE[name] = f"select {', '.join(output(keys, values))} from {check}"
-
-
 _add("decile_groups", lambda s, d: ev.group_weights(signal_panel(s, d), 5), _WEIGHTED, ["symbol", "td", "grp"], ["signal", "weight"])
 _add("group_test", lambda s, d: ev.group_test(signal_panel(s, d), 5, 0.00075), _TEST, ["td", "grp"], ["names", "gross", "turnover", "net"])
 _IC = f"""(select td, corr(rs, rf) as ic, count(*) as names from (select td, rank() over (partition by td order by signal) + (count(*) over (partition by td, signal) - 1) / 2.0 as rs,
   rank() over (partition by td order by fwd) + (count(*) over (partition by td, fwd) - 1) / 2.0 as rf from {_PANEL_SQL} where signal is not null and fwd is not null) group by td)"""
 _add("rank_ic", lambda s, d: ev.rank_ic(signal_panel(s, d)), _IC, ["td"], ["ic", "names"])
-_PERF = f"""(select grp, count(net) as days, avg(net) * 250 as annual_return, avg(net) / nullif(stddev_samp(net), 0) * sqrt(250) as sharpe, max(1 - wealth / peak) as max_drawdown, avg(case when net > 0 then 1.0 else 0.0 end) as hit_rate
- from (select *, greatest(1, max(wealth) over (partition by grp order by td)) as peak from (select *, exp(sum(ln(1 + net)) over (partition by grp order by td)) as wealth from (select grp, td, net from {_TEST} where grp > 0 and net > -1))) group by grp)"""
-_add("performance", lambda s, d: ev.performance(ev.group_test(signal_panel(s, d), 5, 0.00075).where("grp > 0 and net > -1"), "grp", "net"), _PERF, ["grp"], ["days", "annual_return", "sharpe", "max_drawdown", "hit_rate"])
+_PERF = f"""(with c as (select grp, td, net, coalesce(product(greatest(1 + net, 0)) over (partition by grp order by td), 1) as wealth from {_TEST} where grp > 0 and net is not null),
+ p as (select *, greatest(1, max(wealth) over (partition by grp order by td)) as peak from c),
+ q as (select p.*, 1 - wealth / peak as fall, (select max(o.td) from p o where o.grp = p.grp and o.td <= p.td and o.wealth = o.peak) as top, row_number() over (partition by grp order by 1 - wealth / peak desc, td) as worst from p)
+ select grp, count(net) as days, avg(net) * 250 as annual_return, avg(net) / nullif(stddev_samp(net), 0) * sqrt(250) as sharpe, max(fall) as max_drawdown, avg(case when net > 0 then 1.0 else 0.0 end) as hit_rate,
+  max(case when worst = 1 then top end) as peak_td, max(case when worst = 1 then td end) as trough_td from q group by grp)"""
+_add("performance", lambda s, d: ev.performance(ev.group_test(signal_panel(s, d), 5, 0.00075).where("grp > 0"), "grp", "net"), _PERF, ["grp", "peak_td", "trough_td"], ["days", "annual_return", "sharpe", "max_drawdown", "hit_rate"])
 _REB = f"(select a.symbol, a.td, a.fwd, b.signal from {_PANEL_SQL} a left join {_PANEL_SQL} b on a.symbol = b.symbol and b.td = a.td - a.td % 4)"
 _add("rebalanced", lambda s, d: ev.rebalanced(signal_panel(s, d), 4), _REB, ["symbol", "td"], ["signal", "fwd"])
-_HYS = f"""(select symbol, td, pct, coalesce(last_value(case when pct >= 0.9e0 then 1 when pct < 0.8e0 then 0 end ignore nulls) over (partition by symbol order by td rows between unbounded preceding and current row), 0) as member
- from (select symbol, td, (rank() over (partition by td order by signal) + (count(*) over (partition by td, signal) - 1) / 2e0) / count(*) over (partition by td) as pct from {_PANEL_SQL} where signal is not null))"""
-_add("hysteresis", lambda s, d: ev.hysteresis(signal_panel(s, d), 0.9, 0.8), _HYS, ["symbol", "td", "member"], ["pct"])
-_add("minimum_holding", lambda s, d: ev.minimum_holding(ev.hysteresis(signal_panel(s, d), 0.9, 0.8), 5), None, ["symbol", "td", "member", "held"], [])
+_RANKS = f"""(select symbol, td, signal, case when signal is not null then (rank() over (partition by td order by signal nulls last) + (count(*) over (partition by td, signal) - 1) / 2e0) / count(signal) over (partition by td) end as pct from {_PANEL_SQL})"""
+_HYS = f"""(with recursive r as (select *, row_number() over (partition by symbol order by td) as n from {_RANKS}),
+ m as (select symbol, td, pct, n, case when pct >= 0.9e0 then 1 else 0 end as long, case when pct <= 0.1e0 then 1 else 0 end as short from r where n = 1
+  union all select r.symbol, r.td, r.pct, r.n, case when r.pct >= 0.9e0 then 1 when r.pct is null or r.pct < 0.8e0 or r.td > m.td + 1 then 0 else m.long end,
+   case when r.pct <= 0.1e0 then 1 when r.pct is null or r.pct > 0.2e0 or r.td > m.td + 1 then 0 else m.short end from m join r on r.symbol = m.symbol and r.n = m.n + 1)
+ select * from m)"""
+_add("hysteresis", lambda s, d: ev.hysteresis(signal_panel(s, d), 0.1, 0.2), _HYS, ["symbol", "td", "long", "short"], ["pct"])
+_HOLD = f"""(with recursive h as {_HYS},
+ k as (select symbol, td, n, long as held_long, case when long = 0 then short else 0 end as held_short from h where n = 1
+  union all select h.symbol, h.td, h.n, case when h.long = 1 or k.held_long between 1 and 4 then k.held_long + 1 else 0 end,
+   case when (h.short = 1 or k.held_short between 1 and 4) and not (h.long = 1 or k.held_long between 1 and 4) then k.held_short + 1 else 0 end from k join h on h.symbol = k.symbol and h.n = k.n + 1)
+ select symbol, td, cast(held_long as bigint) as held_long, cast(held_short as bigint) as held_short from k)"""
+_add("minimum_holding", lambda s, d: ev.minimum_holding(ev.hysteresis(signal_panel(s, d), 0.1, 0.2), 5), _HOLD, ["symbol", "td", "held_long", "held_short"], [])
+
+
+def _books_of(s: SparkSession, d: str, method: str) -> DataFrame:
+    panel = signal_panel(s, d)
+    return ev.book_weights(panel.select("symbol", "td", "signal").join(ev.hysteresis(panel, 0.1, 0.2), ["symbol", "td"]), method)
+
+
+for _method, _scores in (("ew", ("1e0", "1e0")), ("rank", ("r.pct", "1 - r.pct")), ("zscore", ("greatest(z, 0)", "greatest(-z, 0)"))):
+    _add(f"weights_{_method}", lambda s, d, m=_method: _books_of(s, d, m), f"""(with z as (select r.*, (signal - avg(signal) over (partition by td)) / nullif(stddev_samp(signal) over (partition by td), 0) as z from {_RANKS} r where signal is not null),
+ q as (select r.symbol, r.td, case when long = 1 then {_scores[0]} end as l, case when short = 1 then {_scores[1]} end as s from z r join {_HYS} h on r.symbol = h.symbol and r.td = h.td),
+ t as (select td, sum(l) as tl, sum(s) as ts from q group by td)
+ select symbol, q.td, coalesce(l / nullif(tl, 0), 0) as w_long, coalesce(s / nullif(ts, 0), 0) as w_short from q join t on q.td = t.td)""", ["symbol", "td"], ["w_long", "w_short"])
 _OVER = f"(with w as {_WEIGHTED} select symbol, td + k as td, sum(weight) / 4 as weight from w, range(4) r(k) where grp = 5 group by symbol, td + k)"
 _add("overlapped", lambda s, d: ev.overlapped(ev.group_weights(signal_panel(s, d), 5).where("grp = 5"), 4), _OVER, ["symbol", "td"], ["weight"])
 _NW = f"""(select 0 as grp, count(*) as days, avg(ic) as mean, avg(ic) / nullif(sqrt(greatest(sum(dev * dev) + 2 * (0.75 * coalesce(sum(dev * l1), 0) + 0.5 * coalesce(sum(dev * l2), 0) + 0.25 * coalesce(sum(dev * l3), 0)), 0)) / count(*), 0) as t_value
- from (select *, lag(dev, 1) over (order by td) as l1, lag(dev, 2) over (order by td) as l2, lag(dev, 3) over (order by td) as l3 from (select td, ic, ic - avg(ic) over () as dev from {_IC} where ic is not null and not isnan(ic) and names >= 10)))"""
+ from (select *, lag(dev, 1) over (order by td) as l1, lag(dev, 2) over (order by td) as l2, lag(dev, 3) over (order by td) as l3 from (select td, ic, ic - avg(ic) over () as dev from {_IC} where ic is not null and not isnan(ic) and names >= 10)) having count(*) > 0)"""
 _add("newey_west", lambda s, d: ev.newey_west(ev.rank_ic(signal_panel(s, d)).where("ic is not null and not isnan(ic) and names >= 10").withColumn("grp", F.lit(0)), "grp", "ic", 3), _NW, ["grp"], ["days", "mean", "t_value"])
 _DRIFT = f"""(with w as (select *, cast(floor(td / 4) as int) as block, 1e0 as w0 from {_PANEL_SQL}), v as (select *, w0 * exp(coalesce(sum(ln(1 + coalesce(fwd, 0))) over (partition by symbol, block order by td rows between unbounded preceding and 1 preceding), 0)) as value from w)
  select symbol, td, value / sum(value) over (partition by td) as weight from v)"""
@@ -246,7 +273,7 @@ def first_trading_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.first_on_or_after(o, days, "o_orderdate", "d").select("o_orderkey", F.col("_day").cast("string").alias("day"))
 
 
-_add("first_trading_day", first_trading_day, "(with d as (select distinct cast(l_shipdate as date) as d from lineitem where l_partkey % 50 = 0) select o_orderkey, cast((select min(d) from d where d.d >= cast(o_orderdate as date) and year(d.d) = year(o_orderdate)) as varchar) as day from orders)", ["o_orderkey", "day"], [])
+_add("first_trading_day", first_trading_day, "(with d as (select distinct cast(l_shipdate as date) as d from lineitem where l_partkey % 50 = 0) select o_orderkey, cast((select min(d) from d where d.d >= cast(o_orderdate as date)) as varchar) as day from orders)", ["o_orderkey", "day"], [])
 _add("keep_latest", lambda s, d: joins.keep(panels.table(s, d, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("o_custkey", "o_orderkey", "o_totalprice"), "(select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders) where n = 1)", ["o_custkey", "o_orderkey"], ["o_totalprice"])
 _add("keep_earliest", lambda s, d: joins.keep(panels.table(s, d, "orders"), ["o_custkey"], [F.col("o_orderdate").asc(), F.col("o_orderkey").asc()]).select("o_custkey", "o_orderkey", "o_totalprice"), "(select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n from orders) where n = 1)", ["o_custkey", "o_orderkey"], ["o_totalprice"])
 _add("checked_join", lambda s, d: joins.checked_many_to_one(panels.table(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), panels.table(s, d, "nation"), ["n_nationkey"]).select("c_custkey", "n_name", "c_acctbal"), "(select c_custkey, n_name, c_acctbal from customer left join nation on c_nationkey = n_nationkey)", ["c_custkey", "n_name"], ["c_acctbal"])

@@ -37,3 +37,21 @@ def assert_same(df, sql):
     a, b = rows_of(got, columns), rows_of(want, columns)
     assert a == b, f"{sum(a.values())} rows, {sum(b.values())} wanted; for example {list((a - b).items())[:2]} and {list((b - a).items())[:2]}"
     return got.num_rows
+
+
+def assert_close(df, sql, keys, rel=1e-9, near=1e-11):
+    """Row by row in order of the keys, numbers within a relative or absolute distance."""
+    got, want = df.toPandas(), duck().execute(sql).df()
+    keys = list(keys)
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    got, want = got.sort_values(keys).reset_index(drop=True), want.sort_values(keys).reset_index(drop=True)
+    for c in got.columns:
+        a, b = got[c], want[c]
+        if c in keys or a.dtype == object:
+            assert a.astype(str).tolist() == b.astype(str).tolist(), c
+            continue
+        a, b = a.to_numpy(float, na_value=float("nan")), b.to_numpy(float, na_value=float("nan"))
+        assert ((a != a) == (b != b)).all(), f"{c}: nulls differ"
+        off = abs(a - b) - rel * abs(b) - near
+        assert not (off > 0).any(), f"{c}: {a[off > 0][:3]} and {b[off > 0][:3]}"
+    return len(got)
