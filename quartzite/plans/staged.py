@@ -30,11 +30,11 @@ def output(keys: list[str], values: list[str]) -> list[str]:
     """Keys as they are, values as doubles for comparison by hash.
 
     Two engines add in different orders, so full doubles never hash alike: values are cut to single
-    precision, below 1e-15 to 0, and NaN becomes null. The operators return full doubles; tests
+    precision, below 1e-13 to 0, and NaN becomes null. The operators return full doubles; tests
     compare those too (full_output), to a relative 1e-9.
     """
     v = "cast({0} as double)"
-    return keys + [f"cast(cast(case when isnan({x}) then null when abs({x}) < 1e-15 then 0e0 else {x} end as float) as double) as {name}" for name in values for x in [v.format(name)]]
+    return keys + [f"cast(cast(case when isnan({x}) then null when abs({x}) < 1e-13 then 0e0 else {x} end as float) as double) as {name}" for name in values for x in [v.format(name)]]
 
 
 def full_output(keys: list[str], values: list[str]) -> list[str]:

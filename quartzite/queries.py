@@ -11,6 +11,7 @@ from .functions import daily_factors as daily
 from .functions import intraday
 from .functions import order_book as book
 from .functions import order_flow as flow
+from .operators import cross_section as cs
 from .operators import evaluation as ev
 from .operators import joins
 from .plans.staged import Stage, duck, full_output, output, staged, staged_sql
@@ -280,3 +281,56 @@ _add("checked_join", lambda s, d: joins.checked_many_to_one(panels.table(s, d, "
 _add("renamed_codes", lambda s, d: joins.renamed(panels.table(s, d, "customer").select("c_custkey", "c_mktsegment"), panels.table(s, d, "region").selectExpr("case r_regionkey when 0 then 'BUILDING' when 1 then 'MACHINERY' else r_name end as old", "concat('R', r_regionkey) as new"), "c_mktsegment", "old", "new"), "(select c_custkey, coalesce(new, c_mktsegment) as c_mktsegment from customer left join (select case r_regionkey when 0 then 'BUILDING' when 1 then 'MACHINERY' else r_name end as old, 'R' || r_regionkey as new from region) on c_mktsegment = old)", ["c_custkey", "c_mktsegment"], [])
 add_sql("semi_join", ["customer", "orders"], "select c_custkey, c_name from customer left semi join orders on c_custkey = o_custkey and o_totalprice > 100000", "select c_custkey, c_name from customer where exists (select 1 from orders where c_custkey = o_custkey and o_totalprice > 100000)")
 add_sql("anti_join", ["customer", "orders"], "select c_custkey, c_name from customer left anti join orders on c_custkey = o_custkey and o_totalprice > 400000", "select c_custkey, c_name from customer where not exists (select 1 from orders where c_custkey = o_custkey and o_totalprice > 400000)")
+
+
+# Cross-sections: winsorising, standardising, neutralising ---------------------------------------
+
+
+def industry_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal panel with the supplier's nation as industry and its balance as size."""
+    p = staged(panels.weekly(spark, sf_dir), _SIGNAL)
+    s = panels.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("symbol"), F.col("s_nationkey").alias("industry"), F.log(F.col("s_acctbal") + 2000).alias("size"))
+    return p.join(s, "symbol").withColumn("log_amount", F.log("amount"))
+
+
+_IP = f"(select p.*, s_nationkey as industry, ln(s_acctbal + 2000) as size, ln(amount) as log_amount from {_PANEL_SQL} p join supplier on symbol = s_suppkey)"
+
+
+def _on_panel(name: str, run: Callable[[DataFrame], DataFrame], check: str, keys: list[str], values: list[str]) -> None:
+    """A query over the industry panel; {p} in the SQL is that panel."""
+    _add(name, lambda s, d: run(industry_panel(s, d)), check.replace("{p}", _IP), keys, values)
+
+
+_MED = "quantile_cont({0}, 0.5) over (partition by td)"
+_MADS = "(select *, " + _MED.format("abs(signal - med)") + " * 1.4826 * 3 as width from (select *, " + _MED.format("signal") + " as med from {p}))"
+_on_panel("mad_tanh", lambda p: cs.with_mad(p, "signal", "v"), f"(select symbol, td, case when width > 0 then tanh((signal - med) / nullif(width, 0) * 1.212) * width + med else signal end as v from {_MADS})", ["symbol", "td"], ["v"])
+_on_panel("mad_clip", lambda p: cs.with_mad(p, "signal", "v", soft=False), f"(select symbol, td, case when width > 0 and signal is not null then case when signal > med + width then med + width when signal < med - width then med - width else signal end else signal end as v from {_MADS})", ["symbol", "td"], ["v"])
+_on_panel("winsor_squeeze", lambda p: cs.with_squeeze(p, "signal", "v", width=2.0), f"""(with m as (select *, {_MED.format('signal')} as med, avg(signal) over (partition by td) as mean from {{p}}), w as (select *, 2 * avg(abs(signal - mean)) over (partition by td) as dev from m)
+ select symbol, td, case when signal > med + dev then med + dev + (signal - med - dev) / 1000 when signal < med - dev then med - dev + (signal - med + dev) / 1000 else signal end as v from w)""", ["symbol", "td"], ["v"])
+_Z = "(with m as (select td, avg(signal) as a, stddev_samp(signal) as s1, stddev_pop(signal) as s0 from {p} group by td) select symbol, x.td, "
+_on_panel("z_scores", lambda p: p.select("symbol", "td", cs.z_score(F.col("signal")).alias("z1"), cs.z_score(F.col("signal"), ddof=0).alias("z0"), cs.z_score(F.col("signal"), constant=0.0).alias("zc")), _Z + "case when s1 > 1e-12 then (signal - a) / s1 end as z1, case when s0 > 1e-12 then (signal - a) / s0 end as z0, case when signal is not null then coalesce(case when s1 > 1e-12 then (signal - a) / s1 end, 0) end as zc from {p} x join m on m.td = x.td)", ["symbol", "td"], ["z1", "z0", "zc"])
+_on_panel("rank_z", lambda p: cs.with_rank_z(p, "signal", "v"), """(with s as (select symbol, td, signal from {p}), r as (select a.symbol, a.td, case when a.signal is not null then (count(case when b.signal < a.signal then 1 end) + (count(case when b.signal = a.signal then 1 end) + 1) / 2e0) / count(b.signal) end as pct from s a join s b on a.td = b.td group by a.symbol, a.td, a.signal)
+ select symbol, td, (pct - avg(pct) over (partition by td)) / nullif(stddev_pop(pct) over (partition by td), 0) as v from r)""", ["symbol", "td"], ["v"])
+_on_panel("industry_demeaned", lambda p: p.select("symbol", "td", cs.demeaned(F.col("signal"), ["td", "industry"], 2).alias("v")), "(with m as (select td, industry, avg(signal) as a, count(signal) as n from {p} group by td, industry) select symbol, x.td, case when n >= 2 then signal - a end as v from {p} x join m on m.td = x.td and m.industry = x.industry)", ["symbol", "td"], ["v"])
+_SIZE_RES = """(with u as (select * from {p} where {y} is not null), m as (select td, industry, avg({y}) as ym, avg(size) as sm from u group by td, industry),
+ e as (select u.symbol, u.td, {y} - ym as yd, size - sm as sd from u join m on m.td = u.td and m.industry = u.industry), b as (select td, sum(yd * sd) / nullif(sum(sd * sd), 0) as slope, count(*) as n from e group by td)
+ select x.symbol, x.td, case when n >= 10 then yd - coalesce(slope, 0) * sd end as v from {p} x left join e on e.symbol = x.symbol and e.td = x.td left join b on b.td = x.td)"""
+_on_panel("industry_size_residual", lambda p: cs.with_industry_size_residual(p, "signal", "size", "industry", "v"), _SIZE_RES.replace("{y}", "signal"), ["symbol", "td"], ["v"])
+_TWO = """(with u as (select *, count(*) over (partition by td) as n from {p} where {y} is not null and size is not null and log_amount is not null),
+ m as (select td, avg({y}) as ym, avg(size) as am, avg(log_amount) as bm, var_pop(size) as saa, var_pop(log_amount) as sbb, covar_pop(size, log_amount) as sab, covar_pop(size, {y}) as say, covar_pop(log_amount, {y}) as sby from u group by td),
+ c as (select *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) as ca, (sby * saa - say * sab) / (saa * sbb - sab * sab) as cb from m)
+ select u.symbol, u.td, u.fwd, {y} - ym - ca * (size - am) - cb * (log_amount - bm) as v from u join c on c.td = u.td where n >= 12)"""
+_on_panel("residual_on_controls", lambda p: cs.with_residual(p.where("signal is not null"), "signal", ["size", "log_amount"], "v", least=12).where("v is not null"), _TWO.replace("{y}", "signal"), ["symbol", "td"], ["v"])
+_on_panel("processed_signal", lambda p: cs.processed(p, "signal", "size", "industry", "v"), "(with f as (select * exclude (signal), coalesce(signal, avg(signal) over (partition by td, industry)) as filled from (select * exclude (signal), case when width > 0 then tanh((signal - med) / nullif(width, 0) * 1.212) * width + med else signal end as signal from " + _MADS + ")), r as " + _SIZE_RES.replace("{p}", "f").replace("{y}", "filled") + " select symbol, td, (v - avg(v) over (partition by td)) / nullif(stddev_samp(v) over (partition by td), 0) as v from r)", ["symbol", "td"], ["v"])
+
+
+def _ic_sql(source: str, value: str) -> str:
+    """Mean over dates of the rank correlation of value and fwd, by pairs of ranks counted one by one."""
+    return f"""(select count(ic) as dates, avg(ic) as ic from (select td, corr(a, b) as ic from (select td, rank() over (partition by td order by {value}) + (count(*) over (partition by td, {value}) - 1) / 2e0 as a, rank() over (partition by td order by fwd) + (count(*) over (partition by td, fwd) - 1) / 2e0 as b
+      from {source} where {value} is not null and fwd is not null) group by td) where not isnan(ic))"""
+
+
+_ONE = "(with u as (select *, count(*) over (partition by td) as n from {p} where signal is not null), c as (select td, regr_slope(signal, size) as b, regr_intercept(signal, size) as a from u group by td) select u.symbol, u.td, u.fwd, signal - a - b * size as v from u join c on c.td = u.td where n >= 12)"
+_on_panel("neutral_chain", lambda p: cs.neutral_chain(p.where("signal is not null"), "signal", ["size", "log_amount"], "fwd", least=12), f"(select 0 as step, * from {_ic_sql('{p}', 'signal')} union all select 1, * from {_ic_sql(_ONE, 'v')} union all select 2, * from {_ic_sql(_TWO.replace('{y}', 'signal'), 'v')})", ["step", "dates"], ["ic"])
+
+from . import queries_more  # noqa: E402, F401  registers its queries
