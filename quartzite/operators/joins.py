@@ -15,13 +15,13 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
 
     Both sides are put in one order of time, right rows before left ones at equal times (after them
     if strict), and the last right row is carried forward. Among right rows of one time the last by
-    `tie` counts. Right rows older than `most` (an interval as a Column) give nulls. Null times match
+    the columns of `tie` counts, in their own order, nulls first. Right rows older than `most` (an interval as a Column) give nulls. Null times match
     nothing.
     """
     names = [f"_right_{v}" for v in values]
-    l = left.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(left_time).alias("_at"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast("string").alias("_tie"))  # noqa: E741
+    l = left.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(left_time).alias("_at"), F.lit(0 if strict else 1).alias("_side"))  # noqa: E741
     picked = F.struct(F.col(right_time).alias("_time"), *[F.col(v).alias(n) for v, n in zip(values, names, strict=True)])
-    tie_key = F.concat_ws("|", *[F.lpad(F.col(t).cast("string"), 20, "0") for t in tie]) if tie else F.lit("")
+    tie_key = F.struct(*[F.col(t) for t in tie or []], F.lit(0).alias("_none"))
     r = right.where(F.col(right_time).isNotNull()).select(F.col(key).alias("_key"), F.col(right_time).alias("_at"), F.lit(1 if strict else 0).alias("_side"), tie_key.alias("_tie"), picked.alias("_hit"))
     both = l.unionByName(r, allowMissingColumns=True)
     order = W.Window.partitionBy("_key").orderBy(F.col("_at").asc_nulls_first(), "_side", "_tie").rowsBetween(W.Window.unboundedPreceding, 0)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import rolling
 from .operators import masks, ranking, returns
-from .queries import _IP, _PANEL_SQL, _SIGNAL, _add, _ic_sql, _on_panel, industry_panel, signal_panel
-from .plans.staged import duck, staged_sql
+from .queries_panel import _PANEL_SQL, _add, _on_panel, signal_panel
+from .plans.staged import duck
 from .sources import panels
 
 _K = ["symbol", "td"]
@@ -155,7 +155,7 @@ _on_panel("linear_decay", lambda p: p.select("symbol", "td", rolling.decay_mean(
 _on_panel("ewm_mean", lambda p: p.select("symbol", "td", rolling.smoothed("close", 5, 15).alias("adjusted"), rolling.smoothed("close", 5, 15, False).alias("plain")),
           _NEAR + ", c as (select *, count(*) over (partition by symbol, td) as n from q where k < 15) select symbol, td, sum(power(2e0 / 3, k) * x) / sum(power(2e0 / 3, k)) as adjusted, sum(power(2e0 / 3, k) * x * case when k = n - 1 then 1 else 1e0 / 3 end) as plain from c group by symbol, td)", _K, ["adjusted", "plain"])
 _on_panel("ewm_skew", lambda p: p.select("symbol", "td", rolling.weighted_skew("close", 10, 30, 8).alias("v")),
-          _NEAR + ", w as (select *, power(0.5e0, k / 10e0) as w from q where k < 30), mm as (select symbol, td, sum(w * x) / sum(w) as mu from w group by symbol, td), c as (select w.symbol, w.td, count(*) as n, sum(w * power(x - mu, 2)) / sum(w) as m2, sum(w * power(x - mu, 3)) / sum(w) as m3 from w join mm on mm.symbol = w.symbol and mm.td = w.td group by w.symbol, w.td) select symbol, td, case when n >= 8 and m2 > 1e-14 then m3 / power(m2, 1.5e0) end as v from c)", _K, ["v"])
+          _NEAR + ", w as (select *, power(0.5e0, k / 10e0) as wt from q where cast(k as double) < 29.5), mm as (select symbol, td, sum(wt * x) / sum(wt) as mu from w group by symbol, td), c as (select w.symbol, w.td, count(*) as n, sum(wt * power(x - mu, 2)) / sum(wt) as m2, sum(wt * power(x - mu, 3)) / sum(wt) as m3 from w join mm on mm.symbol = w.symbol and mm.td = w.td group by w.symbol, w.td) select symbol, td, case when n >= 8 and m2 > 1e-14 then m3 / power(m2, 1.5e0) end as v from c)", _K, ["v"])
 _on_panel("event_decay", lambda p: p.withColumn("x", F.when(F.col("volume") > 150, F.col("close"))).select("symbol", "td", rolling.filled("x", 6).alias("held"), rolling.decayed("x", 3, 8).alias("decayed")),
           "(with m as (select symbol, td, case when volume > 150 then close end as x from {p}) select a.symbol, a.td, max(case when a.td - b.td <= 6 then b.x end) as held, max(b.x * power(0.5e0, (a.td - b.td) / 3e0)) as decayed from m a left join m b on a.symbol = b.symbol and b.x is not null and b.td = (select max(c.td) from m c where c.symbol = a.symbol and c.td between a.td - 8 and a.td and c.x is not null) group by a.symbol, a.td)", _K, ["held", "decayed"])
 _on_panel("forward_mean", lambda p: p.select("symbol", "td", rolling.ahead_mean("close", 5, 3).alias("v")), "(select symbol, td, case when count(close) over w >= 3 then avg(close) over w end as v from {p} window w as (partition by symbol order by td range between current row and 4 following))", _K, ["v"])

@@ -1 +1 @@
-"""Part of the quartzite panel engine."""
+"""Bars and states of event streams, equal to their batch counterparts."""
