@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .evaluation import average_rank
@@ -99,7 +100,8 @@ def with_residual(df: DataFrame, y: str, xs: list[str], out: str, by: str = "td"
             res[full] = a[full][:, 0] - x @ np.linalg.lstsq(x, a[full][:, 0], rcond=None)[0]
         return pdf.assign(**{out: res})
 
-    done = df.groupBy(by).applyInPandas(one, df.withColumn(out, F.lit(0.0)).schema)
+    df = df.drop(out)
+    done = df.groupBy(by).applyInPandas(one, T.StructType([*df.drop(out).schema.fields, T.StructField(out, T.DoubleType())]))
     return done.withColumn(out, F.when(~F.isnan(out), F.col(out)))
 
 
