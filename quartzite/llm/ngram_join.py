@@ -49,6 +49,7 @@ from .scratch import written
 _RNG = np.random.default_rng(0x51E7)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 HOT_IN_BATCH = 32
+BATCH_DOCS = 2048
 HOT = np.int64(1 << 40)
 
 
@@ -163,8 +164,8 @@ def _scatter(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 24
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, BATCH_DOCS):
+                part = b.slice(at, BATCH_DOCS)
                 yield from one(part.column(0).to_pylist(), part.column(1), batch)
                 batch += 1
 

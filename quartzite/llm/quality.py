@@ -92,7 +92,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def all_features(column: pa.Array) -> np.ndarray:
     data, offsets = tb.text_bytes(column)
-    parts = [features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in tb.chunks(offsets)]
+    parts = [features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in tb.chunks(offsets, docs=512)]
     return np.concatenate(parts) if parts else np.zeros((0, WIDTH), np.float32)
 
 
@@ -221,7 +221,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_c
             score = np.full(b.num_rows, 0.5)
             if model is not None:
                 data, offsets = tb.text_bytes(b.column(at))
-                for i, j in tb.chunks(offsets):
+                for i, j in tb.chunks(offsets, docs=512):
                     score[i:j] = model.scores(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, score_col])
 

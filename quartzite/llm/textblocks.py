@@ -60,11 +60,11 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Runs of documents with about that many bytes, a longer document by itself."""
+def chunks(offsets: np.ndarray, most: int = CHUNK, docs: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Runs of documents with about that many bytes, and so many documents at most; a longer document by itself."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = min(i + docs, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1))
         yield i, min(j, n)
         i = min(j, n)
 
