@@ -125,7 +125,9 @@ def neutral_chain(df: DataFrame, y: str, controls: list[str], ret: str, by: str
     ranked = long.withColumns({"rv": rank("v"), "rr": rank("r")})
     varies = (F.stddev_pop("rv") > 0) & (F.stddev_pop("rr") > 0)
     ic = ranked.groupBy(*key).agg(F.when(varies, F.covar_pop("rv", "rr") / F.nullif(F.stddev_pop("rv") * F.stddev_pop("rr"), F.lit(0.0))).alias("ic"))
-    return ic.groupBy("step").agg(F.count("ic").alias("dates"), F.avg("ic").alias("ic"))
+    found = ic.groupBy("step").agg(F.count("ic").alias("dates"), F.avg("ic").alias("ic"))
+    every = df.sparkSession.range(len(controls) + 1).select(F.col("id").cast("int").alias("step"))
+    return every.join(found, "step", "left").select("step", F.coalesce("dates", F.lit(0)).alias("dates"), "ic")
 
 
 def tradable(limit_up: Column, limit_down: Column, close: Column, suspended: Column, special: Column, age: Column, least_age: int) -> Column:
