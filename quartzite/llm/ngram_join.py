@@ -168,6 +168,7 @@ def _scatter(n: int, bits: int):
                 part = b.slice(at, BATCH_DOCS)
                 yield from one(part.column(0).to_pylist(), part.column(1), batch)
                 batch += 1
+        tb.release()
 
     return run
 

@@ -224,5 +224,6 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", score_c
                 for i, j in tb.chunks(offsets, docs=512):
                     score[i:j] = model.scores(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, score_col])
+        tb.release()
 
     return docs.mapInArrow(run, schema)

@@ -42,7 +42,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import mix
+from .textblocks import mix, release
 
 WORDS = re.compile(r"\n| *[^ \n]+| +")
 END = -1
@@ -530,6 +530,7 @@ def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                 held += len(text)
             if ids:
                 yield from rows(ids, texts, v)
+        release()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, RESULT + ", ids array<int>" * with_ids).withColumnRenamed("id", id_col)
