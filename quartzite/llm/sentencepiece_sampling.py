@@ -15,7 +15,9 @@ All draws are hashes of (seed, row key, sample, position), so a row's samples do
 neighbours, its task or the number of tasks.
 
 Pieces never reach over a space after other characters or over a line end, so the lattice is built
-once for each distinct word of half a MB of text, and texts share it. Scores: a unigram model's
+once for each distinct word that a task meets, and texts share it; past `lexicon_chars` characters
+of distinct words a task begins a new one. What a sample leaves goes on the agenda only where it can
+be among the k largest: a Gumbel value is at most 37 above its mean. Scores: a unigram model's
 scores are log-probabilities; a BPE model's are ranks, which are taken as log-probabilities by
 Zipf's law, -log(rank + 3) less the log of their sum. `alpha` sharpens or flattens both.
 Characters without a piece fall back to byte pieces. A text begins with the dummy space.
@@ -53,8 +55,18 @@ _PIECE_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def uniform(keys: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) from 64-bit keys."""
-    return ((mix(keys) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    """Numbers in (0, 1) from 64-bit keys, at most 1 - 2**-53."""
+    return ((mix(keys) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
+#: -log(-log(u)) of the largest number that uniform() gives is 36.7.
+HIGHEST = 37.0
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each span, one span after the other."""
+    end = np.cumsum(size)
+    return np.repeat(first - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
 NOTHING, PREFIX = -2, -1
@@ -151,14 +163,14 @@ def load(model_file: str) -> Vocabulary:
 class Lattice:
     """Lattices of many words. Nodes are characters; edges are sorted by node and lead to a node or END."""
 
-    first: np.ndarray  # edges of a node begin here
-    place: np.ndarray  # of a node within its word
+    first: np.ndarray  # edges of a node begin here, one more at the end
     target: np.ndarray
     piece: np.ndarray  # of an edge; below 0: -1 - code point that falls back to bytes
     share: np.ndarray  # conditional probability of an edge at its node
     log_share: np.ndarray
     below: np.ndarray  # sum of the shares of the node's edges up to and with this one
     starts: np.ndarray  # first node of each word
+    ends: np.ndarray  # node after the last of each word
 
 
 def build(words: list[str], v: Vocabulary, alpha: float = 1.0) -> Lattice:
@@ -197,14 +209,18 @@ def build(words: list[str], v: Vocabulary, alpha: float = 1.0) -> Lattice:
         taken[group] += 1
         at += len(group)
     place = first[node] + rank
-    ordered = np.empty((3, len(node)), np.int64)
-    ordered[:, place] = node, size, piece
-    node, size, piece = ordered
-    width = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
-    log_p = alpha * np.where(piece >= 0, v.log_p[np.maximum(piece, 0)], v.byte_log_p * width[node])
-    target = node + size
+    width = np.where(codes[rest] < 0x80, 1, np.where(codes[rest] < 0x800, 2, np.where(codes[rest] < 0x10000, 3, 4)))
+    plain = len(node) - len(rest)
+    log_p, target = np.empty(len(node)), np.empty(len(node), np.int64)
+    log_p[place[:plain]] = alpha * v.log_p[piece[:plain]]
+    log_p[place[plain:]] = alpha * v.byte_log_p * width
+    goal = node + size
+    goal[size == left[node]] = n  # whose sum is 0
+    target[place] = goal
+    kept = np.empty(len(node), np.int64)
+    kept[place] = piece
+    node, piece = np.repeat(np.arange(n), counts), kept
     beta = np.zeros(n + 1)  # of the node before which it stands; the end of a word counts 0
-    ends = left[node] == size
     weight = np.empty(len(node))
     by_left = np.argsort(left, kind="stable")
     bounds = np.searchsorted(left[by_left], np.arange(1, (int(left.max()) if n else 0) + 2))
@@ -213,7 +229,7 @@ def build(words: list[str], v: Vocabulary, alpha: float = 1.0) -> Lattice:
         counts = first[mine + 1] - first[mine]
         cut = np.cumsum(counts) - counts
         e = np.repeat(first[mine] - cut, counts) + np.arange(int(counts.sum()))
-        w = log_p[e] + np.where(ends[e], 0.0, beta[target[e]])
+        w = log_p[e] + beta[target[e]]
         top = np.maximum.reduceat(w, cut)
         total = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, counts)), cut))
         beta[mine] = total
@@ -224,7 +240,63 @@ def build(words: list[str], v: Vocabulary, alpha: float = 1.0) -> Lattice:
     before = np.concatenate([[0.0], run])[first[:-1]] if n else np.zeros(0)
     below = run - before[node]
     below[first[1:] - 1] = np.inf
-    return Lattice(first, np.arange(n) - np.repeat(starts, lengths), np.where(ends, END, target), piece, share, log_share, below, starts)
+    return Lattice(first, np.where(target == n, END, target), piece, share, log_share, below, starts, starts + lengths)
+
+
+class Lexicon(dict):
+    """Numbers of the words met so far and one lattice of them all, which grows."""
+
+    #: Field, type, and whether it has an entry for each node, edge or word.
+    PARTS = (("first", np.int64, 0), ("target", np.int32, 1), ("piece", np.int32, 1), ("share", np.float64, 1), ("log_share", np.float64, 1), ("below", np.float64, 1), ("starts", np.int64, 2), ("ends", np.int64, 2))
+
+    def __init__(self, v: Vocabulary, alpha: float, piece_chars: int = 1 << 15) -> None:
+        self.v, self.alpha, self.piece_chars = v, alpha, piece_chars
+        self.space = {name: np.zeros(1024, kind) for name, kind, _ in self.PARTS}
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        self.used = [0, 0, 0]
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = number = len(self)
+        return number
+
+    @property
+    def chars(self) -> int:
+        return self.used[0]
+
+    def _add(self, words: list[str]) -> None:
+        new = build(words, self.v, self.alpha)
+        nodes, edges, _ = self.used
+        columns = new.__dict__ | {
+            "first": new.first[:-1] + edges,
+            "target": np.where(new.target == END, END, new.target + nodes),
+            "starts": new.starts + nodes,
+            "ends": new.ends + nodes,
+        }
+        for name, _, of in self.PARTS:
+            column, begin = columns[name], self.used[of]
+            if begin + len(column) >= len(self.space[name]):
+                larger = np.empty(2 * (begin + len(column)), self.space[name].dtype)
+                larger[:begin] = self.space[name][:begin]
+                self.space[name] = larger
+            self.space[name][begin : begin + len(column)] = column
+        self.used = [u + len(columns[name]) for u, name in zip(self.used, ("first", "target", "starts"), strict=True)]
+        self.space["first"][self.used[0]] = self.used[1]
+
+    def grown(self) -> Lattice:
+        """The lattice with the words that came since the last call."""
+        ends = np.cumsum(np.fromiter(map(len, self.fresh), np.int64, len(self.fresh)))
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + self.piece_chars, "right")))
+            self._add(self.fresh[i:j])
+            i = j
+        self.fresh = []
+        return Lattice(**{name: self.space[name][: self.used[of] + (name == "first")] for name, _, of in self.PARTS})
 
 
 def choose(lat: Lattice, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -239,35 +311,29 @@ def choose(lat: Lattice, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 def truncated(mean: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel values about mean, given that they are at most top."""
-    return mean - np.logaddexp(mean - top, np.log(-np.log(u)))
+    return mean - np.log(np.exp(np.minimum(mean - top, 700)) - np.log(u))
 
 
-def _walk(lat: Lattice, occ: np.ndarray, node: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _walk(lat: Lattice, occ: np.ndarray, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Paths from the given nodes to their words' ends: occurrence, step within the walk and edge of every step taken."""
-    here, occs, levels, edges = np.arange(len(occ)), [], [], []
+    occs, levels, edges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     level = 0
-    while len(here):
-        pos = (at[here] + lat.place[node]).astype(np.uint64)
-        edge = choose(lat, node, uniform(key[here] + pos * np.uint64(4)))
-        occs.append(occ[here])
-        levels.append(np.full(len(here), level, np.int64))
+    while len(occ):
+        edge = choose(lat, node, uniform(key + np.uint64(4 * level)))
+        occs.append(occ)
+        levels.append(np.full(len(occ), level))
         edges.append(edge)
         node = lat.target[edge]
-        go = node != END
-        here, node = here[go], node[go]
+        go = np.flatnonzero(node != END)
+        occ, node, key = occ[go], node[go], key[go]
         level += 1
-    if not occs:
-        return (np.zeros(0, np.int64),) * 3
     return np.concatenate(occs), np.concatenate(levels), np.concatenate(edges)
 
 
 @dataclass
 class _Sample:
-    doc: np.ndarray  # of each step
-    edge: np.ndarray
+    edge: np.ndarray  # of each step
     begin: np.ndarray  # first step of each document, one more at the end
-    before: np.ndarray  # log-probability of the path up to the step
-    agenda: np.ndarray  # largest perturbed value of what the step did not take
     total: np.ndarray  # log-probability, by document
     value: np.ndarray  # perturbed, by document; -inf: no such sample
     branch: np.ndarray  # the step at which it left its parent, or -1
@@ -277,17 +343,16 @@ class _Sample:
 class Sampler:
     """The samples of one chunk of texts."""
 
-    def __init__(self, texts: list[str], keys: np.ndarray, v: Vocabulary, lattice: Lattice, words: list[np.ndarray]) -> None:
+    def __init__(self, texts: list[str], keys: np.ndarray, v: Vocabulary, lattice: Lattice, word: np.ndarray, counts: np.ndarray) -> None:
         self.texts, self.keys, self.v, self.lat = texts, keys, v, lattice
-        self.word = np.concatenate(words) if words else np.zeros(0, np.int64)
-        counts = np.array([len(w) for w in words], np.int64)
+        self.word = word  # the words of all texts
         self.doc = np.repeat(np.arange(len(texts)), counts)
         self.first_occ = np.concatenate([[0], np.cumsum(counts)])
-        ends = np.append(lattice.starts[1:], len(lattice.place))
-        size = (ends - lattice.starts)[self.word]
+        size = (lattice.ends - lattice.starts)[self.word]
         run = np.cumsum(size) - size
-        self.at = run - self._base(run)
+        self.at = (run - self._base(run)).astype(np.uint64)  # where a word begins in its text
         self.samples: list[_Sample] = []
+        self.agenda: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # document, largest value, sample, step
 
     def _base(self, run: np.ndarray) -> np.ndarray:
         padded = np.append(run, 0)
@@ -296,58 +361,79 @@ class Sampler:
     def _key(self, sample: int, purpose: int) -> np.ndarray:
         return mix(self.keys + np.uint64((sample * 4 + purpose) * int(_MULT) % 2**64))
 
-    def _finish(self, sample: int, occ: np.ndarray, edge: np.ndarray, value: np.ndarray, branch: np.ndarray, without: list[tuple[int, ...]], fresh: np.ndarray) -> _Sample:
+    def _open(self, doc: np.ndarray, value: np.ndarray, step: np.ndarray) -> None:
+        new = (doc, value, np.full(len(doc), len(self.samples)), step)
+        self.agenda = [np.concatenate(pair) for pair in zip(self.agenda, new, strict=True)]
+
+    def _finish(self, edge: np.ndarray, begin: np.ndarray, old: np.ndarray, value: np.ndarray, branch: np.ndarray, without: list[tuple[int, ...]], most: int, near: int = 64) -> None:
+        """Adds a sample, whose first `old` steps of each document aren't its own, and opens what the others did not take.
+
+        Of each document at most `most` values will be asked for. Behind the first `near` steps those are left
+        out at which the path has become so improbable that none of them can be among the largest.
+        """
+        run = np.concatenate([[0.0], np.cumsum(self.lat.log_share[edge])])
+        base = run[begin[:-1]]
+        key = self._key(len(self.samples), 2)
+
+        def opened(doc: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            doc, step = np.repeat(doc, size), spans(first, size)
+            share = self.lat.share[edge[step]]
+            some = np.flatnonzero(share < 1 - 1e-12)
+            doc, step, share = doc[some], step[some], share[some]
+            u = uniform(key[doc] + (step - begin[doc]).astype(np.uint64) * np.uint64(4))
+            return doc, truncated(run[step] - base[doc] + np.log1p(-share), value[doc], u), step
+
+        docs = np.arange(len(self.texts))
+        first = begin[:-1] + old
+        size = np.maximum(begin[1:] - first, 0)
+        doc, high, step = opened(docs, first, np.minimum(size, near))
+        self._open(doc, high, step)
+        longer = docs[size > near]
+        if len(longer):
+            ordered = high[np.lexsort((-high, doc))]
+            count = np.bincount(doc, minlength=len(docs))
+            least = np.full(len(docs), -np.inf)
+            enough = docs[count >= most]
+            least[enough] = ordered[(np.cumsum(count) - count)[enough] + most - 1]
+            end = np.searchsorted(-run[:-1], HIGHEST - least[longer] - base[longer])  # behind it no value can be as large
+            more = np.minimum(end, begin[longer + 1]) - first[longer] - near
+            if len(longer := longer[more > 0]):
+                self._open(*opened(longer, first[longer] + near, more[more > 0]))
+        self.samples.append(_Sample(edge, begin, run[begin[1:]] - base, value, branch, without))
+
+    def first(self, most: int) -> None:
         n = len(self.texts)
-        doc = self.doc[occ]
-        begin = np.searchsorted(doc, np.arange(n + 1))
-        share = self.lat.share[edge]
-        run = np.cumsum(self.lat.log_share[edge])
-        start = np.concatenate([[0.0], run])
-        base = start[begin[:-1]]
-        before = start[:-1] - base[doc]
-        agenda = np.full(len(edge), -np.inf)
-        some = np.flatnonzero(fresh & (share < 1 - 1e-12))
-        u = uniform(self._key(sample, 2)[doc[some]] + (np.arange(len(edge)) - begin[doc])[some].astype(np.uint64) * np.uint64(4))
-        agenda[some] = truncated(before[some] + np.log1p(-share[some]), value[doc[some]], u)
-        return _Sample(doc, edge, begin, before, agenda, start[begin[1:]] - base, value, branch, without)
-
-    def first(self) -> None:
-        n = len(self.texts)
-        o = np.arange(len(self.word))
-        occ, level, edge = _walk(self.lat, o, self.lat.starts[self.word], self.at, self._key(0, 1)[self.doc])
-        per = np.bincount(occ, minlength=len(o))
-        place = (np.cumsum(per) - per)[occ] + level
+        key = self._key(0, 1)[self.doc] + self.at * np.uint64(4)
+        occ, level, edge = _walk(self.lat, np.arange(len(self.word)), self.lat.starts[self.word], key)
+        per = np.concatenate([[0], np.cumsum(np.bincount(occ, minlength=len(self.word)))])
+        place = per[occ] + level
         steps, occs = np.empty(len(edge), np.int64), np.empty(len(edge), np.int64)
         steps[place], occs[place] = edge, occ
         self.occ = [occs]
         root = -np.log(-np.log(uniform(self._key(0, 3))))
-        self.samples.append(self._finish(0, occs, steps, root, np.full(n, -1), [()] * n, np.ones(len(steps), bool)))
-
-    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By document: the largest value on the agenda, its sample and step."""
-        n = len(self.texts)
-        top, which, step = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for k, s in enumerate(self.samples):
-            have = np.flatnonzero(s.begin[1:] > s.begin[:-1])
-            if not len(have):
-                continue
-            high = np.maximum.reduceat(s.agenda, s.begin[have])
-            hit = np.flatnonzero(s.agenda == np.repeat(high, np.diff(s.begin)[have]))
-            place = np.full(n, 0)
-            place[s.doc[hit][::-1]] = hit[::-1]
-            better = high > top[have]
-            top[have[better]], which[have[better]], step[have[better]] = high[better], k, place[have[better]]
-        return top, which, step
-
-    def next(self) -> bool:
+        self._finish(steps, per[self.first_occ], np.zeros(n, np.int64), root, np.full(n, -1), [()] * n, most)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        """By document: the largest value on the agenda and its place there."""
+        doc, value = self.agenda[:2]
+        top, place = np.full(len(self.texts), -np.inf), np.zeros(len(self.texts), np.int64)
+        np.maximum.at(top, doc, value)
+        hit = np.flatnonzero(value == top[doc])[::-1]
+        place[doc[hit]] = hit
+        return top, place
+
+    def next(self, most: int) -> bool:
         """One more sample for every text that has one; whether any has."""
-        top, which, step = self.best()
+        top, place = self.best()
         go = np.flatnonzero(top > -np.inf)
         if not len(go):
             return False
         n, number, lat = len(self.texts), len(self.samples), self.lat
         value = np.full(n, -np.inf)
         value[go] = top[go]
+        which, step = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        which[go], step[go] = self.agenda[2][place[go]], self.agenda[3][place[go]]
+        self.agenda[1][place[go]] = -np.inf
         u = uniform(self._key(number, 0))
         turn = np.zeros(n, np.int64)  # the edge taken at the branch
         branch_occ = np.full(n, -1)
@@ -356,10 +442,10 @@ class Sampler:
         rest = np.zeros(n)  # share that stays untaken at the branch
         out = np.zeros(n, np.int64)  # the edge that the parent took there
         again = np.zeros(n, bool)  # the parent branched there too, so more than one edge is gone
+        before = np.zeros(n)  # log-probability of the path up to the branch
         for k, s in enumerate(self.samples):
             mine = go[which[go] == k]
             t = step[mine]
-            s.agenda[t] = -np.inf
             out[mine], again[mine] = s.edge[t], s.branch[mine] == t
             keep[mine], branch_occ[mine] = t - s.begin[mine], self.occ[k][t]
         once = go[~again[go]]
@@ -383,44 +469,44 @@ class Sampler:
             pick = min(int(np.searchsorted(cum, u[d] * cum[-1], "right")), len(edges) - 1)
             turn[d], without[d], rest[d] = edges[pick], gone, float(cum[-1] - shares[pick]) if len(edges) > 1 else 0.0
         # Fresh walks: the rest of the branch's word, and all later words.
-        later = np.flatnonzero((top > -np.inf)[self.doc] & (np.arange(len(self.word)) > branch_occ[self.doc]))
+        count = self.first_occ[go + 1] - branch_occ[go] - 1
+        later = spans(branch_occ[go] + 1, count)
         inside = go[lat.target[turn[go]] != END]
         start_occ = np.concatenate([branch_occ[inside], later])
         start_node = np.concatenate([lat.target[turn[inside]], lat.starts[self.word[later]]])
-        occ, level, edge = _walk(lat, start_occ, start_node, self.at[start_occ], self._key(number, 1)[self.doc[start_occ]])
-        per = np.bincount(occ, minlength=len(self.word))
+        key = self._key(number, 1)[np.concatenate([inside, np.repeat(go, count)])] + self.at[start_occ] * np.uint64(4)
+        occ, level, edge = _walk(lat, start_occ, start_node, key)
+        per = np.concatenate([[0], np.cumsum(np.bincount(occ, minlength=len(self.word)))])
         length = np.zeros(n, np.int64)
         length[go] = keep[go] + 1
-        fresh_per_doc = np.bincount(self.doc[occ], minlength=n)
-        begin = np.concatenate([[0], np.cumsum(length + fresh_per_doc)])
+        fresh = np.diff(per[self.first_occ])
+        begin = np.concatenate([[0], np.cumsum(length + fresh)])
         steps, occs = np.empty(int(begin[-1]), np.int64), np.empty(int(begin[-1]), np.int64)
-        fresh = np.zeros(int(begin[-1]), bool)
         for k, s in enumerate(self.samples):  # what each parent's path has before the branch
             mine = go[which[go] == k]
-            ramp = np.arange(int(keep[mine].sum())) - np.repeat(np.cumsum(keep[mine]) - keep[mine], keep[mine])
-            source, place = np.repeat(s.begin[mine], keep[mine]) + ramp, np.repeat(begin[mine], keep[mine]) + ramp
-            steps[place], occs[place] = s.edge[source], self.occ[k][source]
+            source, to = spans(s.begin[mine], keep[mine]), spans(begin[mine], keep[mine])
+            steps[to], occs[to] = s.edge[source], self.occ[k][source]
+            run = np.concatenate([[0.0], np.cumsum(lat.log_share[s.edge[source]])])
+            ends = np.cumsum(keep[mine])
+            before[mine] = run[ends] - run[ends - keep[mine]]
         at_branch = begin[go] + keep[go]
         steps[at_branch], occs[at_branch] = turn[go], branch_occ[go]
-        run = np.cumsum(per) - per
-        offset = run - self._base(run)
-        place = begin[self.doc[occ]] + length[self.doc[occ]] + offset[occ] + level
-        steps[place], occs[place] = edge, occ
-        fresh[place] = True
+        shift = begin[:-1] + length - per[self.first_occ[:-1]]
+        to = (per[:-1] + shift[self.doc])[occ] + level
+        steps[to], occs[to] = edge, occ
         branch = np.full(n, -1)
         branch[go] = at_branch
-        made = self._finish(number, occs, steps, value, branch, without, fresh)
         left = go[rest[go] > 1e-12]
         draw = uniform(self._key(number, 3))[left]
-        made.agenda[branch[left]] = truncated(made.before[branch[left]] + np.log(rest[left]), value[left], draw)
-        self.samples.append(made)
+        self._open(left, truncated(before[left] + np.log(rest[left]), value[left], draw), branch[left])
+        self._finish(steps, begin, length, value, branch, without, most)
         self.occ.append(occs)
         return True
 
     def run(self, k: int) -> np.ndarray:
         """Draws up to k samples a text; returns the thresholds."""
-        self.first()
-        while len(self.samples) < k and self.next():
+        self.first(k)
+        while len(self.samples) < k and self.next(k):
             pass
         return self.best()[0]
 
@@ -457,29 +543,30 @@ def row_keys(values: list, seed: int) -> np.ndarray:
     return np.array([zlib.crc32(b"%d:%s" % (seed, b"" if x is None else str(x).encode())) | zlib.crc32(b"%s/%d" % (b"" if x is None else str(x).encode(), seed)) << 32 for x in values], np.uint64)
 
 
-def sampled_batch(ids: list, texts: list[str], v: Vocabulary, k: int, alpha: float, seed: int, part: int = 1 << 17) -> Iterator[tuple[Sampler, np.ndarray, int]]:
-    """Samplers over runs of texts of about `part` characters that share one lattice, with their thresholds and first text."""
+def sampled_batch(ids: list, texts: list[str], lexicon: Lexicon, k: int, seed: int, part: int = 1 << 17) -> Iterator[tuple[Sampler, np.ndarray, int]]:
+    """Samplers over runs of texts of about `part` characters, with their thresholds and first text."""
     split = [WORDS.findall(" " + t) if t else [] for t in texts]
-    number = {w: k for k, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(split)))}
-    coded = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64)
-    words = np.split(coded, np.cumsum([len(ws) for ws in split])[:-1])
-    lattice = build(list(number), v, alpha)
+    counts = np.array([len(ws) for ws in split], np.int64)
+    word = np.fromiter(map(lexicon.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
+    del split
+    lattice = lexicon.grown()
     keys = row_keys(ids, seed)
-    i = 0
+    i = at = 0
     while i < len(texts):
         j, held = i, 0
         while j < len(texts) and (j == i or held + len(texts[j]) <= part):
             held += len(texts[j])
             j += 1
-        s = Sampler(texts[i:j], keys[i:j], v, lattice, words[i:j])
+        words = int(counts[i:j].sum())
+        s = Sampler(texts[i:j], keys[i:j], lexicon.v, lattice, word[at : at + words], counts[i:j])
         yield s, s.run(k), i
-        i = j
+        i, at = j, at + words
 
 
 RESULT = "id long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean"
 
 
-def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 4, alpha: float = 0.5, seed: int = 11, with_ids: bool = False, lattice_chars: int = 1 << 19) -> DataFrame:
+def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 4, alpha: float = 0.5, seed: int = 11, with_ids: bool = False, batch_chars: int = 1 << 19, lexicon_chars: int = 1 << 19) -> DataFrame:
     """Up to k rows a document: the id, sample (0: the largest perturbed value), n_pieces, log_prob, perturbed,
     log_inclusion, ids_crc32 (of the ids as 32-bit little-endian numbers), round_trip, and ids if asked for.
 
@@ -487,19 +574,19 @@ def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     """
     names = [x.split()[0] for x in RESULT.split(", ")] + ["ids"] * with_ids
 
-    def rows(ids: list, texts: list[str], v: Vocabulary) -> Iterator[pa.RecordBatch]:
-        for s, threshold, base in sampled_batch(ids, texts, v, k, alpha, seed):
+    def rows(ids: list, texts: list[str], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+        for s, threshold, base in sampled_batch(ids, texts, lexicon, k, seed):
             whole = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in s.texts]
             for number, sample in enumerate(s.samples):
                 flat, begin = s.ids(number)
                 have = np.flatnonzero(sample.value > -np.inf)
-                back = decode(flat, v)
+                back = decode(flat, lexicon.v)
                 narrow = flat.astype("<i4")
                 same = np.zeros(len(whole), bool)
                 if back == b"".join([whole[d] for d in have.tolist()]):
                     same[have] = True
                 else:
-                    same[have] = [decode(flat[begin[d] : begin[d + 1]], v) == whole[d] for d in have.tolist()]
+                    same[have] = [decode(flat[begin[d] : begin[d + 1]], lexicon.v) == whole[d] for d in have.tolist()]
                 with np.errstate(over="ignore", divide="ignore"):
                     log_in = np.where(np.isinf(threshold), 0.0, np.log(-np.expm1(-np.exp(np.minimum(sample.total - threshold, 700)))))
                 columns = [
@@ -518,18 +605,21 @@ def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(model_file if "/" in model_file else SparkFiles.get(model_file))
+        lexicon = Lexicon(v, alpha)
         for b in batches:
             ids, texts, held = [], [], 0
             for x, t in zip(b.column(0), b.column(1), strict=True):
                 text = t.as_py() or ""
-                if ids and held + len(text) > lattice_chars:
-                    yield from rows(ids, texts, v)
+                if ids and held + len(text) > batch_chars:
+                    yield from rows(ids, texts, lexicon)
                     ids, texts, held = [], [], 0
+                    if lexicon.chars > lexicon_chars:
+                        lexicon.empty()
                 ids.append(x.as_py())
                 texts.append(text)
                 held += len(text)
             if ids:
-                yield from rows(ids, texts, v)
+                yield from rows(ids, texts, lexicon)
         release()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

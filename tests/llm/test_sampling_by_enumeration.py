@@ -47,7 +47,7 @@ def test_samples_of_short_texts_by_enumeration():
         want = all_paths(text, v, 0.5)
         n = 3000
         first, weighted = Counter(), Counter()
-        for s, threshold, _ in sp.sampled_batch(list(range(n)), [text] * n, v, k, 0.5, 3):
+        for s, threshold, _ in sp.sampled_batch(list(range(n)), [text] * n, sp.Lexicon(v, 0.5), k, 3):
             per_doc = [[] for _ in s.texts]
             for number, sample in enumerate(s.samples):
                 flat, begin = s.ids(number)
