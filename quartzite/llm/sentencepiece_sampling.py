@@ -146,15 +146,17 @@ def load(model_file: str) -> Vocabulary:
     texts = [b""] * n
     for b, i in enumerate(byte_ids.tolist()):
         texts[i] = bytes([b])
-    found: dict[int, int] = {}
     for i in usable.tolist():
         texts[i] = text[i].encode()
-        h = np.uint64(0)
-        with np.errstate(over="ignore"):
-            for c in _spread(_codes(text[i])):
-                h = h * _PIECE_BASE + c
-                found.setdefault(int(h), PREFIX)
-        found[int(h)] = i
+    spread = _spread(_codes("".join([text[i] for i in usable.tolist()])))
+    sizes = np.array([len(text[i]) for i in usable.tolist()])
+    first, h = np.cumsum(sizes) - sizes, np.zeros(len(usable), np.uint64)
+    found: dict[int, int] = {}
+    for size in range(1, int(sizes.max()) + 1):
+        live = np.flatnonzero(sizes >= size)
+        h[live] = h[live] * _PIECE_BASE + spread[first[live] + size - 1]
+        found |= dict.fromkeys(h[live].tolist(), PREFIX)
+    found |= dict(zip(h.tolist(), usable.tolist(), strict=True))
     spelling, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     return Vocabulary(texts, log_p, Table(found), spelling, ends, byte_ids, max(len(text[i]) for i in usable.tolist()), lowest - 1.0)
 
