@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_join, exact_dedup, line_dedup, mixing, ngram_join, quality, secrets, sentencepiece_sampling, sharding, warc
+from . import embedding_join, exact_dedup, filter_audit, line_dedup, mixing, ngram_join, packing, quality, secrets, sentencepiece_sampling, sharding, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,5 +149,39 @@ o as (select d.*, source_size, target, take, coalesce(sum(size) over (partition
 select doc_id, size, source_size, target, cast(take // greatest(source_size, 1) * size + greatest(0, least(size, take % greatest(source_size, 1) - start)) as bigint) as taken from o
 """
 
-QUERIES = {"op1_warc": op1_warc, "op2_sentencepiece": op2_sentencepiece, "op3_exact_dedup": op3_exact_dedup, "op4_ngram_join": op4_ngram_join, "op5_secrets": op5_secrets, "op6_embedding_join": op6_embedding_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
-ORACLE = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_ngram_join": OP4_SQL, "op6_embedding_join": OP6_SQL, "op8_mixing": OP8_SQL, "op9_line_dedup": OP9_SQL}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by t) as first from d),
+k as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+f as (select part, case when len(words) < 200 then 1 else 0 end + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+    + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) then 4 else 0 end + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+    + case when w.doc_id > first then 16 else 0 end as mask, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from w left join k on k.doc_id = w.doc_id),
+c as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, mask),
+x as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as v(letter, bit)),
+o as (select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits from x a join x b on b.bit <> a.bit
+    join x c on c.bit not in (a.bit, b.bit) join x d on d.bit not in (a.bit, b.bit, c.bit) join x e on e.bit not in (a.bit, b.bit, c.bit, d.bit)),
+s as (select filter_order, step, bits[step] as bit, list_sum(bits[1:step]) - bits[step] as before from o, (values (1), (2), (3), (4), (5)) as v(step)),
+r as (select part, filter_order, step, bit, sum(case when (mask & (before + bit)) = 0 then n else 0 end) as kept,
+    sum(case when (mask & before) = 0 and (mask & bit) > 0 then n else 0 end) as removed, sum(case when (mask & before) > 0 and (mask & bit) > 0 then n else 0 end) as redundant,
+    sum(case when mask = bit then n else 0 end) as unique_fails, sum(case when (mask & before) = 0 and (mask & bit) > 0 then good else 0 end) as good_lost,
+    sum(case when (mask & before) = 0 and (mask & bit) > 0 then toxic else 0 end) as toxic_lost from c, s group by part, filter_order, step, bit)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, bit) as bigint) as shapley from r
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = packing.packed(table(spark, sf_dir, "documents"), piece_model(spark, "byte_bpe_50k.json"))
+    return done.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_sentencepiece": op2_sentencepiece, "op3_exact_dedup": op3_exact_dedup, "op4_ngram_join": op4_ngram_join, "op5_secrets": op5_secrets, "op6_embedding_join": op6_embedding_join, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding, "op11_filter_audit": op11_filter_audit, "op12_whitening": op12_whitening, "op13_packing": op13_packing}
+ORACLE = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_ngram_join": OP4_SQL, "op6_embedding_join": OP6_SQL, "op8_mixing": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL}
