@@ -201,9 +201,9 @@ class Packer:
                     if scores is None:
                         scores = index.scores(ids[place[seed] : place[seed] + size[seed]])
                     scores[used] = -1.0
-                    best = np.argpartition(scores, len(scores) - near)[-near:] if len(scores) > near else np.arange(len(scores))
-                    best = best[scores[best] >= 0]
-                    queue = best[np.lexsort((best, -scores[best]))].tolist()
+                    least = max(0.0, np.partition(scores, len(scores) - near)[-near]) if len(scores) > near else 0.0
+                    best = np.flatnonzero(scores >= least)
+                    queue = best[np.argsort(-scores[best], kind="stable")][:near].tolist()
             left -= window
             seed = cut
         rest = [int(c) for c in np.flatnonzero(~used)]

@@ -194,10 +194,11 @@ def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a = a.astype(float).copy()
     n = len(a)
     q = np.eye(n)
+    nothing = 1e-3 * np.finfo(float).eps * np.abs(a).max(initial=0.0)
     for k in range(n - 2):
         v = a[k + 1 :, k].copy()
         norm = np.linalg.norm(v)
-        if norm == 0:
+        if norm <= nothing:
             continue
         v[0] += np.copysign(norm, v[0])
         v /= np.linalg.norm(v)
@@ -227,6 +228,8 @@ def symmetric_eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for k in range(low, high):
             r = np.hypot(x, y)
             c, s = (x / r, y / r) if r else (1.0, 0.0)
+            unit = np.hypot(c, s)  # not 1 where x and y are all but 0
+            c, s = c / unit, s / unit
             if k > low:
                 e[k - 1] = r
             p, o, t = d[k], e[k], d[k + 1]
