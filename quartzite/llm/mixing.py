@@ -5,9 +5,12 @@ than `most` times its words, and what is over goes to the others by weight (wate
 on the table of sources with two running sums). Schedule: slot t of the mix is the point
 frac((t + 1) * golden ratio), looked up in the cumulative targets, which names its source; the
 slots of a source are ranked. Stream: the documents of a source in a seeded random order, round
-after round, are cut into blocks of `block` words; block r belongs to the source's slot of rank r.
+after round, are cut into equal blocks; block r belongs to the source's slot of rank r. A source's
+block is `block` words at most, and less where its target is less than four such blocks: its target
+squared over 16 * `block`, one word at least. Points fall on a source by its number of blocks, so a
+small source has many small slots and the others keep theirs.
 mix() joins each slot to the word ranges of documents that its block is made of, so each source
-gives within a few blocks of its target; mixed() sums the mix by document.
+gives within a few of its own blocks of its target; mixed() sums the mix by document.
 
 Running sums over a source run in buckets of its order: sums of the buckets are added up first,
 then the rows of each bucket, so that a hot source is many windows, not one.
@@ -34,8 +37,6 @@ GOLDEN = (math.sqrt(5.0) - 1.0) / 2.0
 WEIGHTS = (5, 2, 1)
 
 
-
-
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,16 +70,23 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return t.select("source", F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("unnamed"), "docs", "source_size", F.when(F.col("source_size") > 0, target).otherwise(0.0).alias("target"))
 
 
-def schedule(sources: DataFrame, block: int) -> DataFrame:
+def with_blocks(sources: DataFrame, block: int) -> DataFrame:
+    """sources with block: the words of a block of each."""
+    own = F.floor(F.col("target") * F.col("target") / F.lit(16.0 * block))
+    return sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), own)).cast("long"))
+
+
+def schedule(sources: DataFrame) -> DataFrame:
     """The slots of the mix: slot, source (key, unnamed), rank within the source.
 
     Spark ranks the slots of a source by the running count in ranges of slots; no task holds them all.
     """
     spark = sources.sparkSession
-    ends = sources.withColumn("upper", F.sum("target").over(W.Window.partitionBy(F.lit(0)).orderBy("unnamed", "key").rowsBetween(W.Window.unboundedPreceding, 0)))
-    ends = ends.withColumn("lower", F.col("upper") - F.col("target")).select("key", "unnamed", "lower", "upper")
-    whole = sources.agg(F.sum("target")).first()[0] or 0.0
-    n = math.ceil(whole / block)
+    sources = sources.withColumn("slots", F.col("target") / F.col("block"))
+    ends = sources.withColumn("upper", F.sum("slots").over(W.Window.partitionBy(F.lit(0)).orderBy("unnamed", "key").rowsBetween(W.Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("lower", F.col("upper") - F.col("slots")).select("key", "unnamed", "lower", "upper")
+    whole = sources.agg(F.sum("slots")).first()[0] or 0.0
+    n = math.ceil(whole)
     slot = spark.range(n).withColumn("x", (F.col("id") + 1) * F.lit(GOLDEN))
     slot = slot.select(F.col("id").alias("slot"), ((F.col("x") - F.floor("x")) * F.lit(whole)).alias("point"))
     bins = 1024  # an equi-join on ranges of points, whatever the number of sources
@@ -108,7 +116,7 @@ def placed(sized: DataFrame, sources: DataFrame, bucket_docs: int = 4096) -> Dat
     return d.join(sums, ["key", "unnamed", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
 
 
-def cuts(d: DataFrame, block: int) -> DataFrame:
+def cuts(d: DataFrame) -> DataFrame:
     """The parts of the documents of placed() that the mix takes: key, unnamed, start, id, size, rank, round, from, to.
 
     Words from..to - 1 of the document, in that round of its source, are in the source's block `rank`.
@@ -116,21 +124,21 @@ def cuts(d: DataFrame, block: int) -> DataFrame:
     d = d.where("size > 0 and take > start")
     d = d.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("take") - 1 - F.col("start")) / F.col("source_size")))))
     d = d.withColumn("begin", F.col("round") * F.col("source_size") + F.col("start")).withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("take")))
-    d = d.withColumn("rank", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))))
-    low, high = F.greatest("begin", F.col("rank") * block), F.least("end", (F.col("rank") + 1) * block)
+    d = d.withColumn("rank", F.explode(F.sequence(F.floor(F.col("begin") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block")))))
+    low, high = F.greatest("begin", F.col("rank") * F.col("block")), F.least("end", (F.col("rank") + 1) * F.col("block"))
     return d.select("key", "unnamed", "start", "id", "size", "rank", "round", (low - F.col("begin")).alias("from"), (high - F.col("begin")).alias("to"))
 
 
 def _scheduled(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, block: int) -> tuple[DataFrame, DataFrame]:
     """The placed documents, and their cuts with the slots of the mix."""
     sized = written(sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    sources = written(targets(sized, weights, most), "mix-targets", small=True)
-    slots = written(schedule(sources, block), "mix-slots", small=True)
+    sources = written(with_blocks(targets(sized, weights, most), block), "mix-targets", small=True)
+    slots = written(schedule(sources), "mix-slots", small=True)
     blocks = slots.groupBy("key", "unnamed").agg((F.max("rank") + 1).alias("blocks"))
-    sources = sources.join(blocks, ["key", "unnamed"], "left").withColumn("take", F.least(F.coalesce("blocks", F.lit(0)) * block, F.col("source_size") * most)).drop("blocks")
+    sources = sources.join(blocks, ["key", "unnamed"], "left").withColumn("take", F.least(F.coalesce("blocks", F.lit(0)) * F.col("block"), F.col("source_size") * most)).drop("blocks")
     sources = written(sources, "mix-take", small=True)
     d = written(placed(sized, sources), "mix-placed", small=True)
-    return d, cuts(d, block).join(slots, ["key", "unnamed", "rank"])
+    return d, cuts(d).join(slots, ["key", "unnamed", "rank"])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 256) -> DataFrame:
