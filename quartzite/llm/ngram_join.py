@@ -21,18 +21,21 @@
    next ones, in which a set has one of their prefix n-grams; dual traversal again, in pieces of
    bounded size.
 
-Nothing is capped or sampled. N-grams are equal if 64 bits of their hash are, so a pair of sets of
+Work in memory is bounded by bytes as well as by rows: batches of texts, buckets of hashes (their
+number comes from the bytes of the corpus), blocks, bundles and bitmaps. A longer text is a batch
+by itself. Nothing is capped or sampled. N-grams are equal if 64 bits of their hash are, so a pair of sets of
 300 n-grams has one false match in 2 * 10**14 pairs.
 
 Defined results: a null or empty text, or one of white space, has an empty set and links with
 nothing; fewer than n words are one n-gram; a null id is left out of links and has a null
-component; rows that repeat an id are one document's copies and give a row each; other columns are
-ignored; an empty table gives an empty table.
+component; rows that repeat an id are documents of their own, whose texts link or not; other
+columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -49,7 +52,9 @@ from .scratch import written
 _RNG = np.random.default_rng(0x51E7)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 HOT_IN_BATCH = 32
-BATCH_DOCS = 2048
+BATCH_DOCS, BATCH_BYTES = 2048, 8 << 20
+#: Bytes of text behind a bucket of hashes; n-grams of a block and of a bundle of blocks.
+BUCKET_BYTES, BLOCK_GRAMS, BUNDLE_GRAMS = 32 << 20, 1 << 21, 1 << 23
 HOT = np.int64(1 << 40)
 
 
@@ -102,9 +107,9 @@ def unpack_places(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, np.uint8 if len(blob) == n else np.uint16), dtype=np.int64)
 
 
-def bucket_bits(partitions: int) -> int:
-    """So many leading bits of a hash name its bucket that 7 bytes hold the others."""
-    return max(8, (4 * partitions - 1).bit_length())
+def bucket_bits(partitions: int, corpus_bytes: int) -> int:
+    """So many leading bits of a hash name its bucket that 7 bytes hold the others and a bucket stays small."""
+    return max(8, (4 * partitions - 1).bit_length(), (corpus_bytes // BUCKET_BYTES).bit_length())
 
 
 def unpack_in(bucket: int, bits: int, blob: bytes) -> np.ndarray:
@@ -128,6 +133,7 @@ def _scatter(n: int, bits: int):
     def one(ids: list, column: pa.Array, batch: int) -> Iterator[pa.RecordBatch]:
         data, offsets = tb.text_bytes(column)
         sets = shingle_sets(data, offsets, n)
+        texts = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         known: dict[bytes, int] = {}
         local = np.array([known.setdefault(d, len(known)) for d in digests], np.int32)
@@ -142,7 +148,7 @@ def _scatter(n: int, bits: int):
         new[1:] = full[1:] != full[:-1]
         runs = np.diff(np.append(np.flatnonzero(new), len(full)))
         hot = np.repeat(runs >= HOT_IN_BATCH, runs)
-        yield _batch([(batch % buckets, batch, None, None, None, None, pickle.dumps((ids, local, digests, sizes, place[hot], full[hot])))])
+        yield _batch([(batch % buckets, batch, None, None, None, None, pickle.dumps((ids, local, digests, texts, sizes, place[hot], full[hot])))])
         flagged = new & hot
         rows = []
         cold, cold_place, cold_bucket = full[~hot], place[~hot], bucket[~hot]
@@ -164,8 +170,8 @@ def _scatter(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 24
         for b in batches:
-            for at in range(0, b.num_rows, BATCH_DOCS):
-                part = b.slice(at, BATCH_DOCS)
+            for i, j in tb.chunks(tb.text_bytes(b.column(1))[1], BATCH_BYTES, BATCH_DOCS):
+                part = b.slice(i, j - i)
                 yield from one(part.column(0).to_pylist(), part.column(1), batch)
                 batch += 1
         tb.release()
@@ -202,16 +208,20 @@ def _frequencies(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(out)] if out else [], _ROUTED)
 
 
-SETS = "id long, n long, digest binary, shared binary, keys array<long>"
-_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("shared", pa.binary()), ("keys", pa.list_(pa.int64()))])
+SETS = "id long, n long, digest binary, text binary, node long, shared binary, keys array<long>"
+_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("text", pa.binary()), ("node", pa.int64()), ("shared", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
 def _prefixes(percent: int, bits: int):
-    """Of one batch: every document's size and digest; of each set that may have a partner its shared n-grams and prefix."""
+    """Of one batch: every document's size and digests; of each set that may have a partner its shared n-grams and prefix.
+
+    These are in one row of the set, which has a number of its own in the whole corpus, the node.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         found = [x for x in group["directory"].to_pylist() if x is not None]
-        ids, local, digests, sizes, hot_place, hot_grams = pickle.loads(found[0])
+        ids, local, digests, texts, sizes, hot_place, hot_grams = pickle.loads(found[0])
+        batch = group["batch"][0].as_py()
         places, grams, df = [hot_place], [hot_grams], [np.full(len(hot_grams), 255, np.uint8)]
         for bucket, p, g, d in zip(group["bucket"].to_pylist(), group["places"].to_pylist(), group["grams"].to_pylist(), group["df"].to_pylist(), strict=True):
             if p is not None:
@@ -239,15 +249,19 @@ def _prefixes(percent: int, bits: int):
                 least[k] = row
         rows_shared: list[bytes | None] = [None] * len(ids)
         rows_keys: list[np.ndarray | None] = [None] * len(ids)
+        nodes: list[int | None] = [None] * len(ids)
         for k, row in least.items():
             rows_shared[row], rows_keys[row] = shared[k], keys[k]
-        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes[local]), pa.array(digests, pa.binary()), pa.array(rows_shared, pa.binary()), pa.array(rows_keys, pa.list_(pa.int64()))], schema=_SETS)
+            if shared[k] is not None:
+                nodes[row] = batch * BATCH_DOCS + k
+        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes[local]), pa.array(digests, pa.binary()), pa.array(texts, pa.binary()), pa.array(nodes, pa.int64()), pa.array(rows_shared, pa.binary()), pa.array(rows_keys, pa.list_(pa.int64()))], schema=_SETS)
 
     return run
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    bits = bucket_bits(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = bucket_bits(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size)
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     routed = picked.mapInArrow(_scatter(n, bits), ROUTED)
     counted = routed.groupBy("bucket").applyInArrow(_frequencies, ROUTED)
@@ -321,11 +335,16 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     grams, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     number = np.cumsum(counts > 1) - 1
     width = max(1, -(-int((counts > 1).sum()) // 64))
-    bits = np.zeros((len(sets), width * 64), np.uint8)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    use = counts[where] > 1
-    bits[row[use], number[where[use]]] = 1
-    return np.packbits(bits, axis=1).view(np.uint64)
+    bits = np.zeros((len(sets), width * 8), np.uint8)
+    row, use, at = np.zeros(width * 64, np.uint8), counts[where] > 1, 0
+    for k, size in enumerate(sizes.tolist()):  # a row of flags at a time
+        mine = slice(at, at + size)
+        flags = number[where[mine][use[mine]]]
+        row[flags] = 1
+        bits[k] = np.packbits(row)
+        row[flags] = 0
+        at += size
+    return bits.view(np.uint64)
 
 
 def _order(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
@@ -410,8 +429,11 @@ def links(sets: DataFrame, keyed: DataFrame, clusters: DataFrame, percent: int,
     """
     spark = sets.sparkSession
     sets = sets.withColumn("size", size_class("n", percent))
+    grams = F.pow(F.lit(100.0 / percent), F.col("size") + 1)  # n-grams of a set of that class, or a little more
+    block_sets = F.greatest(F.lit(1), F.least(F.lit(block_docs), F.floor(F.lit(BLOCK_GRAMS) / grams)))
     members = clusters.join(sets.select("id", "size").distinct(), "id").select("id", F.col("component").alias("cluster"), "size")
-    classes = members.groupBy("cluster", "size").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("blocks"), F.min("id").alias("head"))
+    classes = members.groupBy("cluster", "size").agg(F.count(F.lit(1)).alias("sets"), F.min("id").alias("head"))
+    classes = classes.withColumn("blocks", F.ceil(F.col("sets") / block_sets)).drop("sets")
     classes = written(classes, "ngram-classes", small=True)
     parts = members.join(classes.drop("head"), ["cluster", "size"]).select("id", "cluster", "size", _block("size", _sub_block("blocks")))
     parts = written(parts, "ngram-blocks", small=True)
@@ -419,7 +441,8 @@ def links(sets: DataFrame, keyed: DataFrame, clusters: DataFrame, percent: int,
 
     def in_blocks(rows: DataFrame) -> DataFrame:
         """rows (id, size, cluster, block, piece, query) meet their sets and are joined piece by piece."""
-        bundles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // bundle_sets))
+        count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(grams), F.lit(0.0))).first()
+        bundles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // bundle_sets), math.ceil(size / BUNDLE_GRAMS))
         full = rows.join(sets, ["id", "size"]).withColumn("bundle", F.pmod(F.xxhash64("cluster", "block", "piece"), F.lit(bundles)))
         return full.groupBy("bundle").applyInArrow(_blocks(percent), "a long, b long")
 
@@ -448,7 +471,7 @@ def links(sets: DataFrame, keyed: DataFrame, clusters: DataFrame, percent: int,
     holders = parts.join(apart.select("cluster").distinct(), "cluster", "left_semi").join(keyed, "id").select("cluster", F.col("size").alias("near"), "block", "key").distinct()
     queries = wanted.join(holders, ["key", "near"]).where("block <> own").select("id", "size", "cluster", "block").distinct()
     queries = written(queries, "ngram-queries", small=True)
-    pieces = queries.groupBy("cluster", "block").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("pieces"))
+    pieces = queries.groupBy("cluster", "block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_docs, F.sum(grams) / BLOCK_GRAMS)).alias("pieces"))
     pieces = written(pieces, "ngram-pieces", small=True)
     dealt = queries.join(pieces, ["cluster", "block"]).select("id", "size", "cluster", "block", F.pmod(F.xxhash64("id"), F.col("pieces")).alias("piece"), F.lit(True).alias("query"))
     held = parts.join(pieces, ["cluster", "block"]).select("id", "size", "cluster", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(False).alias("query"))
@@ -456,21 +479,47 @@ def links(sets: DataFrame, keyed: DataFrame, clusters: DataFrame, percent: int,
     return found.union(in_blocks(across))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_docs: int = 128) -> DataFrame:
-    """One row per row of docs: the id, n_shingles, component_id (smallest id reachable by links, itself included)."""
+def decided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_docs: int = 128) -> DataFrame:
+    """One row per row of docs: id, n, text (SHA-256 of the bytes), component_id (least id reachable by links), kept.
+
+    Of a component the row of the least id stays, of such rows the one with the least digest; rows that share both are one document.
+    """
     sets = written(shingled(docs, id_col, text_col, n, percent), "ngram-sets")
     own = sets.where("n > 0 and id is not null")
-    least = written(own.groupBy("digest").agg(F.min("id").alias("set")), "ngram-set-ids", small=True)
+    # Equal sets have one node from here on, that of the least id.
+    node = F.min(F.when(F.col("node").isNotNull(), F.struct("id", "node"))).getField("node")
+    least = written(own.groupBy("digest").agg(node.alias("node"), F.min(F.struct("id", "text")).alias("first")), "ngram-set-ids", small=True)
 
-    # Equal sets have one carrier of keys from here on, the least id.
-    carried = own.where("shared is not null")
-    keyed = carried.select("id", "digest", "keys").join(least, "digest").where("id = set").select("id", F.explode("keys").alias("key"))
+    chosen = least.where("node is not null").select("node")
+    keyed = own.where("shared is not null").select("node", "keys").join(chosen, "node").select(F.col("node").alias("id"), F.explode("keys").alias("key"))
     keyed = written(keyed, "ngram-keys")
     hubs = written(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets"), "ngram-hubs", small=True)
     star = keyed.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    joined = components(links(carried.select("id", "n", "shared"), keyed, components(star), percent, block_docs))
+    carried = own.where("shared is not null").select(F.col("node").alias("id"), "n", "shared")
+    joined = components(links(carried, keyed, components(star), percent, block_docs))
+
+    groups = written(least.join(joined, least.node == joined.id, "left").select("digest", "first", "component"), "ngram-components", small=True)
+    tops = groups.where("component is not null").groupBy("component").agg(F.min("first").alias("top"))
+    named = groups.join(tops, "component", "left").select("digest", F.coalesce("top", "first").alias("top"))
+    rows = sets.select("id", "n", "digest", "text").join(written(named, "ngram-tops", small=True), "digest", "left")
+    grouped = (F.col("n") > 0) & F.col("id").isNotNull()
+    return rows.select(
+        "id",
+        "n",
+        "text",
+        F.when(grouped, F.col("top.id")).otherwise(F.when(F.col("n") == 0, F.col("id"))).alias("component_id"),
+        (~grouped | ((F.col("id") == F.col("top.id")) & (F.col("text") == F.col("top.text")))).alias("kept"),
+    )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """One row per row of docs: the id, n_shingles, component_id (smallest id reachable by links, itself included)."""
+    return decided(docs, id_col, text_col, **how).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
 
-    named = written(least.join(joined, least.set == joined.id, "left").select("digest", F.coalesce("component", "set").alias("component")), "ngram-components", small=True)
-    component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
-    rows = sets.select("id", "n", "digest").join(named, "digest", "left")
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """docs without the rows of a component but one; rows are told apart by id and text."""
+    gone = decided(docs, id_col, text_col, **how).where("not kept").select("id", "text").distinct()
+    gone = written(gone, "near-copies", small=True)
+    text = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
+    return docs.join(gone, (docs[id_col].cast("long") == gone["id"]) & (text == gone["text"]), "left_anti")
