@@ -49,38 +49,59 @@ def decay_mean(x: str, w: int) -> Column:
     return top / F.nullif(F.sum(there).over(f) + (F.lit(float(w)) - F.col("td")) * F.count(v).over(f), F.lit(0.0))
 
 
-def _weighted(x: Column, weights: list[float], order: W.WindowSpec) -> tuple[Column, Column, Column]:
-    """Over the last rows, newest first: sums of weights, of weighted values, and the array of (weight, value)."""
-    held = F.reverse(F.collect_list(x).over(order))
-    pairs = F.zip_with(held, F.slice(F.array(*[F.lit(w) for w in weights]), F.lit(1), F.size(held)), lambda v, w: F.struct(w.alias("w"), v.alias("v")))
-    total = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["w"])
-    return total, F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["w"] * p["v"]), pairs
-
-
-def smoothed(x: str, span: float, w: int, adjust: bool = True) -> Column:
-    """Exponentially weighted mean over the last w present rows with alpha 2 / (span + 1).
+def with_recurrences(df: DataFrame, steps: dict[str, tuple[Column, Column]], by: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("td",), block: int = 32) -> DataFrame:
+    """df with y = a * (y of the row before) + b for each name and its (a, b), exactly; before a key's first row y is 0.
 
-    adjust: weights (1 - alpha)**k over their sum. Otherwise the recursion that begins at the oldest of the
-    w rows, whose weight lacks the factor alpha. What lies before the w rows weighs (1 - alpha)**w.
+    A scan over blocks of rows: a row composes the maps of its block up to itself, blocks are composed to one pair
+    (product, sum) each, and what a block starts from is carried over the pairs before it. No row looks back further than
+    a block, and a key's pairs are one in `block` of its rows. Keys must not be null.
     """
-    a = 2.0 / (span + 1)
-    order = W.Window.partitionBy("symbol").orderBy("td").rowsBetween(1 - w, 0)
-    weights = [(1 - a) ** k for k in range(w)]
-    total, top, pairs = _weighted(F.col(x), weights, order)
+    rows = W.Window.partitionBy(*by).orderBy(*order)
+    d = df.withColumns({"_n": F.row_number().over(rows) - 1, **{f"_{k}_{n}": c for n, pair in steps.items() for k, c in zip("ab", pair, strict=True)}})
+    d = d.withColumn("_block", F.floor(F.col("_n") / block))
+    upto = W.Window.partitionBy(*by, "_block").orderBy("_n").rowsBetween(W.Window.unboundedPreceding, 0)
+    nothing = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("s"))
+    composed = lambda n: F.aggregate(F.collect_list(F.struct(F.col(f"_a_{n}").alias("a"), F.col(f"_b_{n}").alias("b"))).over(upto), nothing, lambda m, x: F.struct((m["p"] * x["a"]).alias("p"), (m["s"] * x["a"] + x["b"]).alias("s")))
+    d = d.withColumns({f"_m_{n}": composed(n) for n in steps})
+    pairs = d.groupBy(*by, "_block").agg(*[F.max_by(f"_m_{n}", "_n").alias(f"_t_{n}") for n in steps])
+    before = W.Window.partitionBy(*by).orderBy("_block").rowsBetween(W.Window.unboundedPreceding, -1)
+    carried = pairs.select(*by, "_block", *[F.aggregate(F.collect_list(f"_t_{n}").over(before), F.lit(0.0), lambda y, m: m["p"] * y + m["s"]).alias(f"_c_{n}") for n in steps])
+    d = d.join(carried, [*by, "_block"]).withColumns({n: F.col(f"_m_{n}.p") * F.col(f"_c_{n}") + F.col(f"_m_{n}.s") for n in steps})
+    return d.drop("_n", "_block", *[f"_{k}_{n}" for n in steps for k in "abmc"])
+
+
+def with_smoothed(df: DataFrame, x: str, span: float, out: str, adjust: bool = True, by: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("td",)) -> DataFrame:
+    """df with the exponentially weighted mean of x over all rows up to each, alpha being 2 / (span + 1).
+
+    Weights age by rows, those without x too, which repeat the mean. adjust: weights (1 - alpha)**age over their sum.
+    Otherwise the first value starts, and each next one has alpha against what is left of 1 since the last value.
+    """
+    alpha = 2.0 / (span + 1)
+    q = F.lit(1 - alpha)
+    rows = W.Window.partitionBy(*by).orderBy(*order)
+    there = F.col(x).isNotNull()
     if adjust:
-        return F.when(F.size(pairs) > 0, top / total)
-    last = F.element_at(pairs, -1)
-    return F.when(F.size(pairs) > 0, F.lit(a) * (top - last["w"] * last["v"]) + last["w"] * last["v"])
+        d = with_recurrences(df, {"_top": (q, F.coalesce(F.col(x).cast("double"), F.lit(0.0))), "_weight": (q, there.cast("double"))}, by, order)
+        return d.withColumn(out, F.col("_top") / F.nullif(F.col("_weight"), F.lit(0.0))).drop("_top", "_weight")
+    d = df.withColumn("_row", F.row_number().over(rows))
+    d = d.withColumn("_last", F.last(F.when(there, F.col("_row")), ignorenulls=True).over(rows.rowsBetween(W.Window.unboundedPreceding, -1)))
+    left = F.pow(q, F.col("_row") - F.col("_last"))
+    keep = F.when(~there, 1.0).when(F.col("_last").isNull(), 0.0).otherwise(left / (left + alpha))
+    add = F.when(~there, 0.0).when(F.col("_last").isNull(), F.col(x)).otherwise(F.lit(alpha) / (left + alpha) * F.col(x))
+    d = with_recurrences(d, {"_mean": (keep, add)}, by, order)
+    return d.withColumn(out, F.when(there | F.col("_last").isNotNull(), F.col("_mean"))).drop("_mean", "_row", "_last")
 
 
 def weighted_skew(x: str, half_life: float, w: int, least: int) -> Column:
-    """Skewness of the last w present rows under weights that halve every half_life rows."""
+    """Skewness over the last w rows, all of which must be there, under weights that halve every half_life rows; rows without x age too."""
     order = W.Window.partitionBy("symbol").orderBy("td").rowsBetween(1 - w, 0)
-    total, top, pairs = _weighted(F.col(x), [0.5 ** (k / half_life) for k in range(w)], order)
-    mean = top / total
+    held = F.reverse(F.collect_list(F.struct(F.col(x).alias("v"))).over(order))
+    pairs = F.filter(F.transform(held, lambda r, age: F.struct(F.pow(F.lit(0.5), age / F.lit(float(half_life))).alias("w"), r["v"].alias("v"))), lambda p: p["v"].isNotNull())
+    total = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["w"])
+    mean = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["w"] * p["v"]) / total
     moment = lambda k: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["w"] * F.pow(p["v"] - mean, F.lit(k))) / total
     m2 = moment(2)
-    return F.when((F.size(pairs) >= least) & (m2 > 1e-14), moment(3) / F.pow(m2, F.lit(1.5)))
+    return F.when((F.size(held) == w) & (F.size(pairs) >= least) & (m2 > 1e-14), moment(3) / F.pow(m2, F.lit(1.5)))
 
 
 def filled(x: str, limit: int) -> Column:

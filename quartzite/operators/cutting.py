@@ -117,7 +117,7 @@ def aggregates(x: str, slot: str, mask: Column) -> dict[str, Column]:
         "slope": (F.avg(t * v) - F.avg(t) * F.avg(v)) / F.when(varies > 1e-9, varies),
         "event_share": F.sum(F.when(mask, 1.0).otherwise(0.0)) / F.count(F.lit(1)),
         "centre": centre,
-        "dispersion": F.sqrt(F.greatest(spread, F.lit(0.0))),
+        "dispersion": F.when(spread > 1e-9 * (1 + centre * centre), F.sqrt(spread)).otherwise(F.when(spread.isNotNull(), 0.0)),  # below that it is rounding
     }
 
 

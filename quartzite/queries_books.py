@@ -55,7 +55,7 @@ _add("sliding_bars", lambda s, d: streams.bars(trade_events(s, d), "1 hour", "30
 _add("event_sessions", lambda s, d: streams.sessions(trade_events(s, d), "20 minutes").withColumn("began", F.col("start").cast("string")), f"(with g as (select *, case when ts < lag(ts) over (partition by symbol order by ts) + interval 20 minute then 0 else 1 end as new from {_TE}), h as (select *, sum(new) over (partition by symbol order by ts, event_id rows unbounded preceding) as k from g) select symbol, cast(min(ts) as varchar) as began, count(*) as n, sum(size) as volume from h group by symbol, k)", ["symbol", "began", "n"], ["volume"])
 _add("day_states", lambda s, d: streams.day_states_batch(trade_events(s, d)), f"(select symbol, cast(cast(ts as date) as varchar) as day, event_id, sum(size) over w as volume, sum(price * size) over w as amount, sum(price * size) over w / nullif(sum(size) over w, 0) as vwap, max(price) over w as high, min(price) over w as low from {_TE} window w as (partition by symbol, cast(ts as date) order by ts, event_id rows unbounded preceding))", ["symbol", "day", "event_id"], ["volume", "amount", "vwap", "high", "low"])
 _add("missing_keys", lambda s, d: stores.missing_keys(panels.table(s, d, "customer").select(F.col("c_custkey").alias("k")), panels.table(s, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k")), ["k"]), "(select c_custkey as k from customer except select o_custkey from orders where o_totalprice > 300000)", ["k"], [])
-_add("wide_panel", lambda s, d: panels.weekly(s, d).where("td < 60").groupBy("td").pivot("symbol", [1, 2, 3, 4, 5]).agg(F.max("close")).select("td", *[F.col(str(k)).alias(f"s{k}") for k in range(1, 6)]), f"(select td, {', '.join(f'max(close) filter (symbol = {k}) as s{k}' for k in range(1, 6))} from {_BARS} where td < 60 group by td)", ["td"], [f"s{k}" for k in range(1, 6)])
+_add("wide_panel", lambda s, d: panels.weekly(s, d).withColumn("k", F.col("symbol") % 5).groupBy("td").pivot("k", [0, 1, 2, 3, 4]).agg(F.max_by("close", "symbol")).select("td", *[F.col(str(k)).alias(f"s{k}") for k in range(5)]), f"(select td, {', '.join(f'arg_max(close, symbol) filter (symbol % 5 = {k}) as s{k}' for k in range(5))} from {_BARS} group by td)", ["td"], [f"s{k}" for k in range(5)])
 _add("quantiles_and_counts", lambda s, d: panels.table(s, d, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile_disc(0.5) within group (order by l_extendedprice)").alias("exact"), F.count_distinct("l_suppkey").alias("suppliers"), F.expr("percentile(l_quantity, 0.25)").alias("low")), "(select l_returnflag, quantile_disc(l_extendedprice, 0.5) as exact, count(distinct l_suppkey) as suppliers, quantile_cont(l_quantity, 0.25) as low from lineitem group by 1)", ["l_returnflag", "suppliers"], ["exact", "low"])
 _add("monthly_rollup", lambda s, d: panels.table(s, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").cast("string").alias("month"), F.quarter("o_orderdate").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("last")), "(select cast(cast(date_trunc('month', o_orderdate) as date) as varchar) as month, quarter(o_orderdate) as q, count(*) as n, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as last from orders group by 1, 2)", ["month", "q", "n"], ["last"])
 _add("text_and_maps", lambda s, d: panels.table(s, d, "events").select("event_id", F.rpad(F.upper(F.substring("event_type", 1, 3)), 6, ".").alias("code"), F.lpad(F.col("user_id").cast("string"), 6, "0").alias("padded"), F.element_at(F.create_map(*[F.lit(x) for x in ("view", 1, "click", 2, "purchase", 3)]), F.col("event_type")).alias("level"), F.get_json_object("props", "$.k").alias("prop"), F.substring(F.sha2(F.col("props"), 256), 1, 12).alias("mark")), "(select event_id, rpad(upper(substring(event_type, 1, 3)), 6, '.') as code, lpad(cast(user_id as varchar), 6, '0') as padded, case event_type when 'view' then 1 when 'click' then 2 when 'purchase' then 3 end as level, json_extract_string(props, '$.k') as prop, substring(sha256(props), 1, 12) as mark from events)", ["event_id", "code", "padded", "level", "prop", "mark"], [])

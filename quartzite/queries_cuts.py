@@ -56,8 +56,8 @@ _add("cut_masks", _masked, _MASKED, ["symbol", "day", "slot", *_MASKS], [])
 _AGGS = ["mean", "sum", "std", "median", "last", "max", "min", "slope", "event_share", "centre", "dispersion"]
 _AGG_SQL = ", ".join(f"""avg(ret) filter ({m}) as {m}_mean, sum(ret) filter ({m}) as {m}_sum, stddev_samp(ret) filter ({m}) as {m}_std, quantile_cont(ret, 0.5) filter ({m}) as {m}_median, arg_max(ret, slot) filter ({m} and ret is not null) as {m}_last, max(ret) filter ({m}) as {m}_max, min(ret) filter ({m}) as {m}_min,
  case when count(distinct case when {m} and ret is not null then slot end) > 1 then regr_slope(ret, slot) filter ({m}) end as {m}_slope, avg(case when {m} then 1e0 else 0e0 end) as {m}_event_share, sum(slot * abs(ret)) filter ({m}) / nullif(sum(abs(ret)) filter ({m}), 0) as {m}_centre,
- sqrt(greatest(0, sum(slot * slot * abs(ret)) filter ({m}) / nullif(sum(abs(ret)) filter ({m}), 0) - power(sum(slot * abs(ret)) filter ({m}) / nullif(sum(abs(ret)) filter ({m}), 0), 2))) as {m}_dispersion""" for m in ("high", "low"))
-_add("cut_aggregates", lambda s, d: _masked(s, d).groupBy(*_DAY).agg(*[c for m in ("high", "low") for c in events.by_name(cutting.aggregates("ret", "slot", F.col(m)), f"{m}_")]), f"(select symbol, day, {_AGG_SQL} from {_MASKED} group by symbol, day)", _DAY, [f"{m}_{a}" for m in ("high", "low") for a in _AGGS if a != "dispersion"])
+ case when sum(slot * slot * abs(ret)) filter ({m}) / nullif(sum(abs(ret)) filter ({m}), 0) - power(sum(slot * abs(ret)) filter ({m}) / nullif(sum(abs(ret)) filter ({m}), 0), 2) > 1e-9 * (1 + power(sum(slot * abs(ret)) filter ({m}) / nullif(sum(abs(ret)) filter ({m}), 0), 2)) then sqrt(sum(slot * slot * abs(ret)) filter ({m}) / nullif(sum(abs(ret)) filter ({m}), 0) - power(sum(slot * abs(ret)) filter ({m}) / nullif(sum(abs(ret)) filter ({m}), 0), 2)) when sum(slot * slot * abs(ret)) filter ({m}) / nullif(sum(abs(ret)) filter ({m}), 0) - power(sum(slot * abs(ret)) filter ({m}) / nullif(sum(abs(ret)) filter ({m}), 0), 2) is not null then 0e0 end as {m}_dispersion""" for m in ("high", "low"))
+_add("cut_aggregates", lambda s, d: _masked(s, d).groupBy(*_DAY).agg(*[c for m in ("high", "low") for c in events.by_name(cutting.aggregates("ret", "slot", F.col(m)), f"{m}_")]), f"(select symbol, day, {_AGG_SQL} from {_MASKED} group by symbol, day)", _DAY, [f"{m}_{a}" for m in ("high", "low") for a in _AGGS])
 _CON = ["diff", "ratio", "normalised_diff", "acceleration", "reversal"]
 _add("cut_contrasts", lambda s, d: _masked(s, d).groupBy(*_DAY).agg(F.sum(F.when(F.col("am"), F.col("ret"))).alias("a"), F.sum(F.when(F.col("pm"), F.col("ret"))).alias("b")).select(*_DAY, *events.by_name(cutting.contrasts("a", "b"), "c_")),
      f"(select symbol, day, a - b as c_diff, case when abs(b) > 1e-12 then a / (abs(b) + 1e-12) end as c_ratio, case when abs(a) + abs(b) > 1e-12 then (a - b) / (abs(a) + abs(b) + 1e-12) end as c_normalised_diff, b - a as c_acceleration, case when a <> 0 then -sign(a) * b end as c_reversal from (select symbol, day, sum(ret) filter (am) as a, sum(ret) filter (pm) as b from {_MASKED} group by symbol, day))", _DAY, [f"c_{c}" for c in _CON])
@@ -182,9 +182,10 @@ _add("page_rank", lambda s, d: graphs.page_rank(_trade(s, d), rounds=12), f"""(w
 _FEATS = ["signal", "volume", "size", "log_amount"]
 _LF = "(" + " union all ".join(f"select '{f}' as feature, cast({f} as double) as x, fwd as y from {{p}} where {f} is not null and fwd is not null" for f in _FEATS) + ")"
 _on_panel("mutual_information", lambda p: selection.mutual_information(p, _FEATS, "fwd", 8), f"(with b as (select feature, floor((rank() over (partition by feature order by x) - 1) * 8 / count(*) over (partition by feature)) as i, floor((rank() over (partition by feature order by y) - 1) * 8 / count(*) over (partition by feature)) as j from {_LF}), c as (select feature, i, j, count(*)::double as n from b group by all), t as (select *, sum(n) over (partition by feature) as t, sum(n) over (partition by feature, i) as a, sum(n) over (partition by feature, j) as b from c) select feature, sum(n / t * ln(n * t / (a * b))) as mi from t group by feature)", ["feature"], ["mi"])
-_ERFC = "(1 / (1 + 0.3275911 * abs(z) / sqrt(2)))"
-_F = f"(select feature, n, r2 / (1 - r2) * (n - 2) as f, sqrt(r2 / (1 - r2) * (n - 2)) as z from (select feature, count(*) as n, power(corr(x, y), 2) as r2 from {_LF} group by feature))"
-_P = f"(select feature, n, f, {_ERFC} * (0.254829592 + {_ERFC} * (-0.284496736 + {_ERFC} * (1.421413741 + {_ERFC} * (-1.453152027 + {_ERFC} * 1.061405429)))) * exp(-z * z / 2) as p from {_F})"
+_F = f"(select feature, n, r2 / (1 - r2) * (n - 2) as f, n - 2 as v from (select feature, count(*) as n, power(corr(x, y), 2) as r2 from {_LF} group by feature))"
+# Twice the tail of Student's t by Simpson's rule over the angle: the density is cos(angle)**(v - 1) over its whole integral.
+_P = f"""(with a as (select *, atan(sqrt(f / v)) as low, least(pi() / 2 - atan(sqrt(f / v)), 14 / sqrt(v)) / 4000 as h from {_F})
+ select feature, max(n) as n, max(f) as f, sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * case when cos(low + i * h) > 0 then exp((v - 1) * ln(cos(low + i * h))) else 0 end) * max(h) / 3 * 2 * exp(max(lgamma((v + 1) / 2e0) - lgamma(v / 2e0))) / sqrt(pi()) as p from a, range(0, 4001) as t(i) group by feature)"""
 _on_panel("association_tests", lambda p: selection.association(p, _FEATS, "fwd"), _P, ["feature", "n"], ["f", "p"])
 _on_panel("false_discovery", lambda p: selection.false_discovery(selection.association(p, _FEATS, "fwd"), 0.05).select("feature", "q", "chosen"), f"(with r as (select *, row_number() over (order by p, feature) as i, count(*) over () as m from {_P}) select a.feature, least(1, min(b.p * b.m / b.i)) as q, least(1, min(b.p * b.m / b.i)) <= 0.05 as chosen from r a join r b on b.i >= a.i group by a.feature)", ["feature", "chosen"], ["q"])
 _COR = [(a, b) for i, a in enumerate(_FEATS) for b in _FEATS[i + 1 :]]

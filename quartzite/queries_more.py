@@ -105,16 +105,16 @@ _add("limit_status", lambda s, d: _limits(s, d).select("symbol", "td", masks.lim
 
 
 def _names(s: SparkSession, d: str) -> DataFrame:
-    """Names of suppliers as intervals of weeks: each part's first to last shipment, named by the part's type; open for one in seven."""
+    """Names of suppliers as intervals of weeks: from each part type's first shipment to its last, seven weeks at most, named by the type; open for one supplier in seven."""
     li = panels.table(s, d, "lineitem").where("l_shipdate >= timestamp '1995-01-01 00:00:00'").join(panels.table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     week = "cast(floor(datediff(l_shipdate, timestamp '1995-01-01 00:00:00') / 7) as int)"
     iv = li.groupBy(F.col("l_suppkey").cast("int").alias("symbol"), F.col("p_type").alias("name")).agg(F.expr(f"min({week})").alias("start"), F.expr(f"max({week})").alias("end"))
-    return iv.where("end - start < 12").withColumn("end", F.when(F.col("symbol") % 7 != 0, F.col("end")))
+    return iv.withColumn("end", F.when(F.col("symbol") % 7 != 0, F.least(F.col("end"), F.col("start") + 6)))
 
 
 _SPECIAL = f"""(with iv as (select cast(l_suppkey as int) as symbol, p_type as name, min(cast(floor(datediff('day', timestamp '1995-01-01 00:00:00', l_shipdate) / 7) as int)) as f, max(cast(floor(datediff('day', timestamp '1995-01-01 00:00:00', l_shipdate) / 7) as int)) as t
    from lineitem join part on l_partkey = p_partkey where l_shipdate >= timestamp '1995-01-01 00:00:00' group by 1, 2)
- select symbol, td, exists (select 1 from iv where iv.symbol = b.symbol and regexp_matches(iv.name, 'ST|\\*|退') and t - f < 12 and b.td >= f and (iv.symbol % 7 = 0 or b.td <= t)) as special from {_BARS} b)"""
+ select symbol, td, exists (select 1 from iv where iv.symbol = b.symbol and regexp_matches(iv.name, 'ST|\\*|退') and b.td >= f and (iv.symbol % 7 = 0 or b.td <= least(t, f + 6))) as special from {_BARS} b)"""
 _add("special_treatment", lambda s, d: masks.under_names(panels.weekly(s, d).select("symbol", "td"), _names(s, d)), _SPECIAL, [*_K, "special"], [])
 
 
@@ -152,10 +152,16 @@ _MKT = "(select *, avg(ret) over (partition by td) as market from (select *, lag
 _on_panel("market_residual", lambda p: rolling.with_market_residual(_market(p), "ret", "market", 60, "v", 20), f"(with m as {_MKT} select symbol, td, case when count(ret + market) {_W.format(59)} >= 20 then ret - regr_intercept(ret, market) {_W.format(59)} - regr_slope(ret, market) {_W.format(59)} * market end as v from m)", _K, ["v"])
 _NEAR = "(with m as (select symbol, td, close from {p}), q as (select a.symbol, a.td, b.close as x, a.td - b.td as age, row_number() over (partition by a.symbol, a.td order by b.td desc) - 1 as k from m a join m b on a.symbol = b.symbol and b.td <= a.td and b.td > a.td - 400) "
 _on_panel("linear_decay", lambda p: p.select("symbol", "td", rolling.decay_mean("close", 10).alias("v")), _NEAR + "select symbol, td, sum((10 - age) * x) / nullif(sum(10 - age), 0) as v from q where age < 10 group by symbol, td)", _K, ["v"])
-_on_panel("ewm_mean", lambda p: p.select("symbol", "td", rolling.smoothed("close", 5, 15).alias("adjusted"), rolling.smoothed("close", 5, 15, False).alias("plain")),
-          _NEAR + ", c as (select *, count(*) over (partition by symbol, td) as n from q where k < 15) select symbol, td, sum(power(2e0 / 3, k) * x) / sum(power(2e0 / 3, k)) as adjusted, sum(power(2e0 / 3, k) * x * case when k = n - 1 then 1 else 1e0 / 3 end) as plain from c group by symbol, td)", _K, ["adjusted", "plain"])
-_on_panel("ewm_skew", lambda p: p.select("symbol", "td", rolling.weighted_skew("close", 10, 30, 8).alias("v")),
-          _NEAR + ", w as (select *, power(0.5e0, k / 10e0) as wt from q where cast(k as double) < 29.5), mm as (select symbol, td, sum(wt * x) / sum(wt) as mu from w group by symbol, td), c as (select w.symbol, w.td, count(*) as n, sum(wt * power(x - mu, 2)) / sum(wt) as m2, sum(wt * power(x - mu, 3)) / sum(wt) as m3 from w join mm on mm.symbol = w.symbol and mm.td = w.td group by w.symbol, w.td) select symbol, td, case when n >= 8 and m2 > 1e-14 then m3 / power(m2, 1.5e0) end as v from c)", _K, ["v"])
+_GAPS = "case when volume > 150 then close end"  # some rows have no value
+_on_panel("ewm_mean", lambda p: rolling.with_smoothed(rolling.with_smoothed(p.withColumn("x", F.expr(_GAPS)), "x", 5, "adjusted"), "x", 5, "plain", False),
+          """(with recursive m as (select symbol, td, case when volume > 150 then close end as x, row_number() over (partition by symbol order by td) as n from {p}),
+ r(symbol, td, n, plain, top, weight, kept) as (select symbol, td, n, x, coalesce(x, 0), case when x is null then 0e0 else 1e0 end, case when x is not null then 1e0 end from m where n = 1
+  union all select m.symbol, m.td, m.n, case when m.x is null then r.plain when r.plain is null then m.x else (r.kept * 2 / 3 * r.plain + m.x / 3) / (r.kept * 2 / 3 + 1e0 / 3) end, r.top * 2 / 3 + coalesce(m.x, 0), r.weight * 2 / 3 + case when m.x is null then 0e0 else 1e0 end, case when m.x is null then r.kept * 2 / 3 else 1e0 end
+  from m join r on m.symbol = r.symbol and m.n = r.n + 1) select symbol, td, top / nullif(weight, 0) as adjusted, plain from r)""", _K, ["adjusted", "plain"])
+_on_panel("ewm_skew", lambda p: p.withColumn("x", F.expr(_GAPS)).select("symbol", "td", rolling.weighted_skew("x", 10, 30, 8).alias("v")),
+          """(with m as (select symbol, td, case when volume > 150 then close end as x, row_number() over (partition by symbol order by td) as n from {p}), q as (select a.symbol, a.td, b.x, power(0.5e0, (a.n - b.n) / 10e0) as wt from m a join m b on b.symbol = a.symbol and b.n between a.n - 29 and a.n and b.x is not null where a.n >= 30),
+ mm as (select symbol, td, sum(wt * x) / sum(wt) as mu from q group by symbol, td), c as (select q.symbol, q.td, count(*) as n, sum(wt * power(x - mu, 2)) / sum(wt) as m2, sum(wt * power(x - mu, 3)) / sum(wt) as m3 from q join mm on mm.symbol = q.symbol and mm.td = q.td group by q.symbol, q.td)
+ select m.symbol, m.td, case when c.n >= 8 and m2 > 1e-14 then m3 / power(m2, 1.5e0) end as v from m left join c on c.symbol = m.symbol and c.td = m.td)""", _K, ["v"])
 _on_panel("event_decay", lambda p: p.withColumn("x", F.when(F.col("volume") > 150, F.col("close"))).select("symbol", "td", rolling.filled("x", 6).alias("held"), rolling.decayed("x", 3, 8).alias("decayed")),
           "(with m as (select symbol, td, case when volume > 150 then close end as x from {p}) select a.symbol, a.td, max(case when a.td - b.td <= 6 then b.x end) as held, max(b.x * power(0.5e0, (a.td - b.td) / 3e0)) as decayed from m a left join m b on a.symbol = b.symbol and b.x is not null and b.td = (select max(c.td) from m c where c.symbol = a.symbol and c.td between a.td - 8 and a.td and c.x is not null) group by a.symbol, a.td)", _K, ["held", "decayed"])
 _on_panel("forward_mean", lambda p: p.select("symbol", "td", rolling.ahead_mean("close", 5, 3).alias("v")), "(select symbol, td, case when count(close) over w >= 3 then avg(close) over w end as v from {p} window w as (partition by symbol order by td range between current row and 4 following))", _K, ["v"])
@@ -171,4 +177,4 @@ _on_panel("extremes", lambda p: ranking.extremes(p, "signal", 3), "(select symbo
 _add("cumulative_volume_cut", lambda s, d: ranking.until_volume(minute_bars(s, d).withColumn("score", F.abs(F.col("close") - F.col("open")) / F.sqrt("volume")), "score", "volume", ["symbol", "day"], 0.2).select("symbol", "day", "slot", "score"),
      f"(with b as (select *, abs(close - open) / sqrt(volume) as score from {panels.bars_sql('check')}), r as (select *, sum(volume) over (partition by symbol, day order by score desc, volume desc, slot) as upto, sum(volume) over (partition by symbol, day) as whole from b) select symbol, day, slot, score from r where upto - volume < 0.2e0 * whole)", ["symbol", "day", "slot"], ["score"])
 _on_panel("sampled_panel", lambda p: ranking.sampled_symbols(ranking.sampled_dates(p, 4), 5, "s:").select("symbol", "td", "close"), "(select symbol, td, close from {p} where td % 4 = 0 and symbol in (select symbol from (select distinct symbol from {p} where td % 4 = 0) order by sha256('s:' || symbol), symbol limit 5))", _K, ["close"])
-_on_panel("set_agreement", lambda p: ranking.set_agreement(ranking.extremes(p.where("td >= 200 and td < 210"), "signal", 5).where("side = 'top'"), "td", "symbol"), "(with t as (select td, symbol from (select *, row_number() over (partition by td order by signal desc, symbol) as r from {p} where signal is not null and td >= 200 and td < 210) where r <= 5) select a.td as a, b.td as b, count(*) as common, count(*) / ((select count(*) from t where td = a.td) + (select count(*) from t where td = b.td) - count(*))::double as jaccard from t a join t b on a.symbol = b.symbol and a.td < b.td group by a.td, b.td)", ["a", "b", "common"], ["jaccard"])
+_on_panel("set_agreement", lambda p: ranking.set_agreement(ranking.extremes(p, "signal", 5).where("side = 'top'"), "td", "symbol"), "(with t as (select td, symbol from (select *, row_number() over (partition by td order by signal desc, symbol) as r from {p} where signal is not null) where r <= 5) select a.td as a, b.td as b, count(*) as common, count(*) / ((select count(*) from t where td = a.td) + (select count(*) from t where td = b.td) - count(*))::double as jaccard from t a join t b on a.symbol = b.symbol and a.td < b.td group by a.td, b.td)", ["a", "b", "common"], ["jaccard"])

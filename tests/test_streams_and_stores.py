@@ -25,9 +25,13 @@ def split_events(spark, tmp_path, parts=3):
     return e
 
 
+PROGRESS: dict = {}
+
+
 def drained(df, tmp_path, name):
     query = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
     query.awaitTermination(180)
+    PROGRESS[name] = query.recentProgress
     query.stop()
     return df.sparkSession.table(name)
 
@@ -52,6 +56,37 @@ def test_stream_day_states_equal_batch(spark, tmp_path):
         assert (r.volume, r.high, r.low) == (w.volume, w.high, w.low) and r.amount == pytest.approx(w.amount) and r.vwap == pytest.approx(w.vwap)
 
 
+def state_rows(spark, name):
+    """Rows of state after the last batch of the stream that drained() ran."""
+    return PROGRESS[name][-1]["stateOperators"][0]["numRowsTotal"]
+
+
+def test_stream_states_expire(spark, tmp_path):
+    e = split_events(spark, tmp_path)
+    drained(bars.day_states(bars.events_stream(spark, f"{tmp_path}/in", e.schema, 1)), tmp_path, "s_expire")
+    assert state_rows(spark, "s_expire") <= 1  # that of the last event, which moves the watermark
+
+
+def test_stream_holds_equal_batch_and_expire(spark, tmp_path):
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    hits = {("a", 2): 1.0, ("a", 3): 4.0, ("a", 15): -2.0, ("b", 0): 5.0, ("c", 19): 8.0}
+    rows = [(s, k, day(k), hits.get((s, k))) for k in range(24) for s in "abcd" if not (s == "b" and k in (4, 5))]
+    schema = "symbol string, td long, ts timestamp, value double"
+    for k in range(0, len(rows), 17):
+        spark.createDataFrame(rows[k : k + 17], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for k in (60, 61):
+        spark.createDataFrame([("end", k, day(k), None)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = bars.events_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, 1)
+    got = drained(bars.holds(stream, 6, 3, "2 days"), tmp_path, "s_holds").where("symbol <> 'end'").collect()
+    want = {(r.symbol, r.td): r for r in bars.holds_batch(spark.createDataFrame(rows, schema), 6, 3).collect()}
+    assert len(got) == len(want) == len(rows)
+    for r in got:
+        w = want[r.symbol, r.td]
+        assert (r.value, r.held) == (w.value, w.held) and r.decayed == (None if w.decayed is None else pytest.approx(w.decayed))
+    assert want["a", 9].held == 4.0 and want["a", 10].held is None
+    assert state_rows(spark, "s_holds") == 0
+
+
 def test_narrow_store_and_quarters(spark, tmp_path):
     rows = [(dt.date(2024, 1 + k % 12, 1 + k % 27), f"s{k % 3}", float(k)) for k in range(60)] + [(None, "s0", 1.0), (dt.date(2024, 5, 28), "s1", None)]
     d = spark.createDataFrame(rows, "date date, symbol string, value double")
