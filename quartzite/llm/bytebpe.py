@@ -18,13 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .textblocks import chunks, mix, text_bytes
+from .codepoints import CODES, distinct_words, spread
+from .textblocks import chunks, text_bytes
 
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 #: Code points of white space; these are fixed values.
 WHITE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_CODES = 0x110000
-_BASE = 0x9E3779B97F4A7C15
 _LONG = 200
 _SAFE = re.compile(rb"[a-z] [a-z]")
 
@@ -32,8 +31,8 @@ _SAFE = re.compile(rb"[a-z] [a-z]")
 @functools.cache
 def _classes() -> np.ndarray:
     old = unicodedata.ucd_3_2_0.category
-    kinds = np.full(_CODES, OTHER, np.uint8)
-    for i, c in enumerate(map(chr, range(_CODES))):
+    kinds = np.full(CODES, OTHER, np.uint8)
+    for i, c in enumerate(map(chr, range(CODES))):
         kind = unicodedata.category(c)
         if kind[0] in "LN" or kind == "Cn":
             known = kind != "Cn" and old(c) == kind
@@ -42,46 +41,6 @@ def _classes() -> np.ndarray:
     return kinds
 
 
-@functools.cache
-def _values() -> np.ndarray:
-    return mix(np.arange(_CODES, dtype=np.uint64) + np.uint64(0x5EED)) | np.uint64(1)
-
-
-@functools.cache
-def _powers() -> np.ndarray:
-    steps = np.full(1 << 16, _BASE, np.uint64)
-    return np.cumprod(steps)
-
-
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... sizes[0] numbers, then those of the next, and so on."""
-    ends = np.cumsum(sizes)
-    out = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
-    out += np.arange(len(out), dtype=np.int32)
-    return out
-
-
-def _firsts(h: np.ndarray) -> np.ndarray:
-    """For each hash the place of one occurrence of it, the same for all of its occurrences."""
-    out = np.empty(len(h), np.int64)
-    left = np.arange(len(h))
-    bits = max(10, int(len(h)).bit_length())
-    slots = np.zeros(1 << bits, np.int64)
-    for turn in range(64 // bits):
-        if not len(left):
-            return out
-        at = ((h[left] >> np.uint64(turn * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        slots[at] = left
-        found = slots[at]
-        same = h[found] == h[left]
-        out[left[same]] = found[same]
-        left = left[~same]
-    if len(left):
-        _, first, inverse = np.unique(h[left], return_index=True, return_inverse=True)
-        out[left] = left[first][inverse]
-    return out
-
-
 def pre_tokens(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where a pre-token begins, for texts that begin at first (and end at its last entry)."""
     n = len(codes)
@@ -140,7 +99,7 @@ class Encoder:
         long = sizes[at] + lead
         ends = np.cumsum(long)
         joined = np.full(int(ends[-1]) if len(ends) else 0, 10, np.uint32)
-        joined[_spread(ends - sizes[at], sizes[at])] = codes[_spread(starts[at], sizes[at])]
+        joined[spread(ends - sizes[at], sizes[at])] = codes[spread(starts[at], sizes[at])]
         ids = self.bytes_of.encode_to_numpy(joined.tobytes().decode("utf-32-le"), allowed_special=set(), disallowed_special=()).astype(np.int32)
         width = 1 + (joined >= 0x80).astype(np.int64) + (joined >= 0x800) + (joined >= 0x10000)
         byte_ends = np.cumsum(width)[ends - 1] if len(ends) else np.zeros(0, np.int64)
@@ -179,20 +138,12 @@ class Encoder:
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(codes))
         sizes = ends - starts
-        place = np.arange(len(codes), dtype=np.int32)
-        place -= np.repeat(starts.astype(np.int32), sizes)
-        place &= 0xFFFF
-        same = _firsts(mix(np.add.reduceat(_values()[codes] * _powers()[place], starts) + sizes.astype(np.uint64)))
-        shift = np.repeat((starts[same] - starts).astype(np.int32), sizes)
-        shift += np.arange(len(codes), dtype=np.int32)
-        if (sizes[same] != sizes).any() or (codes[shift] != codes).any():  # two pre-tokens share a hash
-            same = np.arange(len(starts))
-        own = np.flatnonzero(same == np.arange(len(same)))
+        _, same, own = distinct_words(codes, starts, sizes)
         pool, at, count = self._words(codes, starts[own], sizes[own])
         place = np.zeros(len(starts), np.int64)
         place[own] = np.arange(len(own))
         word = place[same]
-        ids = pool[_spread(at[word], count[word])]
+        ids = pool[spread(at[word], count[word])]
         total = np.concatenate([[0], np.cumsum(count[word])])
         counts = np.diff(total[np.searchsorted(starts, first)])
         odd = set(np.searchsorted(offsets, [m.start() for s in self.special for m in re.finditer(re.escape(s), raw)], "right") - 1)

@@ -32,7 +32,6 @@ table; other columns are ignored.
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,9 +43,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .codepoints import distinct_words, equal_words, spread
 from .textblocks import mix, release
 
-WORDS = re.compile(r"\n| *[^ \n]+| +")
 END = -1
 #: Marks of the first byte of UTF-8 forms by their length (fixed values).
 LEAD = np.array([0, 0, 0xC0, 0xE0, 0xF0])
@@ -175,9 +174,19 @@ class Lattice:
     ends: np.ndarray  # node after the last of each word
 
 
-def build(words: list[str], v: Vocabulary, alpha: float = 1.0) -> Lattice:
-    codes = _codes("".join(words))
-    lengths = np.array([len(w) for w in words], np.int64)
+def words_of(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where a word begins, in texts that begin at first: a line end, or spaces with what follows them up to a space or line end."""
+    begin = np.zeros(len(codes) + 1, bool)
+    begin[first] = True
+    line, space = codes == 10, codes == 32
+    begin[:-1] |= line
+    begin[1:] |= line
+    begin[1:-1] |= space[1:] & ~space[:-1]
+    return np.flatnonzero(begin[:-1])
+
+
+def build(codes: np.ndarray, lengths: np.ndarray, v: Vocabulary, alpha: float = 1.0) -> Lattice:
+    """The lattice of words that follow each other in codes."""
     starts = np.cumsum(lengths) - lengths
     n = len(codes)
     left = np.repeat(starts + lengths, lengths) - np.arange(n)  # characters to the end of the word
@@ -245,35 +254,30 @@ def build(words: list[str], v: Vocabulary, alpha: float = 1.0) -> Lattice:
     return Lattice(first, np.where(target == n, END, target), piece, share, log_share, below, starts, starts + lengths)
 
 
-class Lexicon(dict):
+class Lexicon:
     """Numbers of the words met so far and one lattice of them all, which grows."""
 
     #: Field, type, and whether it has an entry for each node, edge or word.
-    PARTS = (("first", np.int64, 0), ("target", np.int32, 1), ("piece", np.int32, 1), ("share", np.float64, 1), ("log_share", np.float64, 1), ("below", np.float64, 1), ("starts", np.int64, 2), ("ends", np.int64, 2))
+    PARTS = (("first", np.int64, 0), ("codes", np.uint32, 0), ("target", np.int32, 1), ("piece", np.int32, 1), ("share", np.float64, 1), ("log_share", np.float64, 1), ("below", np.float64, 1), ("starts", np.int64, 2), ("ends", np.int64, 2))
 
-    def __init__(self, v: Vocabulary, alpha: float, piece_chars: int = 1 << 15) -> None:
+    def __init__(self, v: Vocabulary, alpha: float, piece_chars: int = 1 << 16) -> None:
         self.v, self.alpha, self.piece_chars = v, alpha, piece_chars
         self.space = {name: np.zeros(1024, kind) for name, kind, _ in self.PARTS}
         self.empty()
 
     def empty(self) -> None:
-        self.clear()
-        self.fresh: list[str] = []
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # by key
         self.used = [0, 0, 0]
 
-    def __missing__(self, word: str) -> int:
-        self.fresh.append(word)
-        self[word] = number = len(self)
-        return number
-
     @property
     def chars(self) -> int:
         return self.used[0]
 
-    def _add(self, words: list[str]) -> None:
-        new = build(words, self.v, self.alpha)
+    def _add(self, codes: np.ndarray, lengths: np.ndarray) -> None:
+        new = build(codes, lengths, self.v, self.alpha)
         nodes, edges, _ = self.used
         columns = new.__dict__ | {
+            "codes": codes,
             "first": new.first[:-1] + edges,
             "target": np.where(new.target == END, END, new.target + nodes),
             "starts": new.starts + nodes,
@@ -289,16 +293,38 @@ class Lexicon(dict):
         self.used = [u + len(columns[name]) for u, name in zip(self.used, ("first", "target", "starts"), strict=True)]
         self.space["first"][self.used[0]] = self.used[1]
 
-    def grown(self) -> Lattice:
-        """The lattice with the words that came since the last call."""
-        ends = np.cumsum(np.fromiter(map(len, self.fresh), np.int64, len(self.fresh)))
+    def numbered(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The numbers of the words that begin at starts and fill codes; the lattice gets those that are new."""
+        sizes = np.diff(np.append(starts, len(codes)))
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        keys, same, own = distinct_words(codes, starts, sizes)
+        key, at, size = keys[own], starts[own], sizes[own]
+        place = np.searchsorted(self.keys, key)
+        number = np.full(len(own), -1)
+        hit = np.flatnonzero(place < len(self.keys))
+        hit = hit[self.keys[place[hit]] == key[hit]]
+        known = self.numbers[place[hit]]
+        held = self.space["starts"][known]
+        right = equal_words(codes, at[hit], size[hit], self.space["codes"], held, self.space["ends"][known] - held)
+        number[hit[right]] = known[right]
+        fresh = np.flatnonzero(number < 0)
+        number[fresh] = self.used[2] + np.arange(len(fresh))
+        ends = np.cumsum(size[fresh])
         i = 0
-        while i < len(ends):
+        while i < len(fresh):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + self.piece_chars, "right")))
-            self._add(self.fresh[i:j])
+            some = fresh[i:j]
+            self._add(codes[spread(at[some], size[some])], size[some])
             i = j
-        self.fresh = []
-        return Lattice(**{name: self.space[name][: self.used[of] + (name == "first")] for name, _, of in self.PARTS})
+        order = np.argsort(key[fresh])  # a key that is there already stays with its first word
+        self.keys, self.numbers = (np.insert(old, np.searchsorted(self.keys, key[fresh][order], "right"), new[order]) for old, new in ((self.keys, key[fresh]), (self.numbers, number[fresh])))
+        out = np.empty(len(starts), np.int64)
+        out[own] = number
+        return out[same]
+
+    def lattice(self) -> Lattice:
+        return Lattice(**{name: self.space[name][: self.used[of] + (name == "first")] for name, _, of in self.PARTS if name != "codes"})
 
 
 def choose(lat: Lattice, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -547,11 +573,13 @@ def row_keys(values: list, seed: int) -> np.ndarray:
 
 def sampled_batch(ids: list, texts: list[str], lexicon: Lexicon, k: int, seed: int, part: int = 1 << 17) -> Iterator[tuple[Sampler, np.ndarray, int]]:
     """Samplers over runs of texts of about `part` characters, with their thresholds and first text."""
-    split = [WORDS.findall(" " + t) if t else [] for t in texts]
-    counts = np.array([len(ws) for ws in split], np.int64)
-    word = np.fromiter(map(lexicon.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
-    del split
-    lattice = lexicon.grown()
+    sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    codes = _codes("".join([" " + t for t in texts if t]))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    starts = words_of(codes, first)
+    counts = np.diff(np.searchsorted(starts, first))
+    word = lexicon.numbered(codes, starts)
+    lattice = lexicon.lattice()
     keys = row_keys(ids, seed)
     i = at = 0
     while i < len(texts):
@@ -568,7 +596,7 @@ def sampled_batch(ids: list, texts: list[str], lexicon: Lexicon, k: int, seed: i
 RESULT = "id long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean"
 
 
-def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 4, alpha: float = 0.5, seed: int = 11, with_ids: bool = False, batch_chars: int = 1 << 19, lexicon_chars: int = 1 << 19) -> DataFrame:
+def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 4, alpha: float = 0.5, seed: int = 11, with_ids: bool = False, batch_chars: int = 1 << 19, lexicon_chars: int = 1 << 20) -> DataFrame:
     """Up to k rows a document: the id, sample (0: the largest perturbed value), n_pieces, log_prob, perturbed,
     log_inclusion, ids_crc32 (of the ids as 32-bit little-endian numbers), round_trip, and ids if asked for.
 

@@ -3,6 +3,8 @@
 import itertools
 import math
 import os
+import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,6 +12,8 @@ import pytest
 
 from quartzite.llm import sentencepiece_sampling as sp
 
+#: What a word is, as a pattern.
+WORDS = re.compile(r"\n| *[^ \n]+| +")
 MODEL = os.environ.get("QUARTZITE_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 
 
@@ -19,7 +23,7 @@ def all_paths(text, v, alpha):
     for i, t in enumerate(v.texts):
         if t and i not in set(v.byte_ids.tolist()):
             number.setdefault(t.decode(), i)
-    words = sp.WORDS.findall(" " + text)
+    words = WORDS.findall(" " + text)
 
     def of_word(w):
         if not w:
@@ -41,6 +45,23 @@ def all_paths(text, v, alpha):
     return {p: x - whole for p, x in paths.items()}
 
 
+def test_words_are_those_of_the_pattern_and_numbered_by_text():
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("  \n\nabc中😀") for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    lexicon = sp.Lexicon(sp.load(MODEL), 0.5, 64)
+    seen = {}
+    for k in range(0, 400, 50):
+        some = texts[k : k + 50]
+        codes, sizes = sp._codes("".join(some)), [len(t) for t in some]
+        starts = sp.words_of(codes, np.concatenate([[0], np.cumsum(sizes)]).astype(int))
+        want = [w for t in some for w in WORDS.findall(t)]
+        ends = np.append(starts[1:], len(codes))
+        assert ["".join(map(chr, codes[a:b])) for a, b in zip(starts, ends, strict=True)] == want
+        for w, number in zip(want, lexicon.numbered(codes, starts).tolist(), strict=True):
+            assert seen.setdefault(w, number) == number
+    assert sorted(seen.values()) == list(range(len(seen)))
+
+
 def test_samples_of_short_texts_by_enumeration():
     v = sp.load(MODEL)
     for text, k in (("the", 3), ("a to", 4), ("zz中", 3), ("it", 50)):
