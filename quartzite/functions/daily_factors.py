@@ -234,3 +234,35 @@ BROKER: dict[str, str] = {
 }
 #: Skewness does not change with the scale: amounts in units that keep sums exact.
 BROKER_BASE: list[dict[str, str]] = [{"amount_shock_": "amount / 1e4"}]
+
+# The engine family in two passes over symbols with one over dates between them ------------------------
+
+#: Cross-sections of the engine family: ranks by name, then what residuals are made of.
+ENGINE_RANKS = {
+    **{f"rank_ret_{w}": f"ret_{w}d" for w in (5, 20, 60)},
+    "rank_vol_20": "volatility_20d",
+    "rank_amount_20": "amount_mean_20d",
+    "rank_amount_5": "amount_mean_5d",
+    **{f"rank_{x}": x for x in ("amount_stab", "volume_stab", "range_stab", "low_vol", "low_vol_60", "quality", "reversal")},
+    "rank_accel": "amount_accel",
+    "rank_rvl": "rvl",
+}
+ENGINE_RESIDUALS = {
+    "amihud_orth": ("amihud_stab", ["amount_stab", "log_amount_mean"]),
+    "residual_momentum": ("ret_60d", ["ret_20d", "volatility_20d", "log_amount_mean"]),
+    "residual_liquidity": ("amount_stab", ["log_amount_mean", "volatility_20d"]),
+    "residual_reversal": ("reversal", ["ret_60d", "volatility_20d"]),
+}
+#: What the formulas say where the results of the pass over dates are columns.
+ENGINE_CROSSED = {"relative_liquidity_strength_20d": safe("amount_mean_20d", "amount_mean_all"), "relative_vol_adjusted_liquidity_20d": "rank_rvl", "momentum_rank_churn_20d": "rank_churn"}
+
+
+def _crosses(text: str) -> bool:
+    return "partition by td" in text
+
+
+def engine_stages() -> list[dict[str, str]]:
+    """The stages by symbol alone: those of BASE and ENGINE_BASE without cross-sections and what is made of them."""
+    later = {"rank_ret_20_lag", "rank_move", "herding"}
+    stages = [{n: t for n, t in stage.items() if not _crosses(t) and n not in later} for stage in [*BASE, *ENGINE_BASE[:4]]]
+    return [s for s in stages if s]

@@ -11,6 +11,7 @@ from .functions import daily_factors as daily
 from .functions import intraday
 from .functions import order_book as book
 from .functions import order_flow as flow
+from .functions.windows import mean, shift
 from .operators import cross_section as cs
 from .operators import evaluation as ev
 from .operators import joins
@@ -53,7 +54,26 @@ def _family(name: str, base: list[Stage], factors: dict[str, str], only: set[str
 
 
 _family("factors_eod", daily.BASE, daily.EOD)
-_family("factors_engine", daily.BASE + daily.ENGINE_BASE, daily.ENGINE)
+
+
+def factors_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine family: all windows by symbol, then all cross-sections at once, then the ranks' own windows by symbol."""
+    from .operators.cross_pass import Pass, crossed
+
+    keys, formulas = ["symbol", "td"], daily.ENGINE | daily.ENGINE_CROSSED
+    what = Pass(daily.ENGINE_RANKS, {"volume_z": "volume"}, {"amount_mean_all": "amount_mean_20d"}, daily.ENGINE_RESIDUALS)
+    wide = staged(panels.weekly(spark, sf_dir), daily.engine_stages())
+    crosses = [*what.outputs(), "rank_churn"]
+    late = {n: t for n, t in formulas.items() if any(c in t for c in crosses)}
+    held = sorted({c for c in wide.columns for t in late.values() if c in t} - set(keys))
+    early = wide.selectExpr(*keys, *held, *[f"{t} as f_{n}" for n, t in formulas.items() if n not in late])
+    cross = crossed(wide, what)
+    cross = staged(cross, [{"rank_before": shift("rank_ret_20")}, {"rank_move": "abs(rank_ret_20 - rank_before)"}, {"rank_churn": mean("rank_move", 20)}])
+    both = early.join(cross.drop("rank_before", "rank_move"), keys)
+    return both.selectExpr(*keys, *[f"{t} as f_{n}" if n in late else f"f_{n}" for n, t in formulas.items()])
+
+
+_add("factors_engine", factors_engine, duck(staged_sql(panels.weekly_sql("check"), [*daily.BASE, *daily.ENGINE_BASE, {f"f_{k}": v for k, v in daily.ENGINE.items()}])), ["symbol", "td"], [f"f_{k}" for k in daily.ENGINE])
 _family("factors_broker", daily.BASE + daily.ENGINE_BASE[:1] + daily.BROKER_BASE, daily.BROKER)
 
 
