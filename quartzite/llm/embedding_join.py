@@ -5,7 +5,9 @@ scale * q with q of int8, and their error |x - scale * q| is known for each. Blo
 multiplied tile by tile in the quantised form (sums of int8 products are exact in float32 up to
 1,000 dimensions); for vectors with errors e and f the product is off by at most e + f + e * f.
 Where that settles on which side of the threshold a pair lies, it is settled; only the pairs in
-between are computed again in double precision. A tile returns sums of links and a spanning
+between are computed again in double precision. Blocks travel in groups of about the root of their
+number, bounded by bytes, so a block is sent to as many tasks as there are groups near it, not blocks;
+a task works through the tiles of two groups and returns sums of links and a spanning
 forest of its links, never its pairs.
 
 Blocks keep to regions: every vector belongs to the nearest of a bounded number of pivots, and
@@ -127,27 +129,34 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _tile(least: float):
+def _tiles(least: float):
+    """Sums of links and heads of the tiles between two groups of blocks, or within one."""
+
     def run(group: pa.Table) -> pa.Table:
-        blocks = {r["block"]: _Block(r) for r in group.to_pylist()}
-        keys = sorted(blocks)
-        a, b = blocks[keys[0]], blocks[keys[-1]]
-        same = len(keys) == 1
-        ids = a.ids if same else np.concatenate([a.ids, b.ids])
-        copies = a.copies if same else np.concatenate([a.copies, b.copies])
-        links = np.zeros(len(ids), np.int64)
-        up = np.arange(len(ids))
-        for i, j in tile_links(a, b, same, least):
-            j = j if same else j + len(a.ids)
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            up = _labels(len(ids), np.concatenate([i, np.arange(len(ids))]), np.concatenate([j, up]))
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        held = [(r["party"] == low, _Block(r)) for r in sorted(group.to_pylist(), key=lambda r: (r["party"] != low, r["block"]))]
+        first = np.cumsum([0, *[len(b.ids) for _, b in held]])
+        ids, copies = np.concatenate([b.ids for _, b in held]), np.concatenate([b.copies for _, b in held])
+        links, up = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for m, (left, a) in enumerate(held):
+            for k in range(m, len(held)) if low == high else [k for k, (is_left, _) in enumerate(held) if left and not is_left]:
+                for i, j in tile_links(a, held[k][1], k == m, least):
+                    i, j = i + first[m], j + first[k]
+                    np.add.at(links, i, copies[j])
+                    np.add.at(links, j, copies[i])
+                    fresh = up[i] != up[j]
+                    if fresh.any():
+                        up = _labels(len(ids), np.concatenate([i[fresh], np.arange(len(ids))]), np.concatenate([j[fresh], up]))
         out = np.flatnonzero(links)
         return pa.table({"id": ids[out], "links": links[out], "head": ids[up[out]]})
 
     return run
 
 
+#: Bytes of the blocks of one group.
+PARTY_BYTES = 48 << 20
+
+
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, tile: int = 4096, vectors_per_pivot: int = 16384, most_pivots: int = 256) -> DataFrame:
     """One row per row: the id, n_links, component_id, kept."""
     spark = rows.sparkSession
@@ -170,11 +179,16 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         blocked = placed.join(F.broadcast(sizes), "region").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")))  # at most most_pivots rows
         blocked = blocked.withColumn("block", F.col("region").cast("long") * (1 << 32) + F.col("part"))
         blocks = written(blocked.select("block", "id", "copies", "v").groupBy("block").applyInArrow(_pack, BLOCK), "vector-blocks")
-        names = blocks.select("block").withColumn("region", F.floor(F.col("block") / (1 << 32)).cast("int"))
-        pairs = spark.createDataFrame(meet, "region int, region_2 int")
-        pairs = names.join(F.broadcast(pairs), "region").join(names.select(F.col("block").alias("other"), F.col("region").alias("region_2")), "region_2")
-        tiles = written(pairs.select("block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "vector-tiles", small=True)
-        found = blocks.join(tiles, "block").groupBy("low", "high").applyInArrow(_tile(least), "id long, links long, head long")
+        count = sum(-(-m // tile) for m, _ in region.values())
+        together = max(1, min(math.ceil(math.sqrt(count)), PARTY_BYTES // (tile * (6 * dim + 32))))
+        party = (F.col("region").cast("long") * (1 << 32) + F.floor(F.col("part") / together)).alias("party")
+        names = blocks.select("block", F.floor(F.col("block") / (1 << 32)).cast("int").alias("region"), (F.col("block") % (1 << 32)).alias("part")).select("block", "region", party)
+        parties = names.select("party", "region").distinct()
+        near = spark.createDataFrame(meet, "region int, region_2 int")
+        pairs = parties.join(F.broadcast(near), "region").join(parties.select(F.col("party").alias("other"), F.col("region").alias("region_2")), "region_2")
+        tiles = written(pairs.select("party", F.least("party", "other").alias("low"), F.greatest("party", "other").alias("high")), "vector-tiles", small=True)
+        sent = names.select("block", "party").join(tiles, "party")
+        found = blocks.join(sent, "block").groupBy("low", "high").applyInArrow(_tiles(least), "id long, links long, head long")
         found = written(found, "vector-links")
         links.append(found)
         heads.append(found.select(F.col("id").alias("a"), F.col("head").alias("b")))
