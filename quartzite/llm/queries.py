@@ -43,7 +43,7 @@ def piece_model(spark: SparkSession, name: str = "piece_bpe_32k.model") -> str:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_sampling.segmentations(table(spark, sf_dir, "documents"), piece_model(spark), with_ids=True)
+    return sentencepiece_sampling.segmentations(table(spark, sf_dir, "documents"), piece_model(spark), with_ids="packed")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

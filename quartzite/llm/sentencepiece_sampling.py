@@ -189,10 +189,11 @@ def build(codes: np.ndarray, lengths: np.ndarray, v: Vocabulary, alpha: float =
     """The lattice of words that follow each other in codes."""
     starts = np.cumsum(lengths) - lengths
     n = len(codes)
-    left = np.repeat(starts + lengths, lengths) - np.arange(n)  # characters to the end of the word
+    every = np.arange(n, dtype=np.int32)
+    left = np.repeat((starts + lengths).astype(np.int32), lengths) - every  # characters to the end of the word
     spread = _spread(codes)
     nodes, sizes, pieces = [], [], []
-    at, h = np.arange(n), np.zeros(n, np.uint64)
+    at, h = every, np.zeros(n, np.uint64)
     single = np.zeros(n, bool)
     for size in range(1, v.longest + 1):
         if not len(at):
@@ -201,20 +202,21 @@ def build(codes: np.ndarray, lengths: np.ndarray, v: Vocabulary, alpha: float =
         k = v.table.get(h)
         got = np.flatnonzero(k >= 0)
         nodes.append(at[got])
-        sizes.append(np.full(len(got), size))
-        pieces.append(k[got])
+        sizes.append(np.full(len(got), size, np.int32))
+        pieces.append(k[got].astype(np.int32))
         if size == 1:
             single[at[got]] = True
         more = np.flatnonzero((k != NOTHING) & (left[at] > size))
         at, h = at[more], h[more]
-    rest = np.flatnonzero(~single)
+    rest = np.flatnonzero(~single).astype(np.int32)
     node = np.concatenate([*nodes, rest])
-    size = np.concatenate([*sizes, np.ones(len(rest), np.int64)])
-    piece = np.concatenate([*pieces, -1 - codes[rest].astype(np.int64)])
-    counts = np.bincount(node, minlength=n)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    rank = np.empty(len(node), np.int64)  # shorter pieces first: more segmentations follow them
-    taken, at = np.zeros(n, np.int64), 0
+    size = np.concatenate([*sizes, np.ones(len(rest), np.int32)])
+    piece = np.concatenate([*pieces, -1 - codes[rest].astype(np.int32)])
+    counts = np.bincount(node, minlength=n).astype(np.int32)
+    first = np.zeros(n + 1, np.int32)
+    np.cumsum(counts, out=first[1:])
+    rank = np.empty(len(node), np.int32)  # shorter pieces first: more segmentations follow them
+    taken, at = np.zeros(n, np.int32), 0
     for group in [*nodes, rest]:
         rank[at : at + len(group)] = taken[group]
         taken[group] += 1
@@ -222,15 +224,15 @@ def build(codes: np.ndarray, lengths: np.ndarray, v: Vocabulary, alpha: float =
     place = first[node] + rank
     width = np.where(codes[rest] < 0x80, 1, np.where(codes[rest] < 0x800, 2, np.where(codes[rest] < 0x10000, 3, 4)))
     plain = len(node) - len(rest)
-    log_p, target = np.empty(len(node)), np.empty(len(node), np.int64)
+    log_p, target = np.empty(len(node)), np.empty(len(node), np.int32)
     log_p[place[:plain]] = alpha * v.log_p[piece[:plain]]
     log_p[place[plain:]] = alpha * v.byte_log_p * width
     goal = node + size
     goal[size == left[node]] = n  # whose sum is 0
     target[place] = goal
-    kept = np.empty(len(node), np.int64)
+    kept = np.empty(len(node), np.int32)
     kept[place] = piece
-    node, piece = np.repeat(np.arange(n), counts), kept
+    node, piece = np.repeat(every, counts), kept
     beta = np.zeros(n + 1)  # of the node before which it stands; the end of a word counts 0
     weight = np.empty(len(node))
     by_left = np.argsort(left, kind="stable")
@@ -239,7 +241,8 @@ def build(codes: np.ndarray, lengths: np.ndarray, v: Vocabulary, alpha: float =
         mine = by_left[a:b]
         counts = first[mine + 1] - first[mine]
         cut = np.cumsum(counts) - counts
-        e = np.repeat(first[mine] - cut, counts) + np.arange(int(counts.sum()))
+        e = np.repeat((first[mine] - cut).astype(np.int32), counts)
+        e += np.arange(len(e), dtype=np.int32)
         w = log_p[e] + beta[target[e]]
         top = np.maximum.reduceat(w, cut)
         total = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, counts)), cut))
@@ -347,7 +350,10 @@ def _walk(lat: Lattice, occ: np.ndarray, node: np.ndarray, key: np.ndarray) -> t
     occs, levels, edges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     level = 0
     while len(occ):
-        edge = choose(lat, node, uniform(key + np.uint64(4 * level)))
+        edge = lat.first[node]
+        several = np.flatnonzero(lat.first[node + 1] - edge > 1)  # the others need no draw
+        if len(several):
+            edge[several] = choose(lat, node[several], uniform(key[several] + np.uint64(4 * level)))
         occs.append(occ)
         levels.append(np.full(len(occ), level))
         edges.append(edge)
@@ -562,9 +568,7 @@ class Sampler:
 def decode(ids: np.ndarray, v: Vocabulary) -> bytes:
     """The text of piece ids with its dummy space."""
     first = v.spelled[ids]
-    size = v.spelled[ids + 1] - first
-    end = np.cumsum(size)
-    return v.spelling[np.repeat(first - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)].tobytes()
+    return v.spelling[spread(first, v.spelled[ids + 1] - first)].tobytes()
 
 
 def row_keys(values: list, seed: int) -> np.ndarray:
@@ -596,13 +600,14 @@ def sampled_batch(ids: list, texts: list[str], lexicon: Lexicon, k: int, seed: i
 RESULT = "id long, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean"
 
 
-def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 4, alpha: float = 0.5, seed: int = 11, with_ids: bool = False, batch_chars: int = 1 << 19, lexicon_chars: int = 1 << 20) -> DataFrame:
+def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", k: int = 4, alpha: float = 0.5, seed: int = 11, with_ids: bool | str = False, batch_chars: int = 1 << 19, lexicon_chars: int = 1 << 20) -> DataFrame:
     """Up to k rows a document: the id, sample (0: the largest perturbed value), n_pieces, log_prob, perturbed,
-    log_inclusion, ids_crc32 (of the ids as 32-bit little-endian numbers), round_trip, and ids if asked for.
+    log_inclusion, ids_crc32 (of the ids as 32-bit little-endian numbers), round_trip, and ids if asked for: as an array, or
+    with "packed" as those numbers in one binary value, which is far cheaper to write and read.
 
     model_file is a path that every executor can open, or the name of a file given to SparkContext.addFile.
     """
-    names = [x.split()[0] for x in RESULT.split(", ")] + ["ids"] * with_ids
+    names = [x.split()[0] for x in RESULT.split(", ")] + ["ids"] * bool(with_ids)
 
     def rows(ids: list, texts: list[str], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
         for s, threshold, base in sampled_batch(ids, texts, lexicon, k, seed):
@@ -629,7 +634,12 @@ def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                     pa.array([zlib.crc32(narrow[begin[d] : begin[d + 1]].tobytes()) for d in have.tolist()], pa.int64()),
                     pa.array(same[have]),
                 ]
-                if with_ids:
+                if with_ids == "packed":
+                    bounds = pa.py_buffer((begin * 4).astype(np.int32))
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, bounds, pa.py_buffer(narrow)]))
+                    if len(have) < len(begin) - 1:
+                        columns[-1] = columns[-1].take(pa.array(have))
+                elif with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(narrow, pa.int32())).take(pa.array(have)))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -653,4 +663,4 @@ def segmentations(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
         release()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, RESULT + ", ids array<int>" * with_ids).withColumnRenamed("id", id_col)
+    return picked.mapInArrow(run, RESULT + ("" if not with_ids else ", ids binary" if with_ids == "packed" else ", ids array<int>")).withColumnRenamed("id", id_col)

@@ -133,7 +133,7 @@ def test_pipeline_stages_one_by_one(spark):
 
     encoded = stages[4](spark, mixed, comparing.DATA).collect()
     assert {r.doc_id for r in encoded} == set(times)
-    assert all(r.round_trip and len(r.ids) == r.n_pieces and r["sample"] in (0, 1) for r in encoded)
+    assert all(r.round_trip and len(r.ids) == 4 * r.n_pieces and r["sample"] in (0, 1) for r in encoded)
 
 
 def test_warc_lost_first_segment_and_references(spark, tmp_path):
