@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each document, with their ids."""
-    return sentencepiece_sampling.segmentations(docs, piece_model(spark), k=2, with_ids=True, batch_chars=1 << 18, lexicon_chars=1 << 19)
+    return sentencepiece_sampling.segmentations(docs, piece_model(spark), k=2, with_ids="packed", batch_chars=1 << 18, lexicon_chars=1 << 19)
 
 
 STAGES = [("quality", keep_quality), ("exact copies", drop_copies), ("near copies", drop_near_copies), ("mixing", mix_sources), ("encoding", encode)]
