@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -53,9 +55,40 @@ def check_no_future(edges: DataFrame, at: str, known: str) -> DataFrame:
     return edges.where(F.when(F.col(known) <= F.col(at), F.lit(True)).otherwise(F.raise_error(F.lit("an edge lies in the future")).cast("boolean")))
 
 
-def return_correlations(panel: DataFrame, value: str, least: int) -> DataFrame:
-    """src, dst, w, n: Pearson correlation of two symbols over the dates that both have; symbols of one panel, so pairs are bounded by their number squared."""
-    p = panel.where(F.col(value).isNotNull()).select("symbol", "td", F.col(value).alias("v"))
-    met = p.select(F.col("symbol").alias("src"), "td", F.col("v").alias("x")).join(p.select(F.col("symbol").alias("dst"), "td", F.col("v").alias("y")), "td").where("src < dst")
-    sx, sy = F.stddev_pop("x"), F.stddev_pop("y")
-    return met.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), (F.covar_pop("x", "y") / F.nullif(sx * sy, F.lit(0.0))).alias("w")).where(F.col("n") >= least)
+def return_correlations(panel: DataFrame, value: str, least: int, block: int = 256) -> DataFrame:
+    """src, dst, w, n: Pearson correlation of two symbols (src < dst) over the dates that both have, `least` of them at least.
+
+    Symbols are put in blocks of rows over the panel's dates; each pair of blocks is one group, whose sums over
+    common dates are five matrix products (of values, squares and marks of presence). A block is sent to as many groups as there are blocks.
+    """
+    p = panel.where(F.col(value).isNotNull()).select(F.col("symbol").cast("long").alias("symbol"), F.col("td").cast("long").alias("td"), F.col(value).cast("double").alias("v"))
+    rows = p.groupBy("symbol").agg(F.collect_list("td").alias("days"), F.collect_list("v").alias("values"))  # a row a symbol, as long as the panel
+    blocks = max(1, -(-p.select("symbol").distinct().count() // block))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("symbol"), F.lit(blocks)))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    sent = own.select("symbol", "days", "values", "own", others).select("symbol", "days", "values", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, own_of = group["symbol"].to_numpy(), group["own"].to_numpy()
+        order = np.argsort(ids)
+        days = [group["days"][int(k)].values.to_numpy() for k in order]
+        first, last = min(d.min() for d in days), max(d.max() for d in days)
+        x, there = np.zeros((len(ids), last - first + 1)), np.zeros((len(ids), last - first + 1))
+        for row, (k, d) in enumerate(zip(order, days, strict=True)):
+            v = group["values"][int(k)].values.to_numpy()
+            x[row, d - first], there[row, d - first] = v - v.mean(), 1.0
+        ids, own_of = ids[order], own_of[order]
+        n, sx, sxx, sxy = there @ there.T, x @ there.T, (x * x) @ there.T, x @ x.T
+        safe = np.maximum(n, 1.0)
+        mean = sx / safe
+        cov, var = sxy / safe - mean * mean.T, sxx / safe - mean * mean
+        size = np.sqrt(np.maximum(var, 0.0) * np.maximum(var.T, 0.0))
+        pair = (n >= least) & (ids[:, None] < ids[None, :])
+        if group["a"][0].as_py() != group["b"][0].as_py():
+            pair &= own_of[:, None] != own_of[None, :]
+        i, j = np.nonzero(pair)
+        w, scale = cov[i, j], size[i, j]
+        flat = scale <= 1e-12 * np.sqrt(sxx[i, i] * sxx[j, j]) / safe[i, j]  # a symbol that doesn't vary over the common dates
+        return pa.table({"src": ids[i], "dst": ids[j], "n": n[i, j].astype(np.int64), "w": pa.array(np.divide(w, scale, out=np.zeros_like(w), where=~flat), mask=flat)})
+
+    return sent.groupBy("a", "b").applyInArrow(run, "src long, dst long, n long, w double")

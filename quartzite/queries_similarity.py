@@ -31,3 +31,16 @@ def text_codes(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("text_factors", text_codes, None, ["id"], [f"c{k}" for k in range(8)])
+
+
+def boosted_gains(s: SparkSession, d: str) -> DataFrame:
+    """Features of the industry panel by their share of the gains of boosted trees on the next return."""
+    from .operators import boosting
+    from .queries_panel import industry_panel
+
+    panel = industry_panel(s, d)
+    model = boosting.fit(panel, ["signal", "log_amount", "size", "volume", "close"], "fwd", trees=5, depth=3)
+    return s.createDataFrame(boosting.selected(model, 5), "feature string, share double")
+
+
+_add("boosted_gains", boosted_gains, None, ["feature"], ["share"])
