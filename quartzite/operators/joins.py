@@ -5,18 +5,21 @@ None needs a cross join: as-of joins are one sort by (key, time), interval joins
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], strict: bool = False, most: Column | None = None, tie: list[str] | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], strict: bool = False, most: Column | None = None, tie: list[str] | None = None, part: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with the values of the last right row of its key at or (strict) before its time.
 
     Both sides are put in one order of time, right rows before left ones at equal times (after them
     if strict), and the last right row is carried forward. Among right rows of one time the last by
     the columns of `tie` counts, in their own order, nulls first. Right rows older than `most` (an interval as a Column) give nulls. Null times match
-    nothing.
+    nothing. With `part`, which gives a time's stretch (its day, say; later times must not be in earlier stretches), a key is
+    ordered stretch by stretch, and the last right row of the stretches before is carried into each: a hot key is many tasks.
     """
     names = [f"_right_{v}" for v in values]
     l = left.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(left_time).alias("_at"), F.lit(0 if strict else 1).alias("_side"))  # noqa: E741
@@ -24,9 +27,16 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     tie_key = F.struct(*[F.col(t) for t in tie or []], F.lit(0).alias("_none"))
     r = right.where(F.col(right_time).isNotNull()).select(F.col(key).alias("_key"), F.col(right_time).alias("_at"), F.lit(1 if strict else 0).alias("_side"), tie_key.alias("_tie"), picked.alias("_hit"))
     both = l.unionByName(r, allowMissingColumns=True)
-    order = W.Window.partitionBy("_key").orderBy(F.col("_at").asc_nulls_first(), "_side", "_tie").rowsBetween(W.Window.unboundedPreceding, 0)
-    hit = F.last("_hit", ignorenulls=True).over(order)
-    out = both.withColumn("_last", hit).where(F.col("_row").isNotNull())
+    by = ["_key"]
+    if part is not None:
+        both, by = both.withColumn("_part", part(F.col("_at"))), ["_key", "_part"]
+    order = W.Window.partitionBy(*by).orderBy(F.col("_at").asc_nulls_first(), "_side", "_tie").rowsBetween(W.Window.unboundedPreceding, 0)
+    out = both.withColumn("_last", F.last("_hit", ignorenulls=True).over(order)).where(F.col("_row").isNotNull())
+    if part is not None:
+        ends = both.groupBy(*by).agg(F.max_by("_hit", F.when(F.col("_hit").isNotNull(), F.struct("_at", "_tie"))).alias("_end"))
+        before = W.Window.partitionBy("_key").orderBy(F.col("_part").asc_nulls_first()).rowsBetween(W.Window.unboundedPreceding, -1)
+        carried = ends.select(F.col("_key").alias("_k"), F.col("_part").alias("_p"), F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+        out = out.join(carried, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_part").eqNullSafe(F.col("_p")), "left").withColumn("_last", F.coalesce("_last", "_carry"))
     fresh = F.col("_last").isNotNull() & F.col("_at").isNotNull()
     if most is not None:
         fresh = fresh & (F.col("_last._time") >= F.col("_at") - most)

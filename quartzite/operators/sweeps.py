@@ -21,7 +21,7 @@ def against_book(trades: DataFrame, books: DataFrame, stale_ms: int = 5000) -> D
     ladder = F.struct(F.col("at").alias("book_at"), *[filled(c).alias(c) for c in ("ask_price", "ask_volume", "bid_price", "bid_volume")])
     ask, bid = F.get("ask_price", F.lit(0)), F.get("bid_price", F.lit(0))
     valid = books.where((ask > 0) & (bid > 0) & (ask >= bid)).select("symbol", "at", ladder.alias("book"))
-    d = asof(trades, valid, "symbol", "at", "at", ["book"], strict=True, tie=["book"])
+    d = asof(trades, valid, "symbol", "at", "at", ["book"], strict=True, tie=["book"], part=F.to_date)
     buys = F.col("side") == 1
     prices = F.when(buys, F.col("book.ask_price")).otherwise(F.col("book.bid_price"))
     depth = F.aggregate(F.when(buys, F.col("book.ask_volume")).otherwise(F.col("book.bid_volume")), F.lit(0.0), lambda a, x: a + x)

@@ -257,11 +257,11 @@ _add("pca_scores", lambda s, d: ev.pca_scores(signal_panel(s, d).withColumn("log
 # Joins ----------------------------------------------------------------------------------------
 
 
-def asof_join(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+def asof_join(spark: SparkSession, sf_dir: str, strict: bool = False, parted: bool = False) -> DataFrame:
     """Orders with the last earlier event of the same customer hash: value and time."""
     o = panels.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("who"), F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(o_orderkey % 30, o_orderkey % 24, o_orderkey % 60)").alias("at"))
     e = panels.table(spark, sf_dir, "events").select((F.col("user_id") % 150).alias("who"), F.date_trunc("minute", "ts").alias("ts"), "event_id", "value")
-    return joins.asof(o, e, "who", "at", "ts", ["event_id", "value"], strict=strict, most=F.expr("interval 2 days"), tie=["event_id"])
+    return joins.asof(o, e, "who", "at", "ts", ["event_id", "value"], strict=strict, most=F.expr("interval 2 days"), tie=["event_id"], part=F.to_date if parted else None)
 
 
 def _asof_sql(op: str) -> str:
@@ -272,6 +272,7 @@ def _asof_sql(op: str) -> str:
 
 
 _add("asof_join", asof_join, _asof_sql("<="), ["o_orderkey", "who", "event_id"], ["value"])
+_add("asof_join_by_day", lambda s, d: asof_join(s, d, True, True), _asof_sql("<"), ["o_orderkey", "who", "event_id"], ["value"])
 _add("asof_join_strict", lambda s, d: asof_join(s, d, True), _asof_sql("<"), ["o_orderkey", "who", "event_id"], ["value"])
 
 

@@ -123,6 +123,9 @@ def test_asof_ties_nulls_and_empty(spark):
     right = spark.createDataFrame([(1, at(3), -5, "a"), (1, at(3), -40, "b"), (1, at(3), None, "c"), (1, at(5), 7, "d"), (1, None, 9, "e")], "k long, u timestamp, n int, v string")
     got = sorted((str(r.k), str(r.t), str(r.v)) for r in joins.asof(left, right, "k", "t", "u", ["v"], strict=True, tie=["n"]).collect())
     assert got == sorted([("1", str(at(5)), "a"), ("1", str(at(1)), "None"), ("2", str(at(5)), "None"), ("None", str(at(5)), "None"), ("1", "None", "None")])
+    for stretch in (F.minute, lambda t: F.floor(F.minute(t) / 4)):
+        parted = joins.asof(left, right, "k", "t", "u", ["v"], strict=True, tie=["n"], part=stretch)
+        assert sorted((str(r.k), str(r.t), str(r.v)) for r in parted.collect()) == got
     assert joins.asof(left.limit(0), right, "k", "t", "u", ["v"]).count() == 0
     assert joins.asof(left, right.limit(0), "k", "t", "u", ["v"]).where("v is null").count() == 5
 
