@@ -3,8 +3,8 @@
 Base spans are strong by themselves: assigned values, access identifiers, long hex runs. Weak
 candidates (other identifiers, bare keys, endpoints) mean nothing alone; they are reported only
 where complementary parts stand together. Parts are intervals of code points, scopes are
-paragraphs (text between blank lines), and within a scope the parts are joined if they are at most
-`reach` code points apart: a weak identifier needs a secret, a bare key needs an identifier, an
+paragraphs (text between blank lines), and the parts of a scope are joined, or with `reach` those
+that are at most so many code points apart: a weak identifier needs a secret, a bare key needs an identifier, an
 endpoint needs both. The join sorts each kind once and looks up neighbours by bisection, so a
 text with many parts costs n log n.
 
@@ -76,8 +76,8 @@ class _Near:
         return k > 0 and self.ends[k - 1] >= low
 
 
-def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
-    """The weak parts that complementary parts in the same scope bear out."""
+def linked_spans(text: str, base: list[Span], reach: int | None) -> list[Span]:
+    """The weak parts that complementary parts in the same scope, or within reach in it, bear out."""
     low = text.lower()
     if not any(m in low for m in ID_MARKS):
         return []
@@ -98,7 +98,7 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
         k = bisect_right(cuts, s[0])
         # parts of the scope before end at its cut at most, those of the next begin after it
         low, high = (cuts[k - 1] + 1 if k else 0), (cuts[k] if k < len(cuts) else len(text))
-        return max(low, s[0] - reach), min(high, s[1] + reach)
+        return (low, high) if reach is None else (max(low, s[0] - reach), min(high, s[1] + reach))
 
     out = [s for s in weak_ids if near_secret.has(*window(s))]
     out += [s for s in keys if near_id.has(*window(s))]
@@ -118,7 +118,7 @@ class _Overlaps:
         return k > 0 and self.reach[k - 1] > start
 
 
-def scan(text: str | None, reach: int = 256) -> tuple[list[Span], list[Span]]:
+def scan(text: str | None, reach: int | None = None) -> tuple[list[Span], list[Span]]:
     """The base spans, and all spans, of a text."""
     base = base_spans(text or "")
     return base, in_order(base + linked_spans(text or "", base, reach))
@@ -131,7 +131,7 @@ def joined(spans: list[Span]) -> str:
 SPANS = "array<struct<start:int,end:int,kind:string,base:boolean>>"
 
 
-def found_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 256) -> DataFrame:
+def found_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """One row per document: the id, n_assign, n_access, n_hex, base_sha256, spans (joined), found (the spans as structs)."""
     struct = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("base", pa.bool_())])
 

@@ -17,6 +17,13 @@ def test_parts_longer_than_reach_are_linked():
     assert kinds(f"{key} {'w ' * 200}client_id = abcd1234") == []
 
 
+def test_without_reach_the_scope_is_the_limit():
+    key, far = "aB3" * 10, "w " * 5000
+    assert kinds(f"{key} {far}client_id = abcd1234 {far}https://x.org/a", None) == ["bare_key", "weak_id", "endpoint"]
+    assert kinds(f"{key} {far}\n \n client_id = abcd1234", None) == []
+    assert kinds(f"{far}https://x.org/a {far} client_id = abcd1234", None) == []
+
+
 def test_links_are_the_pairs_with_a_small_gap():
     rng = random.Random(5)
     for _ in range(300):
