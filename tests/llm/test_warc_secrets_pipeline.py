@@ -75,8 +75,10 @@ def test_weak_parts_only_together(spark):
     key = "aB3" * 10
     texts = [None, "", f"client_id = abcd1234 {key} https://x.org/a", f"{key} https://x.org/a", "client_id = abcd1234 https://x.org", f"client_id = abcd1234\n\n{key}", f"client_id = abcd1234 {'w ' * 400}{key}", f"client_id = abcd1234\n{key}"]
     d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, found int")
-    got = {r.doc_id: [s.kind for s in r.found] for r in secrets.found_secrets(d).collect()}
-    assert got == {0: [], 1: [], 2: ["weak_id", "bare_key", "endpoint"], 3: [], 4: [], 5: [], 6: [], 7: ["weak_id", "bare_key"]}
+    want = {0: [], 1: [], 2: ["weak_id", "bare_key", "endpoint"], 3: [], 4: [], 5: [], 6: [], 7: ["weak_id", "bare_key"]}
+    for reach, far in ((256, []), (None, ["weak_id", "bare_key"])):
+        got = {r.doc_id: [s.kind for s in r.found] for r in secrets.found_secrets(d, reach=reach).collect()}
+        assert got == want | {6: far}
     assert secrets.found_secrets(d.limit(0)).count() == 0
 
 
