@@ -518,8 +518,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """docs without the rows of a component but one; rows are told apart by id and text."""
-    gone = decided(docs, id_col, text_col, **how).where("not kept").select("id", "text").distinct()
+    """docs without the rows of a component but one; rows that share an id are told apart by 64 bits of their text's digest."""
+    gone = decided(docs, id_col, text_col, **how).where("not kept").select("id", F.xxhash64("text").alias("text")).distinct()
     gone = written(gone, "near-copies", small=True)
-    text = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
+    text = F.xxhash64(F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)))
     return docs.join(gone, (docs[id_col].cast("long") == gone["id"]) & (text == gone["text"]), "left_anti")
