@@ -2,8 +2,8 @@
 
 Features are cut at quantiles into at most `bins` bins. A level of a tree is one pass: each task evaluates the trees so far on its
 rows, takes the residuals, and adds them up by node, feature and bin; the tasks' histograms are added up in Spark; the best
-split of each node is read off the sums. Rows are never written, moved or marked, so a lost task repeats its part of a
-pass, and what passes through the driver is nodes x features x bins numbers.
+split of each node is read off the sums. Target and features are written once, before the first pass: a pass reads that table
+and doesn't repeat what made it. Rows are never moved or marked, so a lost task repeats its part of a pass, and what passes through the driver is nodes x features x bins numbers.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import stored
+
 
 @dataclass
 class Tree:
@@ -74,7 +76,7 @@ def _matrix(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def fit(df: DataFrame, features: list[str], target: str, trees: int = 20, depth: int = 3, rate: float = 0.1, bins: int = 32, least: int = 20, ridge: float = 1.0) -> Boosted:
     """Trees fitted one after the other to what those before leave of the target; rows with a null or nan anywhere are left out."""
     y = F.col(target).cast("double").alias("_y")
-    rows = df.select(y, *[F.col(f).cast("double").alias(f) for f in features]).dropna()
+    rows = stored(df.select(y, *[F.col(f).cast("double").alias(f) for f in features]).dropna())
     ends = rows.agg(F.avg("_y"), *[F.percentile_approx(f, F.array(*[F.lit(k / bins) for k in range(1, bins)]), F.lit(100 * bins)) for f in features]).first()
     if ends[0] is None:
         return Boosted(features, 0.0, rate, depth)

@@ -85,3 +85,18 @@ def test_correlations_over_common_dates(spark):
     assert set(got) == set(want)
     for k, (n, w) in want.items():
         assert got[k][0] == n and got[k][1] == (None if w is None else pytest.approx(w, abs=1e-12))
+
+
+def test_passes_do_not_repeat_what_made_the_rows(spark):
+    """Every level of every tree is a pass over the rows; what the rows are made of is worked out once."""
+    x, y = rows_of(200)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, y double").mapInArrow(count, "a double, b double, c double, y double")
+    boosting.fit(d, ["a", "b", "c"], "y", trees=3, depth=2, bins=8, least=15)
+    assert made.value == 200
