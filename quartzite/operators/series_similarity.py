@@ -4,6 +4,7 @@ Series of one length are put in blocks; each pair of blocks is a group, whose di
 programme over the band, for all pairs of the group at once. A lower bound (the distance to the other series' envelope) comes
 first: pairs are taken in its order, and a series is done once the next bound is not below the k-th distance it has.
 Distances are roots of sums of squares. Every pair of series is in one group, none is emitted twice.
+Equal series are compared once, as a class by its smallest symbol; its neighbours are given to each of its symbols.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..plans.lineage import stored
+
 
 def standardised(x: np.ndarray) -> np.ndarray:
     """Rows less their mean over their deviation; constant rows become 0."""
@@ -80,12 +83,28 @@ def nearest(series: DataFrame, k: int, band: int, block: int = 128) -> DataFrame
     """src, dst, distance: the k nearest of each symbol's series by warped distance, ties by dst.
 
     series: symbol, values (an array without nulls; of symbols whose length is not the commonest there is none here). Values are standardised.
+    Of a class of equal series the k + 1 smallest symbols are all that others, or the class itself, can ask for.
     """
     spark = series.sparkSession
+    series = stored(series.select(F.col("symbol").cast("long").alias("symbol"), F.col("values").cast("array<double>").alias("values")))
     common = series.groupBy(F.size("values").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     if common is None:
         return spark.createDataFrame([], "src long, dst long, distance double")
-    rows = series.where(F.size("values") == common["n"]).select(F.col("symbol").cast("long").alias("symbol"), F.col("values").cast("array<double>").alias("values"))
+    rows = series.where(F.size("values") == common["n"])
+    classes = stored(rows.groupBy("values").agg(F.min("symbol").alias("symbol")))
+    members = stored(rows.join(classes.withColumnRenamed("symbol", "of"), "values").select("of", "symbol"))
+    place = F.row_number().over(W.Window.partitionBy("of").orderBy("symbol"))
+    first = members.withColumn("_n", place).where(F.col("_n") <= k + 1).groupBy("of").agg(F.array_sort(F.collect_list("symbol")).alias("first"))  # k + 1 a class
+    near = nearest_classes(classes, k, band, block).select(F.col("src").alias("of"), F.col("dst").alias("near"), "distance")
+    own = first.select("of", F.col("of").alias("near"), F.lit(0.0).alias("distance"))
+    held = near.unionByName(own).join(first.withColumnRenamed("of", "near"), "near").select("of", "distance", F.explode("first").alias("dst"))
+    found = held.groupBy("of").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "dst"))), 1, k + 1).alias("found"))  # (k + 1) squared a class at most
+    others = F.slice(F.filter("found", lambda p: p["dst"] != F.col("symbol")), 1, k)
+    return members.join(found, "of").select(F.col("symbol").alias("src"), F.explode(others).alias("p")).select("src", "p.dst", "p.distance")
+
+
+def nearest_classes(rows: DataFrame, k: int, band: int, block: int) -> DataFrame:
+    """src, dst, distance: the k nearest of each of the series, by all pairs of blocks."""
     blocks = max(1, -(-rows.count() // block))
     own = rows.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)))
     # each block goes to its pairs with all blocks, once as the side whose neighbours are asked for and once as the other

@@ -11,9 +11,12 @@ from .sources import panels
 
 
 def monthly_series(s: SparkSession, d: str) -> DataFrame:
-    """Suppliers' shipped amounts by month of 28 days, 0 where there is none, over all months of the table."""
+    """Suppliers' shipped amounts by month of 28 days, 0 where there is none, over all months of the table.
+
+    Amounts are cents: their sums, rounded to cents, don't depend on the order in which tasks add.
+    """
     l = panels.table(s, d, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.floor(F.datediff("l_shipdate", F.lit("1992-01-01")) / 28).cast("int").alias("m"), "l_extendedprice")  # noqa: E741
-    sums = l.groupBy("symbol", "m").agg(F.sum("l_extendedprice").alias("v"))
+    sums = l.groupBy("symbol", "m").agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
     low, high = l.agg(F.min("m"), F.max("m")).first()
     held = sums.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("m", "v"))).alias("by"))
     return held.select("symbol", F.transform(F.sequence(F.lit(low), F.lit(high)), lambda m: F.coalesce(F.element_at("by", m), F.lit(0.0))).alias("values"))

@@ -47,6 +47,32 @@ def test_nearest_by_all_pairs(spark):
         assert [d for d, _ in sorted(got[a])] == pytest.approx([d for d, _ in want], rel=1e-12)
     assert series_similarity.nearest(spark.createDataFrame([], "symbol int, values array<double>"), 4, 3).count() == 0
 
+def test_equal_series_are_compared_once(spark):
+    """Classes of equal series: neighbours are those of all pairs, ties by id, while each different series is compared once."""
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(7, 20)).round(2)
+    rows = [(i, base[i % 7].tolist()) for i in range(60)] + [(200, (base[0] * 2).tolist()), (201, rnd.normal(size=20).tolist())]
+    seen = []
+    whole = series_similarity.nearest_classes
+
+    def classes(d, *args):
+        seen.append(d.count())
+        return whole(d, *args)
+
+    series_similarity.nearest_classes = classes
+    try:
+        d = spark.createDataFrame(rows, "symbol int, values array<double>")
+        got: dict = {}
+        for r in series_similarity.nearest(d, 4, 3, 16).collect():
+            got.setdefault(r.src, []).append((r.distance, r.dst))
+    finally:
+        series_similarity.nearest_classes = whole
+    z = dict(zip([i for i, _ in rows], series_similarity.standardised(np.array([v for _, v in rows])), strict=True))
+    for a in z:
+        want = sorted((round(plain_warp(z[a], z[b], 3), 9), b) for b in z if b != a)[:4]
+        assert [(round(x, 9), b) for x, b in sorted((round(x, 9), b) for x, b in got[a])] == want
+    assert seen == [9]
+
 
 def rows_of_zero():
     return [0.0] * 24
