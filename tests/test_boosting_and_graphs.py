@@ -100,3 +100,35 @@ def test_passes_do_not_repeat_what_made_the_rows(spark):
     d = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, y double").mapInArrow(count, "a double, b double, c double, y double")
     boosting.fit(d, ["a", "b", "c"], "y", trees=3, depth=2, bins=8, least=15)
     assert made.value == 200
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_equal_series_are_one_class(spark, block):
+    """Copies of a symbol: its correlations are worked out once, and no pair of symbols is lost; the heaviest edges are those of all pairs."""
+    rnd = np.random.default_rng(6)
+    base = {s: {t: float(rnd.normal()) if s != 3 else 2.0 for t in range(30) if rnd.random() < 0.8} for s in range(8)}
+    rows = [(s + 10 * copy, t, v) for copy in range(6) for s, days in base.items() for t, v in days.items()]
+    d = spark.createDataFrame(rows, "symbol int, td int, v double")
+    by: dict = {}
+    for s, t, v in rows:
+        by.setdefault(s, {})[t] = v
+    want = {}
+    for a in by:
+        for b in by:
+            both = sorted(set(by[a]) & set(by[b]))
+            if a < b and len(both) >= 12:
+                x, y = np.array([by[a][t] for t in both]), np.array([by[b][t] for t in both])
+                want[a, b] = (len(both), None if x.std() == 0 or y.std() == 0 else np.corrcoef(x, y)[0, 1])
+    found = graphs.return_correlations(d, "v", 12, block).collect()
+    got = {(r.src, r.dst): (r.n, r.w) for r in found}
+    assert len(found) == len(got) and set(got) == set(want)
+    for k, (n, w) in want.items():
+        assert got[k][0] == n and got[k][1] == (None if w is None else pytest.approx(w, abs=1e-12))
+    assert graphs._class_pairs(d, "v", 12, block, None).count() <= 8 * 9 // 2
+    tops: dict = {}
+    for a, b in sorted(want):
+        tops.setdefault(a, []).append((-round(want[a, b][1], 9) if want[a, b][1] is not None else 9, b))
+    heavy: dict = {}
+    for r in graphs.heaviest_correlations(d, "v", 12, 3, block).collect():
+        heavy.setdefault(r.src, set()).add(r.dst)
+    assert heavy == {a: {b for _, b in sorted(p)[:3]} for a, p in tops.items()}
