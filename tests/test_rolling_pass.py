@@ -63,3 +63,9 @@ def test_other_windows_are_refused(spark):
     d = spark.createDataFrame([(1, 1, 2.0)], "symbol int, td int, x double")
     with pytest.raises(ValueError, match="bounded frame"):
         staged_by_symbol(d, [{"y": "avg(x) over (partition by td)"}], ["y"])
+
+
+def test_neutral_chain_moves_its_columns_once(spark):
+    """One group a date does all steps: no window sorts a date, and the panel's other columns stay behind."""
+    plan = queries.QUERIES["neutral_chain"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsIn") == 1 and "rank(" not in plan
