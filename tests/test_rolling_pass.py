@@ -69,3 +69,16 @@ def test_neutral_chain_moves_its_columns_once(spark):
     """One group a date does all steps: no window sorts a date, and the panel's other columns stay behind."""
     plan = queries.QUERIES["neutral_chain"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsIn") == 1 and "rank(" not in plan
+
+
+def test_drivers_make_their_panel_once(spark, monkeypatch):
+    """All passes of the drivers, and both smoothings, read a table of the few columns that they need."""
+    from quartzite import queries_active, queries_more
+
+    made = []
+    for module in (queries_active, queries_more):
+        whole = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, whole=whole: made.append(df.columns) or whole(df))
+    queries_active.drivers(spark, DATA)
+    queries.QUERIES["ewm_mean"](spark, DATA)
+    assert [c[:3] for c in made] == [["symbol", "td", "fwd"], ["symbol", "td", "x"], ["symbol", "td", "x"]]
