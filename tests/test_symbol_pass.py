@@ -20,6 +20,11 @@ def test_engine_is_two_passes_over_one_panel(spark):
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 3 and "SortMergeJoin" not in plan
 
 
+def test_eod_is_one_pass_over_one_panel(spark):
+    plan = plan_of(spark, "factors_eod")
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and plan.count("FileScan") == 1
+
+
 def some_rows():
     rnd = np.random.default_rng(3)
     return [(s, t, float(np.round(rnd.normal(), 2)) if rnd.random() < 0.9 else None, float(rnd.normal())) for s in range(25) for t in range(5, 60) if rnd.random() < 0.7]
