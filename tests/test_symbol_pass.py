@@ -25,6 +25,13 @@ def test_eod_is_one_pass_over_one_panel(spark):
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and plan.count("FileScan") == 1
 
 
+def test_broker_reads_the_lines_of_one_exchange(spark):
+    query = queries.QUERIES["factors_broker"](spark, DATA)
+    query.collect()
+    plan = query._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 2 and "ReusedExchange" in plan and plan.count("FileScan") == 1
+
+
 def some_rows():
     rnd = np.random.default_rng(3)
     return [(s, t, float(np.round(rnd.normal(), 2)) if rnd.random() < 0.9 else None, float(rnd.normal())) for s in range(25) for t in range(5, 60) if rnd.random() < 0.7]
