@@ -1,9 +1,10 @@
 """Similarity of series by banded dynamic time warping, for the nearest neighbours of each.
 
 Series of one length are put in blocks; each pair of blocks is a group, whose distances are an anti-diagonal dynamic
-programme over the band, for all pairs of the group at once. A lower bound (the distance to the other series' envelope) comes
-first: pairs are taken in its order, and a series is done once the next bound is not below the k-th distance it has.
-Distances are roots of sums of squares. Every pair of series is in one group, none is emitted twice.
+programme over the band, for a tile of pairs at a time, small enough for a core's cache. It runs in single precision first; a bound on
+its rounding says which pairs may be among the k nearest, and those are worked out in double precision. (A lower bound by the
+other series' envelope takes as long as that programme, and of noisy series leaves out none.)
+Distances are roots of sums of squares. Every pair of series is in one group, which answers for both.
 Equal series are compared once, as a class by its smallest symbol; its neighbours are given to each of its symbols.
 """
 
@@ -25,20 +26,64 @@ def standardised(x: np.ndarray) -> np.ndarray:
     return np.divide(c, sd, out=np.zeros_like(c), where=sd > 1e-12)
 
 
-def warped(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
-    """The distance of each row of x to the same row of y; paths stay within `band` of the diagonal."""
-    n, size = x.shape
-    before, last = np.full((n, size + 1), np.inf), np.full((n, size + 1), np.inf)  # of the diagonals d - 2 and d - 1, by place in x
-    before[:, 0] = 0.0
+def warped_squares(xt: np.ndarray, yt: np.ndarray, band: int) -> np.ndarray:
+    """Squared distances along the axes after the first, which is the place in the series; xt and yt are broadcast, paths stay within `band` of the diagonal.
+
+    Of a diagonal d the cells (i, d - i) within the band are held, from slot 1 on by i; slots beyond are infinite.
+    """
+    size, kind = len(xt), xt.dtype
+    shape = (band + 3, *np.broadcast_shapes(xt.shape[1:], yt.shape[1:]))
+    before, last, now, cost = (np.full(shape, np.inf, kind) for _ in range(4))
+    before[1 + band // 2] = 0.0  # the cell (0, 0)
     for d in range(2, 2 * size + 1):
-        low, high = max(1, d - size, -(-(d - band) // 2)), min(size, d - 1, (d + band) // 2)
-        now = np.full((n, size + 1), np.inf)
+        base = -((band - d) // 2)  # i of slot 1
+        low, high = max(1, d - size, base), min(size, d - 1, (d + band) // 2)
         if low <= high:
-            i = np.arange(low, high + 1)
-            cost = (x[:, i - 1] - y[:, d - i - 1]) ** 2
-            now[:, i] = cost + np.minimum(np.minimum(last[:, i], last[:, i - 1]), before[:, i - 1])
-        before, last = last, now
-    return np.sqrt(last[:, size])
+            a, b = low - base + 1, high - base + 2
+            c, n = cost[a:b], now[a:b]
+            np.subtract(xt[low - 1 : high], yt[d - high - 1 : d - low][::-1], out=c)
+            np.multiply(c, c, out=c)
+            step = (d - band) % 2  # whether slot 1 is of a larger i than on the diagonal before
+            np.minimum(last[a + step : b + step], last[a - 1 + step : b - 1 + step], out=n)
+            np.minimum(n, before[a:b], out=n)
+            np.add(n, c, out=n)
+            now[1:a] = np.inf
+            now[b : band + 2] = np.inf
+        else:
+            now[:] = np.inf
+        before, last, now = last, now, before
+    return last[1 + band // 2]
+
+
+def warped(x: np.ndarray, y: np.ndarray, band: int, step: int = 4096) -> np.ndarray:
+    """The distance of each row of x to the same row of y; paths stay within `band` of the diagonal."""
+    out = np.empty(len(x))
+    for k in range(0, len(x), step):
+        out[k : k + step] = warped_squares(np.ascontiguousarray(x[k : k + step].T), np.ascontiguousarray(y[k : k + step].T), band)
+    return np.sqrt(out)
+
+
+def all_squares(x: np.ndarray, y: np.ndarray, band: int, cells: int = 16384) -> np.ndarray:
+    """Squared distances of all rows of x to all of y in single precision, by tiles of about `cells` pairs."""
+    columns = -(-len(y) // -(-len(y) // 1024))
+    rows = max(1, cells // columns)
+    xt, out = np.ascontiguousarray(x.T, np.float32), np.empty((len(x), len(y)), np.float32)
+    for c in range(0, len(y), columns):
+        yt = np.ascontiguousarray(y[c : c + columns].T, np.float32)[:, None, :]
+        for r in range(0, len(x), rows):
+            out[r : r + rows, c : c + columns] = warped_squares(xt[:, r : r + rows, None], yt, band)
+    return out
+
+
+def with_slack(squares: np.ndarray, size: int, largest: float) -> np.ndarray:
+    """A bound for squares in single precision below which all pairs are that may be nearer than these.
+
+    A path has at most 2 * size cells; values of at most `largest` are rounded by a part in 2**24, and so is each step. Twice that, since both sides are rounded.
+    """
+    unit, cells = 2.0**-24, 2.0 * size
+    off = 2.0 * unit * largest
+    error = 2.0 * off * np.sqrt(cells * squares) + cells * off * off + (cells + 3.0) * unit * squares
+    return squares + 2.5 * error
 
 
 def envelopes(x: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,29 +102,37 @@ def lower_bounds(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return out
 
 
-def nearest_in_block(x: np.ndarray, y: np.ndarray, same: bool, band: int, k: int, step: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row of x its k nearest rows of y (itself left out if both are one block), as (row, row, distance)."""
-    bounds = np.maximum(lower_bounds(x, *envelopes(y, band)), lower_bounds(y, *envelopes(x, band)).T)
+def candidates(squares: np.ndarray, k: int, size: int, largest: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the pairs that may be among the k nearest of their row."""
+    found = []
+    for r in range(0, len(squares), step):
+        some = np.ascontiguousarray(squares[r : r + step])
+        bar = np.full(len(some), np.inf)
+        if some.shape[1] > k:
+            bar = with_slack(np.partition(some, k - 1, axis=1)[:, k - 1].astype(float), size, largest)
+        i, j = np.nonzero(np.isfinite(some) & (some <= bar[:, None]))
+        found.append((i + r, j))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def nearest_in_block(x: np.ndarray, y: np.ndarray, same: bool, band: int, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each row of x its k nearest rows of y as (row, row, distance), ties by row; then of each row of y those of x, unless both are one block, where a row is not its own."""
+    squares = all_squares(x, y, band)
     if same:
-        np.fill_diagonal(bounds, np.inf)
-    order = np.argsort(bounds, axis=1, kind="stable")
-    found = np.full(bounds.shape, np.inf)
-    best = np.full(len(x), np.inf)  # the k-th distance so far
-    for at in range(0, order.shape[1], step):
-        some = order[:, at : at + step]
-        open_ = np.take_along_axis(bounds, some, axis=1)
-        i, c = np.nonzero(np.isfinite(open_) & (open_ <= best[:, None]))  # ties with the k-th count: the id decides
-        if not len(i):
-            break
-        j = some[i, c]
-        found[i, j] = warped(x[i], y[j], band)
-        if found.shape[1] >= k:
-            best = np.partition(found, k - 1, axis=1)[:, k - 1]
-    i, j = np.nonzero(np.isfinite(found) & (found <= best[:, None]))
-    return i, j, found[i, j]
-
-
-def nearest(series: DataFrame, k: int, band: int, block: int = 128) -> DataFrame:
+        np.fill_diagonal(squares, np.inf)
+    largest = max(np.abs(x).max(), np.abs(y).max())
+    out = []
+    for a, b, held in [(x, y, squares)] if same else [(x, y, squares), (y, x, squares.T)]:
+        i, j = candidates(held, k, x.shape[1], largest)
+        d = np.concatenate([np.zeros(0), *[warped(a[i[c : c + 65536]], b[j[c : c + 65536]], band) for c in range(0, len(i), 65536)]])
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((i[first], j[first], d[first]))
+    return out
+
+
+def nearest(series: DataFrame, k: int, band: int, block: int = 8192) -> DataFrame:
     """src, dst, distance: the k nearest of each symbol's series by warped distance, ties by dst.
 
     series: symbol, values (an array without nulls; of symbols whose length is not the commonest there is none here). Values are standardised.
@@ -104,29 +157,28 @@ def nearest(series: DataFrame, k: int, band: int, block: int = 128) -> DataFrame
 
 
 def nearest_classes(rows: DataFrame, k: int, band: int, block: int) -> DataFrame:
-    """src, dst, distance: the k nearest of each of the series, by all pairs of blocks."""
-    blocks = max(1, -(-rows.count() // block))
-    own = rows.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)))
-    # each block goes to its pairs with all blocks, once as the side whose neighbours are asked for and once as the other
+    """src, dst, distance: the k nearest of each of the series, by all pairs of blocks; a group holds two blocks and a matrix of their pairs in single precision."""
+    count = rows.count()
+    blocks = max(1, -(-count // block), min(32, count // 512))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("symbol"), F.lit(blocks)))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    asked = own.select("symbol", "values", F.col("block").alias("a"), others, F.lit(True).alias("asks")).withColumnRenamed("other", "b")
-    given = own.select("symbol", "values", others, F.col("block").alias("b"), F.lit(False).alias("asks")).withColumnRenamed("other", "a").select("symbol", "values", "a", "b", "asks")
+    sent = own.select("symbol", "values", "own", others).select("symbol", "values", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
 
     def run(group: pa.Table) -> pa.Table:
-        asks = group["asks"].to_numpy(zero_copy_only=False)
-        ids = group["symbol"].to_numpy()
-        matrix = standardised(np.array(group["values"].to_pylist(), float))
-        same = group["a"][0].as_py() == group["b"][0].as_py()
-        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        left, right = left[np.argsort(ids[left])], right[np.argsort(ids[right])]
-        if not len(left) or not len(right):
-            i = j = np.zeros(0, np.int64)
-            d = np.zeros(0)
-        else:
-            i, j, d = nearest_in_block(matrix[left], matrix[right], same, band, k)
-        return pa.table({"src": pa.array(ids[left[i]], pa.int64()), "dst": pa.array(ids[right[j]], pa.int64()), "distance": pa.array(d, pa.float64())})
-
-    local = asked.unionByName(given).groupBy("a", "b").applyInArrow(run, "src long, dst long, distance double")
+        group = group.combine_chunks().sort_by("symbol")
+        ids, own = group["symbol"].to_numpy(), group["own"].to_numpy()
+        a, b = group["a"][0].as_py(), group["b"][0].as_py()
+        matrix = standardised(group["values"].chunk(0).flatten().to_numpy().reshape(len(ids), -1))
+        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+        found = []
+        if len(left) and len(right):
+            sides = [(left, right), (right, left)]
+            found = [(ids[s[i]], ids[t[j]], d) for (s, t), (i, j, d) in zip(sides, nearest_in_block(matrix[left], matrix[right], a == b, band, k), strict=False)]
+        whole = [np.concatenate([np.zeros(0, kind), *[f[c] for f in found]]) for c, kind in enumerate((np.int64, np.int64, float))]
+        return pa.table(whole, names=["src", "dst", "distance"])
+
+    pairs = blocks * (blocks + 1) // 2
+    local = sent.repartition(min(pairs, 4000), "a", "b").groupBy("a", "b").applyInArrow(run, "src long, dst long, distance double")  # a group is long work on few bytes: not put together by size
     place = F.row_number().over(W.Window.partitionBy("src").orderBy("distance", "dst"))
     return local.withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
 
