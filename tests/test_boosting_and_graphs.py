@@ -132,3 +132,18 @@ def test_equal_series_are_one_class(spark, block):
     for r in graphs.heaviest_correlations(d, "v", 12, 3, block).collect():
         heavy.setdefault(r.src, set()).add(r.dst)
     assert heavy == {a: {b for _, b in sorted(p)[:3]} for a, p in tops.items()}
+
+
+def test_what_is_sent_to_blocks_grows_as_the_classes():
+    """A class is sent once a block: a number of blocks that grows with the classes makes that their square."""
+    assert {graphs.block_count(n, 16384, every) for n in (60_000, 200_000, 360_000) for every in (True, False)} == {24}
+    assert graphs.block_count(1_000_000, 16384, False) == 62 and graphs.block_count(20, 3, True) == 7 and graphs.block_count(0, 16384, True) == 1
+
+
+def test_returns_come_from_lines_sent_once(spark):
+    """Of the panel only the close, from lines that go to their symbols: no week's sums are exchanged, no table joined."""
+    from comparing import DATA
+    from quartzite import queries_cuts
+
+    plan = queries_cuts._returns(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "sum(" not in plan
