@@ -140,6 +140,16 @@ def test_what_is_sent_to_blocks_grows_as_the_classes():
     assert graphs.block_count(1_000_000, 16384, False) == 62 and graphs.block_count(20, 3, True) == 7 and graphs.block_count(0, 16384, True) == 1
 
 
+def test_edges_of_single_symbols_come_in_whole_batches(spark):
+    """Symbols of values of their own: no batch of Arrow an edge, and the edges are the heaviest of all pairs."""
+    rnd = np.random.default_rng(12)
+    rows = [(s, t, float(rnd.normal())) for s in range(40) for t in range(25)]
+    d = spark.createDataFrame(rows, "symbol int, td int, v double")
+    pairs = {(r.src, r.dst): r.w for r in graphs.return_correlations(d, "v", 20).collect()}
+    want = {(a, b) for a in range(40) for b in sorted((b for b in range(a + 1, 40)), key=lambda b: (-pairs[a, b], b))[:3]}
+    assert {(r.src, r.dst) for r in graphs.heaviest_correlations(d, "v", 20, 3).collect()} == want
+
+
 def test_returns_come_from_lines_sent_once(spark):
     """Of the panel only the close, from lines that go to their symbols: no week's sums are exchanged, no table joined."""
     from comparing import DATA
